@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import buffers, checked, discard, partitions_for, small_batches, written
+from .common import buffers, partitions_for, small_batches, written
 
 LENGTH, K = 100, 24
 #: Text that is hashed at once, and anchors a task holds before it passes on their reduction.
@@ -27,7 +27,7 @@ CHUNK, HELD = 1 << 20, 3 << 20
 #: An anchor with this many distinct contexts in a task is counted over all tasks; one with HOT over all is dealt by windows.
 WARM, HOT = 48, 3000
 #: Bytes of candidate context in a shard, about.
-SHARD = 3 << 20
+SHARD = 512 << 10
 
 ROW = "kind byte, h long, ctx long, doc_id long, at long"
 NAMES = ["kind", "h", "ctx", "doc_id", "at"]
@@ -189,28 +189,39 @@ def _hot_anchors(docs: DataFrame, length: int, k: int, warm_at: int, hot_at: int
 
 
 def _suffix_order(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Suffixes of a text of contexts, sorted within their contexts: a context's end sorts before any byte, ends by the context's number."""
+    """Suffixes of a text of contexts, sorted within their contexts: a context's end sorts before any byte, ends by the context's number.
+
+    Prefix doubling; only groups that are still equal are sorted again.
+    """
     n = len(text)
-    left = np.repeat(start + size, size) - np.arange(n)
+    left = (np.repeat(start + size, size) - np.arange(n)).astype(np.int32)
     key = np.zeros(n, np.int64)
     wide = np.concatenate((text.astype(np.int64) + 1, np.zeros(8, np.int64)))
-    for i in range(6):
-        key = key * 257 + np.where(left > i, wide[i : i + n], 0)
-    order = np.argsort(key, kind="stable")
     step = 6
-    rank = np.empty(n, np.int64)
+    for i in range(step):
+        key = key * 257 + np.where(left > i, wide[i : i + n], 0)
+    order = np.argsort(key)
+    s = key[order]
+    new = np.concatenate(([True], s[1:] != s[:-1]))
+    slots = np.arange(n)
+    rank = np.empty(n, np.int64)  # the first slot of a suffix's group
     while True:
-        s = key[order]
-        rank[order] = np.cumsum(np.concatenate(([0], (s[1:] != s[:-1]).astype(np.int64))))
-        if step >= size.max(initial=0) or rank[order[-1]] == n - 1:
-            break
-        nxt = np.zeros(n, np.int64)
-        ok = np.flatnonzero(left > step)
-        nxt[ok] = rank[ok + step] + 1
-        key = rank * (n + 1) + nxt
-        order = np.argsort(key, kind="stable")
+        first = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
+        rank[order[slots]] = first
+        alone = new & np.append(new[1:], True)
+        slots = slots[~alone]
+        if not len(slots):
+            return order
+        at = order[slots]
+        group = rank[at]
+        # past a context's end: by its number, below all that goes on
+        key = np.where(left[at] > step, rank[np.minimum(at + step, n - 1)] + n, at)
+        both = group * (2 * n) + key
+        by = np.argsort(both)
+        order[slots] = at[by]
+        s = both[by]
+        new = np.concatenate(([True], s[1:] != s[:-1]))
         step *= 2
-    return order
 
 
 class RunIndex:
@@ -365,8 +376,8 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = K, warm_at: int = WA
                 yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(s[at]), pa.array(s[np.concatenate((at[1:], [len(s)])) - 1] + length)], ["doc_id", "a", "z"])
             i = j
 
-    cutting = docs.join(checked(lists, n, 40), "doc_id").select("doc_id", "text", "c").mapInArrow(cut, "doc_id long, h long, a long, bytes binary")
-    shards = cutting.repartition(partitions_for(spark, n * (length + reach), SHARD), "h")
+    cutting = docs.join(lists, "doc_id").select("doc_id", "text", "c").mapInArrow(cut, "doc_id long, h long, a long, bytes binary")
+    shards = cutting.repartition(partitions_for(spark, n * (length + reach), 8 * SHARD), "h")
     return whole.union(written(shards.mapInArrow(shard, "doc_id long, a long, z long"), "matched"))
 
 
@@ -397,7 +408,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **hot) -> DataFrame:
     lists = ranges.mapInArrow(merge, "doc_id long, a long, z long").groupBy("doc_id").agg(F.collect_list(F.struct("a", "z")).alias("r"))
     lists = written(lists, "ranges")
     small_batches(spark)
-    n, total = lists.agg(F.count("*"), F.sum(F.size("r"))).first()
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
     def cut(batches):
@@ -414,7 +424,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **hot) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return docs.join(checked(lists, (total or 0) + n, 48), "doc_id", "left").select("doc_id", "text", "r").mapInArrow(cut, out)
+    return docs.join(lists, "doc_id", "left").select("doc_id", "text", "r").mapInArrow(cut, out)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
