@@ -4,7 +4,7 @@ Four passes, none of which gathers a group in one task or the driver:
 
 1. Every window of `length` bytes has an anchor, its leftmost minimal K-byte hash; equal windows have equal anchors at equal offsets. Each task reduces its anchors to the first occurrence of each (anchor, context), a context being the anchor with all bytes that a window around it can have. Later occurrences of a context are covered by the first one whole.
 2. Anchors are dealt by hash. What is left per anchor are its distinct contexts; an anchor with one context is dropped, the others are candidates.
-3. Candidates get their bytes back and are dealt by anchor to shards. A shard sorts its contexts' suffixes, makes the BWT, run-compresses it and keeps only the samples at run heads (text position, position of the lexicographic predecessor, common prefix). Streaming over the text, these samples give each position its matching statistics: both values move by one per byte from the sample before. Positions with a match of `length` bytes form chains of equal windows; all but the earliest of a chain are covered.
+3. Candidates get their bytes back and are dealt by anchor to shards. Those of which no half occurs twice are dropped. A shard sorts its contexts' suffixes, makes the BWT, run-compresses it and keeps only the samples at run heads (text position, position of the lexicographic predecessor, common prefix). Streaming over the text, these samples give each position its matching statistics: both values move by one per byte from the sample before. Positions with a match of `length` bytes form chains of equal windows; all but the earliest of a chain are covered.
 4. Covered runs are merged per document and cut out.
 
 An anchor that has very many distinct contexts (a common line) is found by a first pass, as it must be frequent in some task; its windows are dealt by their own hashes instead, so equal windows meet and nothing else does.
@@ -27,7 +27,7 @@ CHUNK, HELD = 1 << 20, 3 << 20
 #: An anchor with this many distinct contexts in a task is counted over all tasks; one with HOT over all is dealt by windows.
 WARM, HOT = 48, 3000
 #: Bytes of candidate context in a shard, about.
-SHARD = 512 << 10
+SHARD = 256 << 10
 
 ROW = "kind byte, h long, ctx long, doc_id long, at long"
 NAMES = ["kind", "h", "ctx", "doc_id", "at"]
@@ -258,6 +258,8 @@ class RunIndex:
 
 def repeats(contexts: list[bytes], doc: np.ndarray, begin: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(context, offset) of each window of length bytes in contexts that also starts earlier, by (doc, begin + offset)."""
+    if not contexts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     size = np.array([len(c) for c in contexts], np.int64)
     text = np.frombuffer(b"".join(contexts), np.uint8)
     start = np.cumsum(size) - size
@@ -286,6 +288,20 @@ def repeats(contexts: list[bytes], doc: np.ndarray, begin: np.ndarray, length: i
     return own[late], off[late]
 
 
+def _may_match(contexts: list[bytes], lo: np.ndarray, length: int, k: int) -> np.ndarray:
+    """Which contexts, anchored at lo, can share a window: one has the anchor with at least half of its other bytes on the left or on the right, so one of these halves must occur twice."""
+    size = np.array([len(c) for c in contexts], np.int64)
+    start, half = np.cumsum(size) - size, (length - k) // 2
+    h = Hasher(np.frombuffer(b"".join(contexts), np.uint8))
+    out = np.zeros(len(contexts), bool)
+    at = start + lo
+    for fits, a, z in ((lo >= half, at - half, at + k), (size - lo - k >= half, at, at + k + half)):
+        i = np.flatnonzero(fits)
+        _, inv, n = np.unique(h.at(a[i], z[i]), return_inverse=True, return_counts=True)
+        out[i[n[inv] > 1]] = True
+    return np.flatnonzero(out)
+
+
 def covered(docs: DataFrame, length: int = LENGTH, k: int = K, warm_at: int = WARM, hot_at: int = HOT) -> DataFrame:
     """(doc_id, a long, z long): byte ranges of docs (doc_id long, text) that an earlier equal window covers; they may overlap."""
     spark = docs.sparkSession
@@ -335,7 +351,7 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = K, warm_at: int = WA
     met = written(dealt.mapInArrow(meet, ROW), "met")
     pos, lo, hi = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(255), F.col("at").bitwiseAND(255)
     whole = met.where("kind = 1").select("doc_id", (pos - lo).alias("a"), (pos + k + hi).alias("z")).where(f"z - a >= {length}")
-    candidates = met.where("kind = 0").select("doc_id", "h", (pos - lo).alias("a"), (lo + hi + k).cast("int").alias("n"))
+    candidates = met.where("kind = 0").select("doc_id", "h", (pos - lo).alias("a"), ((lo + hi + k) * 256 + lo).cast("int").alias("n"))
     n = candidates.count()
     lists = candidates.groupBy("doc_id").agg(F.collect_list(F.struct("h", "a", "n")).alias("c"))
 
@@ -343,19 +359,19 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = K, warm_at: int = WA
         for b in batches:
             data, offs = buffers(b.column(1))
             data = data.tobytes()
-            out = ([], [], [], [])
+            out = ([], [], [], [], [])
             for i, (doc, c) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 for x in c:
                     a = int(offs[i]) + x["a"]
-                    for o, v in zip(out, (doc, x["h"], x["a"], data[a : a + x["n"]]), strict=True):
+                    for o, v in zip(out, (doc, x["h"], x["a"], data[a : a + (x["n"] >> 8)], x["n"] & 255), strict=True):
                         o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "h", "a", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)], ["doc_id", "h", "a", "bytes", "lo"])
 
     def shard(batches):
-        held = [(b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(3).to_pylist(), b.column(1).to_numpy()) for b in batches]
+        held = [(b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(3).to_pylist(), b.column(1).to_numpy(), b.column(4).to_numpy()) for b in batches]
         if not held:
             return
-        doc, a, h = (np.concatenate([x[i] for x in held]) for i in (0, 1, 3))
+        doc, a, h, lo = (np.concatenate([x[i] for x in held]) for i in (0, 1, 3, 4))
         text = [t for x in held for t in x[2]]
         order = np.argsort(h, kind="stable")
         size = np.cumsum([len(text[i]) for i in order])
@@ -365,6 +381,7 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = K, warm_at: int = WA
             while j < len(order) and h[order[j]] == h[order[j - 1]]:
                 j += 1
             part = order[i:j]
+            part = part[_may_match([text[x] for x in part], lo[part], length, k)]
             own, off = repeats([text[x] for x in part], doc[part], a[part], length)
             own = part[own]
             s = a[own] + off
@@ -376,7 +393,7 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = K, warm_at: int = WA
                 yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(s[at]), pa.array(s[np.concatenate((at[1:], [len(s)])) - 1] + length)], ["doc_id", "a", "z"])
             i = j
 
-    cutting = docs.join(lists, "doc_id").select("doc_id", "text", "c").mapInArrow(cut, "doc_id long, h long, a long, bytes binary")
+    cutting = docs.join(lists, "doc_id").select("doc_id", "text", "c").mapInArrow(cut, "doc_id long, h long, a long, bytes binary, lo int")
     shards = cutting.repartition(partitions_for(spark, n * (length + reach), 8 * SHARD), "h")
     return whole.union(written(shards.mapInArrow(shard, "doc_id long, a long, z long"), "matched"))
 
