@@ -2,5 +2,381 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..config import Space
+from ..functions import scalars, similarity as sim, vectors as vec
+from ..functions.atoms import atom_vector, literal, position_vector, sign_vector
+from ..operators import aggregate as agg, match, ordered
+from ..sources import codebook as books, encode as enc
+from . import pipelines as pipe
+
+D = 64
+SPACE = Space(D, 0)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+# what both sides share
+
+def text(v: Column) -> Column:
+    return F.array_join(F.transform(v, lambda x: x.cast("string")), ",")
+
+
+def rnd(x: Column, n: int = 6) -> Column:
+    return F.round(x.cast("double"), n) + F.lit(0.0)
+
+
+def tern(spark, d: str) -> DataFrame:
+    """Embeddings as ternary vectors: small components are 0."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    x = lambda x: F.when(F.abs(x.cast("double")) < 0.05, 0).otherwise(F.signum(x)).cast("tinyint")
+    return e.select("vec_id", "label", F.transform("embedding", x).alias("v"))
+
+
+def triples(spark, d: str) -> DataFrame:
+    t = tern(spark, d)
+    one = t.select(F.col("vec_id"), F.col("v").alias("a"))
+    two = t.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("b"))
+    three = t.select((F.col("vec_id") - 2).alias("vec_id"), F.col("v").alias("c"))
+    return one.join(two, "vec_id").join(three, "vec_id")
+
+
+T = "t AS (SELECT vec_id, label, list_transform(embedding, lambda x: CASE WHEN abs(CAST(x AS DOUBLE)) < 0.05 THEN 0 ELSE CAST(sign(x) AS INTEGER) END) AS v FROM embeddings)"
+P = T + ", p AS (SELECT x.vec_id, x.v AS a, y.v AS b, z.v AS c FROM t x JOIN t y ON y.vec_id = x.vec_id + 1 JOIN t z ON z.vec_id = x.vec_id + 2)"
+EACH = f"range(1, {D + 1})"
+
+
+def over(e: str) -> str:
+    return f"list_transform({EACH}, lambda i: {e})"
+
+
+def total(e: str) -> str:
+    return f"list_sum({over(e)})"
+
+
+def sgn(e: str) -> str:
+    return f"CAST(sign({e}) AS INTEGER)"
+
+
+def rsql(e: str, n: int = 6) -> str:
+    return f"round(CAST({e} AS DOUBLE), {n}) + 0.0"
+
+
+def sha_word(atom: str, i: str) -> str:
+    """The 16-bit word of component i (from 0) of an atom, in SQL."""
+    return f"CAST('0x' || substr(sha256('0|' || {atom} || '|' || CAST(({i}) // 16 AS VARCHAR)), 4 * (({i}) % 16) + 1, 4) AS INTEGER)"
+
+
+def atom_sql(atom: str) -> str:
+    return over(f"{sha_word(atom, 'i - 1')} % 3 - 1")
+
+
+# component by component: name, column, SQL of component i of a, b, c
+
+ELEMENTWISE = {
+    "bind": (lambda a, b, c: vec.bind(a, b), "a[i] * b[i]"),
+    "unbind": (lambda a, b, c: vec.unbind(vec.bind(a, b), b), "a[i] * b[i] * b[i]"),
+    "similarity_profile": (lambda a, b, c: vec.similarity_profile(a, b), "a[i] * b[i]"),
+    "negate_subtract": (lambda a, b, c: vec.negate(a, b), sgn("a[i] - b[i]")),
+    "negate_zero": (lambda a, b, c: vec.negate(a, b, "zero"), "CASE WHEN b[i] <> 0 THEN 0 ELSE a[i] END"),
+    "negate_invert": (lambda a, b, c: vec.negate(a, b, "invert"), "greatest(-1, least(1, a[i] - b[i]))"),
+    "amplify": (lambda a, b, c: vec.amplify(a, b, 0.5), sgn("a[i] + 0.5 * b[i]")),
+    "prototype_add_0": (lambda a, b, c: vec.prototype_add(a, b, 0), "b[i]"),
+    "prototype_add_1": (lambda a, b, c: vec.prototype_add(a, b, 1), sgn("a[i] * 0.5 + b[i] * 0.5")),
+    "prototype_add_3": (lambda a, b, c: vec.prototype_add(a, b, 3), "CASE WHEN a[i] <> 0 THEN a[i] ELSE b[i] END"),
+    "difference": (lambda a, b, c: vec.difference(a, b), sgn("b[i] - a[i]")),
+    "blend_weighted": (lambda a, b, c: vec.blend_weighted(a, b, 1.5, -0.5), sgn("1.5 * a[i] - 0.5 * b[i]")),
+    "blend": (lambda a, b, c: vec.blend(a, b, 0.25), sgn("0.75 * a[i] + 0.25 * b[i]")),
+    "resonance": (lambda a, b, c: vec.resonance(a, b), "CASE WHEN a[i] = b[i] THEN a[i] ELSE 0 END"),
+    "permute_right": (lambda a, b, c: vec.permute(a, 5), f"a[(i - 1 + 5) % {D} + 1]"),
+    "permute_left": (lambda a, b, c: vec.permute(a, -7), f"a[(i - 1 + {D} - 7) % {D} + 1]"),
+    "attend_hard": (lambda a, b, c: vec.attend(a, b, 1.0, "hard"), "CASE WHEN a[i] = b[i] THEN b[i] ELSE 0 END"),
+    "attend_soft": (lambda a, b, c: vec.attend(a, b, 2.0, "soft"), "CASE WHEN a[i] * b[i] > 0 THEN b[i] ELSE 0 END"),
+    "attend_amplify": (lambda a, b, c: vec.attend(a, b, -0.75, "amplify"), "CASE WHEN a[i] * b[i] > 0 THEN 0 ELSE b[i] END"),
+    "analogy": (lambda a, b, c: vec.analogy(a, b, c), sgn(f"c[i] + {sgn('b[i] - a[i]')}")),
+    "conditional_bind_positive": (lambda a, b, c: vec.conditional_bind(a, b, c, "positive"), "CASE WHEN c[i] > 0 THEN a[i] * b[i] ELSE 0 END"),
+    "conditional_bind_negative": (lambda a, b, c: vec.conditional_bind(a, b, c, "negative"), "CASE WHEN c[i] < 0 THEN a[i] * b[i] ELSE 0 END"),
+    "conditional_bind_nonzero": (lambda a, b, c: vec.conditional_bind(a, b, c, "nonzero"), "CASE WHEN c[i] <> 0 THEN a[i] * b[i] ELSE 0 END"),
+    "flip": (lambda a, b, c: vec.flip(a), "-a[i]"),
+    "power_even": (lambda a, b, c: vec.power(a, 2), "abs(a[i])"),
+    "power_odd": (lambda a, b, c: vec.power(a, 3), "a[i]"),
+    "power_zero": (lambda a, b, c: vec.power(a, 0), "0"),
+    "power_half": (lambda a, b, c: vec.power(a, 0.5), "a[i]"),
+    "remediate": (lambda a, b, c: pipe.remediated(a, b), sgn(f"a[i] + 0.5 * {sgn('b[i] - a[i]')}")),
+    "bundle_of_columns": (lambda a, b, c: vec.bundle_columns([a, b, c]), sgn("a[i] + b[i] + c[i]")),
+}
+for _name, (_f, _sql) in ELEMENTWISE.items():
+    query(f"vec_{_name}", f"WITH {P} SELECT vec_id, array_to_string({over(_sql)}, ',') AS v FROM p")(
+        lambda spark, d, f=_f: triples(spark, d).select("vec_id", text(f(F.col("a"), F.col("b"), F.col("c"))).alias("v")))
+
+# one number per pair
+
+_NA, _NB = "sqrt(" + total("a[i] * a[i]") + ")", "sqrt(" + total("b[i] * b[i]") + ")"
+_DOT = total("a[i] * b[i]")
+_W = f"(1.0 + (i - 1) / {D}.0)"
+_L2, _L1 = f"sqrt({total('(a[i] - b[i]) * (a[i] - b[i])')})", total("abs(a[i] - b[i])")
+_LINF = f"list_max({over('abs(a[i] - b[i])')})"
+WEIGHTS = [1.0 + i / D for i in range(D)]
+NUMBERS = {
+    "cosine": (lambda a, b: sim.cosine(a, b), f"{_DOT} / ({_NA} * {_NB})"),
+    "dot": (lambda a, b: sim.dot(a, b), _DOT),
+    "euclidean": (lambda a, b: sim.euclidean(a, b), f"1 / (1 + {_L2})"),
+    "euclidean_distance": (lambda a, b: sim.euclidean_distance(a, b), _L2),
+    "manhattan": (lambda a, b: sim.manhattan(a, b), f"1 / (1.0 + {_L1})"),
+    "manhattan_distance": (lambda a, b: sim.manhattan_distance(a, b), _L1),
+    "hamming": (lambda a, b: sim.hamming(a, b), total("CASE WHEN a[i] = b[i] THEN 1 ELSE 0 END") + f" / {D}.0"),
+    "overlap": (lambda a, b: sim.overlap(a, b), total("CASE WHEN a[i] = b[i] AND a[i] <> 0 THEN 1 ELSE 0 END") + " / CAST(" + total("CASE WHEN a[i] <> 0 OR b[i] <> 0 THEN 1 ELSE 0 END") + " AS DOUBLE)"),
+    "agreement": (lambda a, b: sim.agreement(a, b), f"{_DOT} / {D}.0"),
+    "chebyshev": (lambda a, b: sim.chebyshev(a, b), f"CASE WHEN {_LINF} <= 2 THEN 1 - {_LINF} / 2.0 ELSE 0 END"),
+    "chebyshev_distance": (lambda a, b: sim.chebyshev_distance(a, b), _LINF),
+    "minkowski": (lambda a, b: sim.minkowski(a, b, 3.0), f"1 / (1 + pow({total('pow(abs(a[i] - b[i]), 3)')}, 1 / 3.0))"),
+    "minkowski_distance": (lambda a, b: sim.minkowski_distance(a, b, 3.0), f"pow({total('pow(abs(a[i] - b[i]), 3)')}, 1 / 3.0)"),
+    "weighted_cosine": (lambda a, b: sim.weighted_cosine(a, b, literal(WEIGHTS, "double")), f"{total(f'a[i] * b[i] * {_W} * {_W}')} / sqrt({total(f'a[i] * a[i] * {_W} * {_W}')} * {total(f'b[i] * b[i] * {_W} * {_W}')})"),
+    "weighted_euclidean": (lambda a, b: sim.weighted_euclidean(a, b, literal(WEIGHTS, "double")), f"1 / (1 + sqrt({total(f'(a[i] - b[i]) * (a[i] - b[i]) * {_W}')}))"),
+    "significance": (lambda a, b: sim.significance(sim.cosine(a, b), D), f"{_DOT} / ({_NA} * {_NB}) * {math.sqrt(D)}"),
+    "cosine_f64": (lambda a, b: vec.cosine_f64(vec.to_f64(a), vec.to_f64(b)), f"{_DOT} / ({_NA} * {_NB})"),
+    "disagreement": (lambda a, b: pipe.disagreement(vec.bind(a, b)), total("CASE WHEN a[i] * b[i] < 0 THEN 1 ELSE 0 END") + " / CAST(" + total("CASE WHEN a[i] * b[i] <> 0 THEN 1 ELSE 0 END") + " AS DOUBLE)"),
+}
+for _name, (_f, _sql) in NUMBERS.items():
+    query(f"sim_{_name}", f"WITH {P} SELECT vec_id, {rsql(_sql)} AS x FROM p")(
+        lambda spark, d, f=_f: triples(spark, d).select("vec_id", rnd(f(F.col("a"), F.col("b"))).alias("x")))
+
+# one number or vector per vector
+
+_POS, _NEG, _ZERO = (total(f"CASE WHEN v[i] {c} 0 THEN 1 ELSE 0 END") for c in (">", "<", "="))
+_MEAN = f"({total('v[i]')} / {D}.0)"
+_ENT = " + ".join(f"CASE WHEN {c} > 0 THEN -({c} / {D}.0) * log2({c} / {D}.0) ELSE 0 END" for c in (_POS, _NEG, _ZERO))
+ONE = {
+    "nnz": (lambda v: vec.nnz(v), total("CASE WHEN v[i] <> 0 THEN 1 ELSE 0 END")),
+    "norm": (lambda v: vec.norm(v), f"sqrt({total('v[i] * v[i]')})"),
+    "dimensions": (lambda v: vec.dimensions(v), "len(v)"),
+    "component": (lambda v: vec.component(v, 3), "v[4]"),
+    "complexity": (lambda v: vec.complexity(v), f"0.5 * ({_POS} + {_NEG}) / {D}.0 + 0.5 * 2 * least({_POS}, {_NEG}) / CAST({_POS} + {_NEG} AS DOUBLE)"),
+    "entropy": (lambda v: vec.entropy(v), f"({_ENT}) / {math.log2(3)!r}"),
+}
+for _name, (_f, _sql) in ONE.items():
+    query(f"vec_{_name}", f"WITH {T} SELECT vec_id, {rsql(_sql)} AS x FROM t")(lambda spark, d, f=_f: tern(spark, d).select("vec_id", rnd(f(F.col("v"))).alias("x")))
+
+query("vec_from_f64", f"SELECT vec_id, array_to_string(list_transform(embedding, lambda x: {sgn('x')}), ',') AS v FROM embeddings")(
+    lambda spark, d: spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", text(vec.from_f64(F.col("embedding"))).alias("v")))
+query("vec_normalized", f"WITH {T}, n AS (SELECT vec_id, v, sqrt({total('v[i] * v[i]')}) AS n FROM t) SELECT vec_id, {rsql(total('abs(v[i]) / n'))} AS x FROM n")(
+    lambda spark, d: tern(spark, d).select("vec_id", rnd(F.aggregate(vec.normalized(F.col("v")), F.lit(0.0), lambda s, x: s + F.abs(x))).alias("x")))
+query("vec_reflect_about_mean", f"WITH {T}, m AS (SELECT vec_id, v, {_MEAN} AS m FROM t) SELECT vec_id, array_to_string({over(sgn('2 * m - v[i]'))}, ',') AS v FROM m")(
+    lambda spark, d: tern(spark, d).select("vec_id", text(vec.reflect_about_mean(F.col("v"))).alias("v")))
+query("vec_grover_amplify", f"""WITH {P}, g AS (SELECT vec_id, {over("b[i] * (1 + (exp(2.0 * a[i] * b[i]) - 1) / (exp(2.0 * a[i] * b[i]) + 1)) / 2")} AS x FROM p),
+m AS (SELECT vec_id, x, list_sum(x) / {D} AS m FROM g) SELECT vec_id, array_to_string({over(sgn('2 * m - x[i]'))}, ',') AS v FROM m""")(
+    lambda spark, d: triples(spark, d).select("vec_id", text(vec.grover_amplify(F.col("a"), F.col("b"), 1)).alias("v")))
+query("vec_sparsify", f"""WITH {T}, r AS (SELECT vec_id, v, i, row_number() OVER (PARTITION BY vec_id ORDER BY abs(v[i]) DESC, i) AS r FROM t, unnest({EACH}) u(i))
+SELECT vec_id, string_agg(CASE WHEN r <= 10 THEN v[i] ELSE 0 END, ',' ORDER BY i) AS v FROM r GROUP BY vec_id""")(
+    lambda spark, d: tern(spark, d).select("vec_id", text(vec.sparsify(F.col("v"), 10)).alias("v")))
+query("vec_profile_counts", f"""WITH {P} SELECT vec_id, {total('CASE WHEN a[i] * b[i] > 0 THEN 1 ELSE 0 END')} AS agree, {total('CASE WHEN a[i] * b[i] < 0 THEN 1 ELSE 0 END')} AS disagree FROM p""")(
+    lambda spark, d: triples(spark, d).select("vec_id", vec.profile_counts(vec.bind(F.col("a"), F.col("b"))).alias("p")).select("vec_id", F.col("p.agree").cast("long").alias("agree"), F.col("p.disagree").cast("long").alias("disagree")))
+query("f64_bind", f"SELECT x.vec_id, {rsql(total('CAST(x.embedding[i] AS DOUBLE) * y.embedding[i]'))} AS x FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1")(
+    lambda spark, d: _neighbours(spark, d).select("vec_id", rnd(vec.total(vec.bind_f64(F.col("a"), F.col("b")))).alias("x")))
+query("f64_negate", f"""WITH p AS (SELECT x.vec_id, CAST(x.embedding AS DOUBLE[]) AS a, CAST(y.embedding AS DOUBLE[]) AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1),
+s AS (SELECT vec_id, a, b, {_DOT} / {total('b[i] * b[i]')} AS s FROM p) SELECT vec_id, {rsql(total('abs(a[i] - s * b[i])'), 5)} AS x FROM s""")(
+    lambda spark, d: _neighbours(spark, d).select("vec_id", rnd(F.aggregate(vec.negate_f64(F.col("a"), F.col("b")), F.lit(0.0), lambda s, x: s + F.abs(x)), 5).alias("x")))
+
+
+def _neighbours(spark, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
+    return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+
+
+# exemplars known when the plan is made: alternating and block patterns
+
+BASIS = [[1 if i % 2 else -1 for i in range(D)], [1 if i < D // 2 else -1 for i in range(D)]]
+_P1, _P2 = f"{total('v[i] * (CASE WHEN (i - 1) % 2 = 1 THEN 1 ELSE -1 END)')} / {D}.0", f"{total(f'v[i] * (CASE WHEN i <= {D // 2} THEN 1 ELSE -1 END)')} / {D}.0"
+_PR = f"(x * (CASE WHEN (i - 1) % 2 = 1 THEN 1 ELSE -1 END) + y * (CASE WHEN i <= {D // 2} THEN 1 ELSE -1 END))"
+_TINY = "CASE WHEN abs({0}) < 1e-10 THEN 0.0 ELSE {0} END"
+query("vec_project", f"WITH {T}, q AS (SELECT vec_id, v, {_P1} AS x, {_P2} AS y FROM t) SELECT vec_id, array_to_string({over(sgn(_TINY.format(_PR)))}, ',') AS v FROM q")(
+    lambda spark, d: tern(spark, d).select("vec_id", text(vec.project(F.col("v"), BASIS)).alias("v")))
+query("vec_reject", f"WITH {T}, q AS (SELECT vec_id, v, {_P1} AS x, {_P2} AS y FROM t) SELECT vec_id, array_to_string({over(sgn(_TINY.format(f'(v[i] - {_PR})')))}, ',') AS v FROM q")(
+    lambda spark, d: tern(spark, d).select("vec_id", text(vec.reject(F.col("v"), BASIS)).alias("v")))
+
+
+def _projection_sql() -> str:
+    m = vec.projection_matrix(D, 16, 3)
+    rows = ["sign(" + " + ".join(f"({int(x)}) * v[{i + 1}]" for i, x in enumerate(r) if x) + ")" for r in m]
+    return f"WITH {T} SELECT vec_id, " + " || ',' || ".join(f"CAST(CAST({r} AS INTEGER) AS VARCHAR)" for r in rows) + " AS v FROM t"
+
+
+query("vec_random_project", _projection_sql())(lambda spark, d: tern(spark, d).select("vec_id", text(vec.random_project(F.col("v"), D, 16, 3)).alias("v")))
+
+# atoms and codebooks
+
+query("atoms", f"WITH a AS (SELECT DISTINCT event_type AS atom FROM events) SELECT atom, array_to_string({atom_sql('atom')}, ',') AS v FROM a")(
+    lambda spark, d: books.codebook(spark.read.parquet(f"{d}/events.parquet"), "event_type", SPACE).select("atom", text(F.col("v")).alias("v")))
+query("atom_signs", f"WITH a AS (SELECT DISTINCT event_type AS atom FROM events) SELECT atom, array_to_string({over('1 - 2 * (' + sha_word('atom', 'i - 1') + ' % 2)')}, ',') AS v FROM a")(
+    lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("atom")).distinct().select("atom", text(sign_vector(SPACE, F.col("atom"))).alias("v")))
+query("position_vectors", f"SELECT n_nationkey, array_to_string({atom_sql(chr(39) + '__pos__' + chr(39) + ' || CAST(n_nationkey AS VARCHAR)')}, ',') AS v FROM nation")(
+    lambda spark, d: spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", text(position_vector(SPACE, F.col("n_nationkey"))).alias("v")))
+query("codebook_lookup", f"SELECT c_custkey, array_to_string({atom_sql('c_mktsegment')}, ',') AS v FROM customer")(
+    lambda spark, d: books.with_vectors(c := spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_mktsegment"), "c_mktsegment", books.codebook(c, "c_mktsegment", SPACE)).select("c_custkey", text(F.col("v")).alias("v")))
+
+# aggregates
+
+_LONG = T + f", l AS (SELECT vec_id, label, i, v[i] AS x FROM t, unnest({EACH}) u(i))"
+
+
+def _by_label(e: str) -> str:
+    return f"WITH {_LONG}, s AS (SELECT label, i, sum(x) AS s, count(*) AS n FROM l GROUP BY label, i) SELECT label, string_agg({e}, ',' ORDER BY i) AS v FROM s GROUP BY label"
+
+
+query("bundle", _by_label(sgn("s")))(lambda spark, d: agg.bundle(tern(spark, d), ["label"], "v", D).select("label", text(F.col("v")).alias("v")))
+query("centroid", _by_label(sgn("s")))(lambda spark, d: agg.centroid(tern(spark, d), ["label"], "v", D).select("label", text(F.col("v")).alias("v")))
+query("bundle_f64", f"WITH {_LONG}, s AS (SELECT label, i, sum(x) AS s FROM l GROUP BY label, i) SELECT label, {rsql('sum(abs(s))')} AS x FROM s GROUP BY label")(
+    lambda spark, d: agg.bundle_f64(tern(spark, d), ["label"], "v", D).select("label", rnd(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x))).alias("x")))
+query("weighted_bundle", f"WITH {_LONG}, s AS (SELECT label, i, sum(x * (vec_id % 7 + 1)) AS s FROM l GROUP BY label, i) SELECT label, string_agg({sgn('s')}, ',' ORDER BY i) AS v FROM s GROUP BY label")(
+    lambda spark, d: agg.bundle(tern(spark, d), ["label"], "v", D, F.col("vec_id") % 7 + 1).select("label", text(F.col("v")).alias("v")))
+query("prototype", _by_label("CASE WHEN s >= ceil(n * 0.1) THEN 1 WHEN s <= -ceil(n * 0.1) THEN -1 ELSE 0 END"))(
+    lambda spark, d: agg.prototype(tern(spark, d), ["label"], "v", D, 0.1).select("label", text(F.col("v")).alias("v")))
+query("bundle_with_confidence", f"WITH {_LONG}, s AS (SELECT label, i, sum(x) AS s, count(*) AS n FROM l GROUP BY label, i) SELECT label, string_agg({sgn('s')}, ',' ORDER BY i) AS v, {rsql('sum(abs(s) / n)')} AS margin FROM s GROUP BY label")(
+    lambda spark, d: agg.bundle_with_confidence(tern(spark, d), ["label"], "v", D).select("label", text(F.col("v")).alias("v"), rnd(vec.total(F.col("margin"))).alias("margin")))
+query("coherence", f"""WITH {T}, n AS (SELECT *, sqrt({total('v[i] * v[i]')}) AS n FROM t), c AS (SELECT a.label, list_sum(list_transform({EACH}, lambda i: a.v[i] * b.v[i])) / (a.n * b.n) AS c FROM n a JOIN n b ON a.label = b.label AND a.vec_id < b.vec_id)
+SELECT label, {rsql('avg(c)')} AS coherence FROM c GROUP BY label""")(lambda spark, d: agg.coherence(tern(spark, d), ["label"], "v", D).select("label", rnd(F.col("coherence")).alias("coherence")))
+
+
+def _acc(spark, d: str) -> DataFrame:
+    return agg.accumulate(tern(spark, d), ["label"], "v", D)
+
+
+_S = f"WITH {_LONG}, s AS (SELECT label, i, sum(x) AS s, count(*) AS n FROM l GROUP BY label, i), q AS (SELECT label, any_value(n) AS n, sum(s * s) AS q2, sum(s * s * s * s) AS q4 FROM s GROUP BY label) "
+query("accumulator_metrics", _S + f"""SELECT label, n, {rsql(f'greatest(0, least(1, 1 - (q2 / {D}.0) / ({D} / (2 * ln(10)))))')} AS capacity, {rsql(f'least({D} / CAST(q2 AS DOUBLE), 1)')} AS purity, {rsql('CAST(q2 AS DOUBLE) * q2 / q4')} AS participation FROM q""")(
+    lambda spark, d: _acc(spark, d).select("label", "n", rnd(agg.capacity(F.col("sums"), 10)).alias("capacity"), rnd(agg.purity(F.col("sums"), F.col("n"))).alias("purity"), rnd(agg.participation_ratio(F.col("sums"))).alias("participation")))
+query("accumulator_threshold", _by_label(sgn("s")))(lambda spark, d: _acc(spark, d).select("label", text(agg.threshold(F.col("sums"))).alias("v")))
+query("accumulator_unit", f"WITH {_LONG}, s AS (SELECT label, i, sum(x) AS s FROM l GROUP BY label, i) SELECT label, {rsql('sum(abs(s)) / sqrt(sum(s * s))')} AS x FROM s GROUP BY label")(
+    lambda spark, d: _acc(spark, d).select("label", rnd(F.aggregate(agg.normalize_f64(F.col("sums")), F.lit(0.0), lambda s, x: s + F.abs(x))).alias("x")))
+query("accumulator_merge", _by_label("CAST(s AS INTEGER)"))(
+    lambda spark, d: agg.merge(agg.accumulate((t := tern(spark, d)).where("vec_id % 2 = 0"), ["label"], "v", D), agg.accumulate(t.where("vec_id % 2 = 1"), ["label"], "v", D), ["label"], D).select("label", text(F.transform("sums", lambda x: x.cast("int"))).alias("v")))
+query("accumulator_decayed", f"""WITH {T}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM t),
+l AS (SELECT label, i, sum(v[i] * pow(0.9, n - rn)) AS s FROM r, unnest({EACH}) u(i) GROUP BY label, i) SELECT label, {rsql('sum(abs(s))', 5)} AS x FROM l GROUP BY label""")(
+    lambda spark, d: agg.decayed(tern(spark, d).withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))), ["label"], "v", D, "rn", 0.9).select("label", rnd(F.aggregate("sums", F.lit(0.0), lambda s, x: s + F.abs(x)), 5).alias("x")))
+
+# search in a codebook: each vector against the labels' bundles
+
+_BOOK = f"{_LONG}, s AS (SELECT label, i, sum(x) AS s FROM l GROUP BY label, i), b AS (SELECT label AS idx, list({sgn('s')} ORDER BY i) AS c FROM s GROUP BY label), m AS (SELECT vec_id, idx, list_sum(list_transform({EACH}, lambda i: v[i] * c[i])) / (sqrt({total('v[i] * v[i]')}) * sqrt({total('c[i] * c[i]')})) AS sim FROM t, b), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 12) DESC, idx) AS rank FROM m)"
+
+
+def _book(spark, d: str):
+    t = tern(spark, d)
+    return t.select(F.col("vec_id").alias("qid"), "v"), agg.bundle(t, ["label"], "v", D).select(F.col("label").alias("idx"), "v")
+
+
+query("cleanup", f"WITH {_BOOK} SELECT vec_id, CAST(idx AS BIGINT) AS idx, {rsql('sim')} AS sim FROM r WHERE rank = 1")(
+    lambda spark, d: match.cleanup(*_book(spark, d)).select(F.col("qid").alias("vec_id"), "idx", rnd(F.col("sim")).alias("sim")))
+query("invert", f"WITH {_BOOK} SELECT vec_id, CAST(rank AS INTEGER) AS rank, CAST(idx AS BIGINT) AS idx, {rsql('sim')} AS sim FROM r WHERE rank <= 4 AND sim >= 0.05")(
+    lambda spark, d: match.invert(*_book(spark, d), 4, 0.05).select(F.col("qid").alias("vec_id"), "rank", "idx", rnd(F.col("sim")).alias("sim")))
+query("topk_similar", f"WITH {_BOOK} SELECT vec_id, CAST(rank AS INTEGER) AS rank, CAST(idx AS BIGINT) AS idx, {rsql('sim')} AS sim FROM r WHERE rank <= 3")(
+    lambda spark, d: match.topk_similar(*_book(spark, d), 3).select(F.col("qid").alias("vec_id"), "rank", "idx", rnd(F.col("sim")).alias("sim")))
+query("similarity_matrix", f"WITH {_BOOK} SELECT CAST(x.idx AS BIGINT) AS i, CAST(y.idx AS BIGINT) AS j, {rsql(f'CASE WHEN x.idx = y.idx THEN 1 ELSE list_sum(list_transform({EACH}, lambda i: x.c[i] * y.c[i])) / (sqrt(list_sum(list_transform({EACH}, lambda i: x.c[i] * x.c[i]))) * sqrt(list_sum(list_transform({EACH}, lambda i: y.c[i] * y.c[i])))) END')} AS sim FROM b x, b y")(
+    lambda spark, d: match.similarity_matrix(_book(spark, d)[1]).select("i", "j", rnd(F.col("sim")).alias("sim")))
+query("attribution_accuracy", f"WITH {_BOOK} SELECT label, {rsql('avg(CASE WHEN label = idx THEN 1 ELSE 0 END)')} AS accuracy, count(*) AS n FROM r JOIN t USING (vec_id) WHERE rank = 1 GROUP BY label")(
+    lambda spark, d: match.cleanup(*_book(spark, d)).join(tern(spark, d).select(F.col("vec_id").alias("qid"), "label"), "qid").groupBy("label").agg(rnd(F.avg((F.col("idx") == F.col("label")).cast("int"))).alias("accuracy"), F.count("*").alias("n")))
+
+# streams: vectors in vec_id order
+
+_COS = f"list_sum(list_transform({EACH}, lambda i: x.v[i] * y.v[i])) / (sqrt(list_sum(list_transform({EACH}, lambda i: x.v[i] * x.v[i]))) * sqrt(list_sum(list_transform({EACH}, lambda i: y.v[i] * y.v[i]))))"
+_SEQ = T + ", q AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS seq, v FROM t)"
+
+
+def _stream(spark, d: str) -> DataFrame:
+    return ordered.numbered(tern(spark, d).select("vec_id", "v"), "vec_id").select("seq", "v")
+
+
+query("autocorrelate", f"WITH {_SEQ}, k AS (SELECT unnest(range(0, 9)) AS lag) SELECT CAST(lag AS INTEGER) AS lag, {rsql(f'CASE WHEN lag = 0 THEN 1 ELSE avg({_COS}) END')} AS corr FROM k JOIN q y ON y.seq >= lag JOIN q x ON x.seq = y.seq - lag GROUP BY lag")(
+    lambda spark, d: ordered.autocorrelate(_stream(spark, d), 8).select("lag", rnd(F.col("corr")).alias("corr")))
+query("cross_correlate", f"WITH {_SEQ}, o AS (SELECT seq, list_transform({EACH}, lambda i: v[(i + 2) % {D} + 1]) AS v FROM q), k AS (SELECT unnest(range(0, 6)) AS lag) SELECT CAST(lag AS INTEGER) AS lag, {rsql(f'avg({_COS})')} AS corr FROM k JOIN o y ON y.seq >= lag JOIN q x ON x.seq = y.seq - lag GROUP BY lag")(
+    lambda spark, d: ordered.cross_correlate(s := _stream(spark, d), s.select("seq", vec.permute(F.col("v"), 3).alias("v")), 5).select("lag", rnd(F.col("corr")).alias("corr")))
+query("segment_diff", f"WITH {_SEQ} SELECT CAST(0 AS BIGINT) AS seq UNION ALL SELECT y.seq FROM q x JOIN q y ON y.seq = x.seq + 1 WHERE {_COS} < 0.0")(
+    lambda spark, d: ordered.segment(_stream(spark, d), 4, 0.0, "diff", D).select(F.col("seq").cast("long").alias("seq")))
+query("segment_prototype", f"""WITH {_SEQ}, l AS (SELECT seq, i, v[i] AS x FROM q, unnest({EACH}) u(i)), s AS (SELECT seq, i, sum(x) OVER (PARTITION BY i ORDER BY seq ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS s, count(*) OVER (PARTITION BY i ORDER BY seq ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS n FROM l),
+w AS (SELECT seq, list(CASE WHEN s >= ceil(n * 0.5) THEN 1 WHEN s <= -ceil(n * 0.5) THEN -1 ELSE 0 END ORDER BY i) AS v FROM s WHERE n > 0 GROUP BY seq)
+SELECT CAST(0 AS BIGINT) AS seq UNION ALL SELECT y.seq FROM q y JOIN w x ON x.seq = y.seq WHERE coalesce(CASE WHEN list_sum(list_transform(x.v, lambda e: e * e)) = 0 THEN 0 ELSE {_COS} END, 0) < 0.0""")(
+    lambda spark, d: ordered.segment(_stream(spark, d), 4, 0.0, "prototype", D).select(F.col("seq").cast("long").alias("seq")))
+query("drift_rate", f"""WITH {_SEQ}, c AS (SELECT y.seq, {_COS} AS s FROM q x JOIN q y ON y.seq = x.seq + 1), w AS (SELECT seq, CASE WHEN seq >= 5 THEN avg(s) OVER (ORDER BY seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) ELSE s END AS s FROM c),
+r AS (SELECT seq, s - lag(s) OVER (ORDER BY seq) AS drift FROM w) SELECT seq, {rsql('drift')} AS drift FROM r WHERE drift IS NOT NULL""")(
+    lambda spark, d: ordered.drift_rate(_stream(spark, d), 5).select(F.col("seq").cast("long").alias("seq"), rnd(F.col("drift")).alias("drift")))
+
+# numbers and times
+
+_LEVEL = f"CAST(round(greatest(0, least(1, (value - 0) / 500.0)) * {D}) AS INTEGER)"
+query("thermometer", f"SELECT event_id, array_to_string({over(f'CASE WHEN i <= {_LEVEL} THEN 1 ELSE -1 END')}, ',') AS v FROM events")(
+    lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", text(scalars.encode_thermometer(SPACE, F.col("value"), 0.0, 500.0)).alias("v")))
+query("thermometer_cosine", f"WITH p AS (SELECT event_id, {_LEVEL} AS a, lead({_LEVEL}) OVER (ORDER BY event_id) AS b FROM events) SELECT event_id, {rsql(f'1 - 2 * abs(a - b) / {D}.0')} AS x FROM p WHERE b IS NOT NULL")(
+    lambda spark, d: (e := spark.read.parquet(f"{d}/events.parquet").select("event_id", "value")).join(e.select((F.col("event_id") - 1).alias("event_id"), F.col("value").alias("b")), "event_id").select("event_id", rnd(scalars.thermometer_cosine(F.col("value"), F.col("b"), 0.0, 500.0, D)).alias("x")))
+
+
+def _rotation_sql(angle: str, kind: str = "scalar") -> str:
+    b, o = scalars.bases(SPACE, kind)
+    arcs = [",".join(map(str, x)) for x in (b, o, -b.astype(int), -o.astype(int))]
+    arc = f"CAST(floor((({angle} + {math.pi / 4!r}) % {2 * math.pi!r} + {2 * math.pi!r}) % {2 * math.pi!r} / {math.pi / 2!r}) AS INTEGER)"
+    return f"CASE {arc} " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(arcs)) + " END"
+
+
+query("scalar_linear", f"SELECT event_id, {_rotation_sql(f'value * {2 * math.pi / 100!r}')} AS v FROM events")(
+    lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", text(scalars.encode_linear(SPACE, F.col("value"), 100.0)).alias("v")))
+query("scalar_circular", f"SELECT event_id, {_rotation_sql(f'(value % 24.0) * {2 * math.pi / 24!r}')} AS v FROM events")(
+    lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", text(scalars.encode_circular(SPACE, F.col("value"), 24.0)).alias("v")))
+query("scalar_log", f"SELECT event_id, {_rotation_sql(f'ln(value) / {math.log(10)!r} * {2 * math.pi / 10!r}')} AS v FROM events WHERE value > 0")(
+    lambda spark, d: spark.read.parquet(f"{d}/events.parquet").where("value > 0").select("event_id", text(scalars.encode_log(SPACE, F.col("value"))).alias("v")))
+query("scalar_f64", None)(lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", rnd(vec.total(scalars.encode_f64(SPACE, F.col("value"), "linear", 100.0)), 4).alias("x")))
+query("decode_log", None)(lambda spark, d: spark.read.parquet(f"{d}/events.parquet").where("value > 0").select("event_id", rnd(scalars.decode_log(SPACE, scalars.encode_log(SPACE, F.col("value"))), 4).alias("x")))
+_F = "pow(1000.0, -(i - 1) / 64.0)"
+query("positional", f"SELECT event_id, array_to_string({over(f'CASE WHEN (i - 1) % 2 = 0 THEN {sgn(f"sin(value * {_F})")} ELSE {sgn(f"cos(value * {_F})")} END')}, ',') AS v FROM events")(
+    lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", text(scalars.positional(SPACE, F.col("value"), 1000.0)).alias("v")))
+query("time_parts", f"SELECT event_id, {rsql('(CAST(floor(epoch(ts)) AS BIGINT) % 86400) / 3600.0')} AS hour, CAST((CAST(floor(epoch(ts)) AS BIGINT) // 86400 + 4) % 7 AS INTEGER) AS dow, {rsql('((CAST(floor(epoch(ts)) AS BIGINT) // 86400) % 365) / 30.5')} AS month FROM events")(
+    lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", scalars.time_parts(F.col("ts").cast("double")).alias("p")).select("event_id", rnd(F.col("p.hour")).alias("hour"), F.col("p.dow").cast("int").alias("dow"), rnd(F.col("p.month")).alias("month")))
+query("encode_time", None)(lambda spark, d: spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", text(scalars.encode_time(SPACE, F.col("o_orderdate"))).alias("v")))
+
+# records
+
+_ROLE = lambda path, value: f"({sha_word(repr(path).replace(chr(34), chr(39)), 'i - 1')} % 3 - 1) * ({sha_word(f'{repr(path)[:-1]}.{chr(39)} || {value}', 'i - 1')} % 3 - 1)"
+query("encode_struct", f"SELECT c_custkey, array_to_string({over(sgn(_ROLE('c_mktsegment', 'c_mktsegment') + ' + ' + _ROLE('c_nationkey', 'CAST(c_nationkey AS VARCHAR)') + ' + ' + _ROLE('c_name', 'c_name')))}, ',') AS v FROM customer")(
+    lambda spark, d: (c := spark.read.parquet(f"{d}/customer.parquet")).select("c_custkey", text(enc.encode(SPACE, F.struct("c_mktsegment", "c_nationkey", "c_name"), c.select(F.struct("c_mktsegment", "c_nationkey", "c_name").alias("s")).schema["s"].dataType)).alias("v")))
+query("encode_json", f"SELECT event_id, array_to_string({over(_ROLE('k', 'json_extract_string(props, ' + chr(39) + '$.k' + chr(39) + ')'))}, ',') AS v FROM events")(
+    lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", text(enc.encode_json(SPACE, F.col("props"))).alias("v")))
+query("encode_nested", f"""SELECT o_orderkey, array_to_string({over(sgn(_ROLE('status', 'o_orderstatus') + f" + ({sha_word(chr(39) + 'info' + chr(39), 'i - 1')} % 3 - 1) * " + sgn(_ROLE('info.prio', 'o_orderpriority') + ' + ' + _ROLE('info.cust', 'CAST(o_custkey AS VARCHAR)'))))}, ',') AS v FROM orders WHERE o_orderkey % 10 = 0""")(
+    lambda spark, d: _nested(spark, d).select("o_orderkey", text(enc.encode(SPACE, F.col("r"), _nested(spark, d).schema["r"].dataType)).alias("v")))
+
+
+def _nested(spark, d: str) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 10 = 0")
+    return o.select("o_orderkey", F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.col("o_orderpriority").alias("prio"), F.col("o_custkey").alias("cust")).alias("info")).alias("r"))
+
+
+def _tokens(spark, d: str) -> DataFrame:
+    c = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.slice(F.filter(F.split("text", " "), lambda x: x != ""), 1, 6).alias("w"))
+    return c.where(F.size("w") == 6)
+
+
+_TOK = "w AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: x <> '')[1:6] AS w FROM conversations), k AS (SELECT * FROM w WHERE len(w) = 6)"
+_TA = lambda j, at="i - 1": f"({sha_word(f'w[{j}]', at)} % 3 - 1)"
+query("sequence_bundle", f"WITH {_TOK} SELECT conv_id, turn, array_to_string({over(sgn(' + '.join(_TA(j) for j in range(1, 7))))}, ',') AS v FROM k")(
+    lambda spark, d: _tokens(spark, d).select("conv_id", "turn", text(enc.encode_sequence(SPACE, F.col("w"), "bundle")).alias("v")))
+query("sequence_positional", f"WITH {_TOK} SELECT conv_id, turn, array_to_string({over(sgn(' + '.join(_TA(j, f'(i - 1 + {j - 1}) % {D}') for j in range(1, 7))))}, ',') AS v FROM k")(
+    lambda spark, d: _tokens(spark, d).select("conv_id", "turn", text(enc.encode_sequence(SPACE, F.col("w"), "positional")).alias("v")))
+query("sequence_chained", f"WITH {_TOK} SELECT conv_id, turn, array_to_string({over(' * '.join(_TA(j) for j in range(1, 7)))}, ',') AS v FROM k")(
+    lambda spark, d: _tokens(spark, d).select("conv_id", "turn", text(enc.encode_sequence(SPACE, F.col("w"), "chained")).alias("v")))
+query("sequence_ngram", f"WITH {_TOK} SELECT conv_id, turn, array_to_string({over(sgn(' + '.join('(' + _TA(j) + ' * ' + _TA(j + 1, f'i % {D}') + ')' for j in range(1, 6))))}, ',') AS v FROM k")(
+    lambda spark, d: _tokens(spark, d).select("conv_id", "turn", text(enc.encode_sequence(SPACE, F.col("w"), "ngram", 2)).alias("v")))
+query("encode_list", f"WITH {_TOK} SELECT conv_id, turn, array_to_string({over(sgn(' + '.join(f'({sha_word(chr(39) + f"w.[{j - 1}]" + chr(39), "i - 1")} % 3 - 1) * ({sha_word(chr(39) + f"w.[{j - 1}]." + chr(39) + f" || w[{j}]", "i - 1")} % 3 - 1)' for j in range(1, 7))))}, ',') AS v FROM k")(
+    lambda spark, d: _tokens(spark, d).select("conv_id", "turn", text(enc.encode(SPACE, F.col("w"), _tokens(spark, d).schema["w"].dataType, prefix="w")).alias("v")))
+query("encode_set", f"WITH {_TOK}, s AS (SELECT conv_id, turn, unnest(list_distinct(w)) AS x FROM k), l AS (SELECT conv_id, turn, i, sum({sha_word('(' + chr(39) + 'w.' + chr(39) + ' || x)', 'i - 1')} % 3 - 1) AS s FROM s, unnest({EACH}) u(i) GROUP BY ALL) SELECT conv_id, turn, string_agg({sgn('s')} * ({sha_word(chr(39) + 'set_indicator' + chr(39), 'i - 1')} % 3 - 1), ',' ORDER BY i) AS v FROM l GROUP BY conv_id, turn")(
+    lambda spark, d: _tokens(spark, d).select("conv_id", "turn", text(enc.encode(SPACE, F.col("w"), _tokens(spark, d).schema["w"].dataType, {"w": "set"}, "w")).alias("v")))
+query("encode_striped", None)(lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", F.posexplode(enc.encode_json_striped(SPACE, F.col("props"), 4)).alias("stripe", "v")).select("event_id", "stripe", text(F.col("v")).alias("v")))
+query("json_leaves", "SELECT event_id, 'k' AS path, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events")(
+    lambda spark, d: enc.leaves(spark.read.parquet(f"{d}/events.parquet").select("event_id", "props"), "props").select("event_id", "path", "value"))
