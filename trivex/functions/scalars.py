@@ -9,6 +9,7 @@ from pyspark.sql import Column, functions as F
 
 from ..config import Space
 from .atoms import atom_array, literal, sign_array
+from .vectors import bind, bundle_columns, let
 
 T = "tinyint"
 
@@ -71,7 +72,7 @@ def encode_f64(space: Space, value: Column, mode: str, a: float, b: float = 0.0,
     theta = _angle(x if mode == "linear" else x % F.lit(float(a)), a)
     base, ortho = (literal(v.tolist(), "double") for v in bases(space, kind))
     r = F.struct(F.cos(theta).alias("c"), F.sin(theta).alias("s"))
-    return F.element_at(F.transform(F.array(r), lambda r: F.zip_with(base, ortho, lambda p, q: p * r["c"] + q * r["s"])), 1)
+    return let(r, lambda r: F.zip_with(base, ortho, lambda p, q: p * r["c"] + q * r["s"]))
 
 
 def encode(space: Space, value: Column, mode: str, *args: float) -> Column:
@@ -95,9 +96,8 @@ def decode_log(space: Space, v: Column, lo: float = 1e-2, hi: float = 1e10, prob
 def positional(space: Space, position: Column, scale: float = 1000.0) -> Column:
     """Signs of sines (even components) and cosines (odd) of position at frequencies scale ** (-i / dims)."""
     freq = literal([scale ** (-i / space.dims) for i in range(space.dims)], "double")
-    p = position.cast("double")
-    wave = lambda f, i: F.signum(F.when(i % 2 == 0, F.sin(p * f)).otherwise(F.cos(p * f))).cast(T)
-    return F.transform(freq, wave)
+    wave = lambda p: F.transform(freq, lambda f, i: F.signum(F.when(i % 2 == 0, F.sin(p * f)).otherwise(F.cos(p * f))).cast(T))
+    return let(position.cast("double"), wave)
 
 
 def log_positional(space: Space, value: Column, scale: float = 1000.0) -> Column:
@@ -108,6 +108,11 @@ def log_positional(space: Space, value: Column, scale: float = 1000.0) -> Column
 RESOLUTION = {"second": 1.0, "minute": 60.0, "hour": 3600.0, "day": 86400.0}
 
 
+def seconds(ts: Column) -> Column:
+    """Unix seconds of a number or a timestamp of either kind; the session's time zone is taken to be UTC."""
+    return F.unix_micros(ts.cast("timestamp")) / 1e6
+
+
 def time_parts(ts: Column) -> Column:
     """Hour of day, day of week (0: Sunday) and month of 30.5 days, from whole unix seconds."""
     secs = ts.cast("double").cast("long")
@@ -120,16 +125,14 @@ def _turned(space: Space, value: Column, period: float, part: str) -> Column:
     b, o = (literal(atom_array(space, f"__time_{x}_{part}__").tolist(), "double") for x in ("base", "ortho"))
     theta = value % F.lit(period) * F.lit(2 * math.pi / period)
     r = F.struct(F.cos(theta).alias("c"), F.sin(theta).alias("s"))
-    return F.element_at(F.transform(F.array(r), lambda r: F.zip_with(b, o, lambda p, q: F.signum(p * r["c"] + q * r["s"]).cast(T))), 1)
+    return let(r, lambda r: F.zip_with(b, o, lambda p, q: F.signum(p * r["c"] + q * r["s"]).cast(T)))
 
 
 def encode_time(space: Space, ts: Column, resolution: str = "hour") -> Column:
     """A time (unix seconds, or a timestamp) as the signed sum of hour, weekday and month, each turning, and of its place on the line, each bound to its role."""
-    from .vectors import bind, bundle_columns
-
     if resolution not in RESOLUTION:
         raise ValueError(f"unknown resolution {resolution}")
-    ts = ts.cast("double")
+    ts = seconds(ts)
     p = time_parts(ts)
     parts = {r: _turned(space, p[r], period, r) for r, period in (("hour", 24.0), ("dow", 7.0), ("month", 12.0))}
     parts["position"] = positional(space, ts / RESOLUTION[resolution], 10_000.0)

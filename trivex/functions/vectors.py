@@ -17,11 +17,15 @@ def _sign(x: Column) -> Column:
     return F.signum(x).cast(T)
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once per row, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def zipped(a: Column, b: Column, f) -> Column:
-    """zip_with that refuses vectors of unequal length instead of padding with nulls."""
-    ok = F.size(a) == F.size(b)
-    bad = F.raise_error(F.concat(F.lit("vector lengths differ: "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string")))
-    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(ok, F.zip_with(a, b, f)).otherwise(bad)
+    """zip_with that refuses vectors of unequal length instead of padding with nulls; each side is computed once."""
+    bad = F.raise_error(F.lit("vector lengths differ"))
+    return F.zip_with(a, b, lambda x, y: F.when(x.isNull() | y.isNull(), bad).otherwise(f(x, y)))
 
 
 def total(v: Column) -> Column:
@@ -62,8 +66,7 @@ def norm(v: Column) -> Column:
 
 def normalized(v: Column) -> Column:
     """Unit vector; zeros if the norm is degenerate."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > DEGENERATE, x.cast("double") / n).otherwise(0.0))
+    return let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > DEGENERATE, x.cast("double") / n).otherwise(0.0)))
 
 
 def nnz(v: Column) -> Column:
@@ -158,8 +161,9 @@ def conditional_bind(a: Column, b: Column, gate: Column, mode: str) -> Column:
 def sparsify(v: Column, k: int) -> Column:
     """The k components of largest magnitude, ties to the smaller index; all if k reaches the length."""
     ranked = F.array_sort(F.transform(v, lambda x, i: F.struct((-F.abs(x)).alias("m"), i.alias("i"))))
-    kept = F.transform(F.slice(ranked, 1, k) if k > 0 else F.slice(ranked, 1, 0), lambda s: s["i"])
-    return F.when(F.size(v) <= k, v).otherwise(F.transform(v, lambda x, i: F.when(F.array_contains(kept, i), x).otherwise(F.lit(0).cast(T))))
+    kept = F.transform(F.slice(ranked, 1, k), lambda s: s["i"])
+    thin = let(kept, lambda ks: F.transform(v, lambda x, i: F.when(F.array_contains(ks, i), x).otherwise(F.lit(0).cast(T))))
+    return F.when(F.size(v) <= k, v).otherwise(thin)
 
 
 def flip(v: Column) -> Column:
@@ -193,8 +197,7 @@ def power(v: Column, exponent: float) -> Column:
 
 
 def reflect_about_mean(v: Column) -> Column:
-    mean = total(v) / F.size(v)
-    return F.transform(v, lambda x: _sign(2 * mean - x))
+    return let(total(v) / F.size(v), lambda mean: F.transform(v, lambda x: _sign(2 * mean - x)))
 
 
 def grover_amplify(signal: Column, background: Column, iterations: int) -> Column:
@@ -203,7 +206,7 @@ def grover_amplify(signal: Column, background: Column, iterations: int) -> Colum
     for _ in range(iterations):
         v = zipped(v, signal, lambda x, y: x * (1 + F.tanh(x * y)) / 2)
         s = F.struct(v.alias("v"), (total(v) / F.size(v)).alias("m"))
-        v = F.element_at(F.transform(F.array(s), lambda r: F.transform(r["v"], lambda x: 2 * r["m"] - x)), 1)
+        v = let(s, lambda r: F.transform(r["v"], lambda x: 2 * r["m"] - x))
     return F.transform(v, _sign)
 
 
@@ -227,7 +230,7 @@ def _projection(v: Column, basis: np.ndarray) -> Column:
     for row in basis:
         r = literal(row.tolist(), "double")
         c = F.aggregate(F.zip_with(x, r, lambda p, q: p * q), F.lit(0.0), lambda s, y: s + y)
-        part = F.element_at(F.transform(F.array(c), lambda k, r=r: F.transform(r, lambda q: q * k)), 1)
+        part = let(c, lambda k: F.transform(r, lambda q: q * k))
         acc = part if acc is None else F.zip_with(acc, part, lambda p, q: p + q)
     return acc
 
@@ -280,7 +283,7 @@ def negate_f64(a: Column, b: Column) -> Column:
     """a less its projection on b."""
     bb = dot_f64(b, b)
     scale = F.when(bb > DEGENERATE, dot_f64(a, b) / bb).otherwise(0.0)
-    return F.element_at(F.transform(F.array(scale), lambda k: zipped(a, b, lambda x, y: x - k * y)), 1)
+    return let(scale, lambda k: zipped(a, b, lambda x, y: x - k * y))
 
 
 def cosine_f64(a: Column, b: Column) -> Column:

@@ -123,8 +123,9 @@ def _power_sum(sums: Column, p: int) -> Column:
 
 
 def normalize_f64(sums: Column) -> Column:
-    n = F.sqrt(_power_sum(sums, 2))
-    return F.transform(sums, lambda x: F.when(n > DEGENERATE, x / n).otherwise(0.0))
+    from ..functions.vectors import let
+
+    return let(F.sqrt(_power_sum(sums, 2)), lambda n: F.transform(sums, lambda x: F.when(n > DEGENERATE, x / n).otherwise(0.0)))
 
 
 def capacity(sums: Column, codebook: int) -> Column:

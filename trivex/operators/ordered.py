@@ -83,7 +83,7 @@ def drift_rate(stream: DataFrame, window: int) -> DataFrame:
 
 def runs(df: DataFrame, pos: str, gap: int, keys: list[str]) -> DataFrame:
     """keys, first, last, n: positions with at most gap between neighbours, merged."""
-    w = Window.partitionBy(*keys).orderBy(pos)
+    w = Window.partitionBy(*keys).orderBy("_p")
     d = df.select(*keys, F.col(pos).alias("_p")).withColumn("_new", (F.col("_p") - F.lag("_p").over(w) > gap).cast("int"))
     d = d.withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(w))
     return d.groupBy(*keys, "_run").agg(F.min("_p").alias("first"), F.max("_p").alias("last"), F.count("*").alias("n")).drop("_run")

@@ -339,7 +339,7 @@ _F = "pow(1000.0, -(i - 1) / 64.0)"
 query("positional", f"SELECT event_id, array_to_string({over(f'CASE WHEN (i - 1) % 2 = 0 THEN {sgn(f"sin(value * {_F})")} ELSE {sgn(f"cos(value * {_F})")} END')}, ',') AS v FROM events")(
     lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", text(scalars.positional(SPACE, F.col("value"), 1000.0)).alias("v")))
 query("time_parts", f"SELECT event_id, {rsql('(CAST(floor(epoch(ts)) AS BIGINT) % 86400) / 3600.0')} AS hour, CAST((CAST(floor(epoch(ts)) AS BIGINT) // 86400 + 4) % 7 AS INTEGER) AS dow, {rsql('((CAST(floor(epoch(ts)) AS BIGINT) // 86400) % 365) / 30.5')} AS month FROM events")(
-    lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", scalars.time_parts(F.col("ts").cast("double")).alias("p")).select("event_id", rnd(F.col("p.hour")).alias("hour"), F.col("p.dow").cast("int").alias("dow"), rnd(F.col("p.month")).alias("month")))
+    lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", scalars.time_parts(scalars.seconds(F.col("ts"))).alias("p")).select("event_id", rnd(F.col("p.hour")).alias("hour"), F.col("p.dow").cast("int").alias("dow"), rnd(F.col("p.month")).alias("month")))
 query("encode_time", None)(lambda spark, d: spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", text(scalars.encode_time(SPACE, F.col("o_orderdate"))).alias("v")))
 
 # records
@@ -380,3 +380,177 @@ query("encode_set", f"WITH {_TOK}, s AS (SELECT conv_id, turn, unnest(list_disti
 query("encode_striped", None)(lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", F.posexplode(enc.encode_json_striped(SPACE, F.col("props"), 4)).alias("stripe", "v")).select("event_id", "stripe", text(F.col("v")).alias("v")))
 query("json_leaves", "SELECT event_id, 'k' AS path, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events")(
     lambda spark, d: enc.leaves(spark.read.parquet(f"{d}/events.parquet").select("event_id", "props"), "props").select("event_id", "path", "value"))
+
+# expressions
+
+def _expr():
+    from . import expr as x
+
+    return x
+
+
+def _compiled(spark, d: str, build) -> DataFrame:
+    x = _expr()
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select("event_id", text(x.compile(build(x), SPACE)).alias("v"))
+
+
+_TYPE = f"({sha_word('event_type', 'i - 1')} % 3 - 1)"
+
+
+def _const(e) -> str:
+    return "[" + ",".join(map(str, e)) + "][i]"
+
+
+def _k(s: str):
+    x = _expr()
+    return x.array(x.String(s), SPACE)
+
+
+query("expr_bind", f"SELECT event_id, array_to_string({over(f'{_const(_k(chr(116)))} * {_TYPE}')}, ',') AS v FROM events")(
+    lambda spark, d: _compiled(spark, d, lambda x: x.Bind(x.String("t"), x.Field("event_type"))))
+query("expr_bundle_thermometer", f"SELECT event_id, array_to_string({over(sgn(f'{_const(_k(chr(116)))} + {_TYPE} + CASE WHEN i <= {_LEVEL} THEN 1 ELSE -1 END'))}, ',') AS v FROM events")(
+    lambda spark, d: _compiled(spark, d, lambda x: x.Bundle((x.String("t"), x.Field("event_type"), x.Thermometer(F.col("value"), 0.0, 500.0)))))
+query("expr_permute_twice", f"SELECT event_id, array_to_string({over(f'({sha_word(chr(101) + "vent_type", f"(i - 1 + 5) % {D}")} % 3 - 1)')}, ',') AS v FROM events")(
+    lambda spark, d: _compiled(spark, d, lambda x: x.Permute(x.Permute(x.Field("event_type"), 2), 3)))
+query("expr_blend", f"SELECT event_id, array_to_string({over(sgn(f'0.4 * {_const(_k(chr(116)))} - 0.7 * {_TYPE}'))}, ',') AS v FROM events")(
+    lambda spark, d: _compiled(spark, d, lambda x: x.Blend(x.String("t"), x.Field("event_type"), 0.4, -0.7)))
+
+# detection, fields, payloads
+
+
+def _events(spark, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/events.parquet")
+
+
+query("frozen_baseline_z", f"""WITH b AS (SELECT avg(value) AS m, greatest(stddev_pop(value), 0.02) AS s FROM events WHERE event_id < 500) SELECT event_id, {rsql('(value - m) / s')} AS z FROM events, b""")(
+    lambda spark, d: pipe.z_scores(e := _events(spark, d).select("event_id", "value"), pipe.frozen_baseline(e.where("event_id < 500"), ["value"]), ["value"]).select("event_id", rnd(F.col("value_z")).alias("z")))
+query("gated_rates", """WITH b AS (SELECT avg(value) AS m, greatest(stddev_pop(value), 0.02) AS s FROM events WHERE event_id < 500), z AS (SELECT event_type, value > 300 AS attack, (value - m) / s AS z FROM events, b),
+f AS (SELECT event_type, attack, z * -1.5 < -2.5 OR (z * -1.0 < -2.0 AND z * -1.5 < -0.5) AS hit FROM z) SELECT event_type, attack, count(*) AS n, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS hits, round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END), 6) + 0.0 AS share FROM f GROUP BY 1, 2""")(
+    lambda spark, d: pipe.rates(pipe.z_scores(e := _events(spark, d).select("event_id", "event_type", "value"), pipe.frozen_baseline(e.where("event_id < 500"), ["value"]), ["value"]).select("event_type", (F.col("value") > 300).alias("attack"), pipe.gated(F.col("value_z") * -1.5, F.col("value_z") * -1.0).alias("hit")), "event_type", "hit", "attack").select("event_type", "attack", "n", "hits", rnd(F.col("share")).alias("share")))
+query("precision_recall", """WITH f AS (SELECT value > 100 AS f, event_type = 'click' AS t FROM events), s AS (SELECT CAST(sum(CASE WHEN f AND t THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN f AND NOT t THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN NOT f AND t THEN 1 ELSE 0 END) AS BIGINT) AS fn FROM f)
+SELECT tp, fp, fn, round(tp / (tp + fp), 6) + 0.0 AS precision, round(tp / (tp + fn), 6) + 0.0 AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) + 0.0 AS f1 FROM s""")(
+    lambda spark, d: pipe.precision_recall(_events(spark, d).select((F.col("value") > 100).alias("f"), (F.col("event_type") == "click").alias("t")), "f", "t").select("tp", "fp", "fn", *[rnd(F.col(c)).alias(c) for c in ("precision", "recall", "f1")]))
+query("event_rate", """WITH t AS (SELECT event_id, user_id, CAST(epoch_us(ts) AS DOUBLE) / 1e6 AS t, ts FROM events), w AS (SELECT event_id, count(*) OVER w AS n, max(t) OVER w - min(t) OVER w AS span FROM t WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))
+SELECT event_id, round(CASE WHEN n < 2 THEN 100.0 WHEN span <= 0 THEN 1e6 ELSE least((n - 1) / span, 1e6) END, 9) + 0.0 AS rate FROM w""")(
+    lambda spark, d: pipe.event_rate(_events(spark, d), ["user_id"], "ts").select("event_id", rnd(F.col("rate"), 9).alias("rate")))
+query("distinct_ratio", f"SELECT event_type, {rsql('least(count(DISTINCT props) / count(props), 1)')} AS ratio FROM events GROUP BY 1")(
+    lambda spark, d: pipe.distinct_ratio(_events(spark, d), ["event_type"], "props", exact=True).select("event_type", rnd(F.col("ratio")).alias("ratio")))
+query("distinct_ratio_sketch", None)(lambda spark, d: pipe.distinct_ratio(_events(spark, d), ["event_type"], "props").select("event_type", rnd(F.col("ratio"), 1).alias("ratio")))
+query("dominant_values", f"""WITH c AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) AS r, sum(n) OVER (PARTITION BY event_type) AS total, count(*) OVER (PARTITION BY event_type) AS v FROM c)
+SELECT event_type, user_id AS top, n, CAST(total AS BIGINT) AS total, v AS values, {rsql('n / total')} AS concentration FROM r WHERE r = 1""")(
+    lambda spark, d: pipe.dominant(_events(spark, d), ["event_type"], "user_id").select("event_type", "top", "n", "total", "values", rnd(F.col("concentration")).alias("concentration")))
+query("novel_values", "SELECT DISTINCT event_type, user_id FROM events e WHERE event_id >= 5000 AND NOT EXISTS (SELECT 1 FROM events s WHERE s.event_id < 5000 AND s.event_type = e.event_type AND s.user_id = e.user_id)")(
+    lambda spark, d: pipe.novel((e := _events(spark, d)).where("event_id >= 5000").select("event_type", "user_id").distinct(), e.where("event_id < 5000"), ["event_type", "user_id"]))
+query("unpivot_fields", "SELECT l_returnflag AS key, 'status' AS field, l_linestatus AS value, count(*) AS n FROM lineitem GROUP BY 1, 3 UNION ALL SELECT l_returnflag, 'line', CAST(l_linenumber AS VARCHAR), count(*) FROM lineitem GROUP BY 1, 3")(
+    lambda spark, d: pipe.unpivot(spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_returnflag").alias("key"), F.col("l_linestatus").alias("status"), F.col("l_linenumber").alias("line")), ["key"], ["status", "line"]).groupBy("key", "field", "value").agg(F.count("*").alias("n")))
+_BYTES = "b AS (SELECT page_id, i - 1 AS pos, CAST('0x' || substr(h, 2 * i - 1, 2) AS INTEGER) AS byte FROM (SELECT page_id, substr(hex(encode(html)), 1, 256) AS h FROM pages) p, unnest(range(1, 129)) u(i) WHERE 2 * i <= length(h))"
+
+
+def _page_bytes(spark, d: str) -> DataFrame:
+    return pipe.payload_bytes(spark.read.parquet(f"{d}/pages.parquet"), "page_id", F.col("html"), 128)
+
+
+query("payload_windows", f"WITH {_BYTES} SELECT page_id, CAST(pos // 64 AS INTEGER) AS window, count(*) AS n, CAST(sum(byte) AS BIGINT) AS total FROM b GROUP BY 1, 2")(
+    lambda spark, d: pipe.payload_windows(_page_bytes(spark, d)).groupBy("page_id", "window").agg(F.count("*").alias("n"), F.sum("byte").alias("total")))
+query("position_profile", f"""WITH {_BYTES}, c AS (SELECT pos, byte, count(*) AS n FROM b GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY n DESC, byte) AS r, sum(n) OVER (PARTITION BY pos) AS total, count(*) OVER (PARTITION BY pos) AS v FROM c)
+SELECT CAST(pos AS INTEGER) AS pos, byte AS top, n, CAST(total AS BIGINT) AS total, v AS values, {rsql('n / total')} AS concentration, n / total >= 0.95 AS is_constant FROM r WHERE r = 1""")(
+    lambda spark, d: pipe.position_profile(_page_bytes(spark, d)).select("pos", "top", "n", "total", "values", rnd(F.col("concentration")).alias("concentration"), "is_constant"))
+query("unseen_bytes", f"WITH {_BYTES} SELECT DISTINCT CAST(pos AS INTEGER) AS pos, byte FROM b x WHERE page_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM b y WHERE y.page_id % 2 = 0 AND x.pos = y.pos AND x.byte = y.byte)")(
+    lambda spark, d: pipe.unseen((b := _page_bytes(spark, d)).where("page_id % 2 = 1"), b.where("page_id % 2 = 0")))
+query("byte_runs", f"""WITH {_BYTES}, p AS (SELECT DISTINCT page_id, pos FROM b WHERE byte = 101), g AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY page_id ORDER BY pos) > 4 THEN 1 ELSE 0 END AS n FROM p), r AS (SELECT *, sum(n) OVER (PARTITION BY page_id ORDER BY pos) AS run FROM g)
+SELECT page_id, CAST(min(pos) AS INTEGER) AS first, CAST(max(pos) AS INTEGER) AS last, count(*) AS n FROM r GROUP BY page_id, run""")(
+    lambda spark, d: ordered.runs(_page_bytes(spark, d).where("byte = 101"), "pos", 4, ["page_id"]))
+query("best_mask", f"""WITH {_BYTES}, m AS (SELECT page_id, pos, mask, byte & mask AS match FROM b, unnest([255, 254, 252, 248, 240, 224, 192, 128]) u(mask)), a AS (SELECT pos, mask, match, count(*) AS n FROM m WHERE page_id % 2 = 1 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY n DESC, mask DESC, match) AS r FROM a WHERE NOT EXISTS (SELECT 1 FROM m y WHERE y.page_id % 2 = 0 AND y.pos = a.pos AND y.mask = a.mask AND y.match = a.match))
+SELECT CAST(pos AS INTEGER) AS pos, mask, match, n FROM r WHERE r = 1""")(
+    lambda spark, d: pipe.best_mask((b := _page_bytes(spark, d)).where("page_id % 2 = 1"), b.where("page_id % 2 = 0")))
+_GRAMS = "g AS (SELECT x.page_id, x.pos, printf('%02x', x.byte) || printf('%02x', y.byte) AS bytes FROM b x JOIN b y ON x.page_id = y.page_id AND y.pos = x.pos + 1)"
+query("rule_candidates", f"""WITH {_BYTES}, {_GRAMS}, a AS (SELECT pos, bytes, count(*) AS n FROM g WHERE page_id % 2 = 1 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY n DESC, bytes) AS r FROM a WHERE NOT EXISTS (SELECT 1 FROM g y WHERE y.page_id % 2 = 0 AND y.pos = a.pos AND y.bytes = a.bytes))
+SELECT CAST(pos AS INTEGER) AS pos, bytes, n FROM r WHERE r <= 5""")(
+    lambda spark, d: pipe.rule_candidates((b := _page_bytes(spark, d)).where("page_id % 2 = 1"), b.where("page_id % 2 = 0"), "page_id", 2))
+query("bands", "SELECT CASE WHEN l_partkey < 1024 THEN 'system' WHEN l_partkey < 49152 THEN 'registered' ELSE 'dynamic' END AS port, CASE WHEN l_quantity * 30 < 100 THEN 'small' WHEN l_quantity * 30 < 1000 THEN 'medium' ELSE 'large' END AS size, count(*) AS n FROM lineitem GROUP BY 1, 2")(
+    lambda spark, d: spark.read.parquet(f"{d}/lineitem.parquet").groupBy(pipe.port_band(F.col("l_partkey")).alias("port"), pipe.size_band(F.col("l_quantity") * 30).alias("size")).agg(F.count("*").alias("n")))
+query("windowed_bundle", f"""WITH a AS (SELECT date_trunc('day', ts) AS start, i, sum({_TYPE}) AS s, count(*) AS n FROM events, unnest({EACH}) u(i) GROUP BY 1, 2) SELECT start, string_agg({sgn('s')}, ',' ORDER BY i) AS v, any_value(n) AS n FROM a GROUP BY start""")(
+    lambda spark, d: _windowed(spark, d))
+
+
+def _windowed(spark, d: str) -> DataFrame:
+    from ..streaming.windows import windowed_bundle
+
+    e = books.with_vectors(_events(spark, d), "event_type", books.codebook(_events(spark, d), "event_type", SPACE))
+    return windowed_bundle(e, "ts", "v", D, "1 day").select("start", text(F.col("v")).alias("v"), "n")
+
+
+# learners: order-dependent linear algebra, checked against numpy in the tests
+
+query("subspace_residuals")(lambda spark, d: _sub().learn_residuals(tern(spark, d), "label", "vec_id", "v", 4).select("label", "vec_id", rnd(F.col("residual"), 4).alias("residual"), rnd(F.when(F.col("threshold") < 1e300, F.col("threshold")), 4).alias("threshold")))
+query("subspace_score")(lambda spark, d: _sub().score(tern(spark, d), _sub().learn(tern(spark, d), "label", "vec_id", "v", 4), "label", "v").select("vec_id", rnd(F.col("residual"), 4).alias("residual"), "anomalous"))
+query("engram_match")(lambda spark, d: _library(spark, d).match_vec(tern(spark, d).where("vec_id % 10 = 0"), "vec_id", "v", 3).select("vec_id", "rank", "name", rnd(F.col("residual"), 4).alias("residual")))
+query("engram_spectrum")(lambda spark, d: _library(spark, d).match_spectrum([3.0, 2.0, 1.0, 0.5], 5).select("name", rnd(F.col("score"), 4).alias("score")))
+query("reckoner_predict")(lambda spark, d: _reck(spark, d))
+query("reckoner_regress")(lambda spark, d: _regress(spark, d))
+query("reckoner_curve")(lambda spark, d: _curve(spark, d))
+query("hysteresis")(lambda spark, d: pipe.hysteresis(_events(spark, d).withColumn("hit", F.col("value") > 200), "user_id", "event_id", "hit"))
+query("self_training")(lambda spark, d: _self_training(spark, d))
+query("changepoints")(lambda spark, d: pipe.consolidated(ordered.segment(_stream(spark, d), 4, 0.0, "diff", D), 12))
+
+
+def _sub():
+    from ..operators import subspace
+
+    return subspace
+
+
+def _library(spark, d: str):
+    from ..operators.engrams import Library
+
+    return Library.empty(spark).add_models(_sub().learn(tern(spark, d), "label", "vec_id", "v", 4), "label")
+
+
+def _reck(spark, d: str) -> DataFrame:
+    from ..operators import reckoner
+
+    t = tern(spark, d)
+    n = (t.agg(F.max("label")).first()[0] or 0) + 1
+    model = reckoner.observed(t, "label", "vec_id", "v", D, n, 100)
+    return reckoner.predict(t, "v", model).select("vec_id", "label", "direction", rnd(F.col("conviction"), 4).alias("conviction"))
+
+
+def _regress(spark, d: str) -> DataFrame:
+    from ..operators import reckoner
+
+    t = tern(spark, d).withColumn("y", F.col("label").cast("double")).withColumn("k", F.col("vec_id") % 4)
+    return reckoner.regress(t, "k", "vec_id", "v", "y", 8).select("k", "vec_id", rnd(F.col("predicted"), 4).alias("predicted"))
+
+
+def _curve(spark, d: str) -> DataFrame:
+    from ..operators import reckoner
+
+    r = _reck(spark, d).select("conviction", (F.col("direction") == F.col("label")).alias("ok"), "vec_id")
+    return reckoner.curve(r, "conviction", "ok", "vec_id", 10, min_resolved=200, bins=10).select(rnd(F.col("a"), 3).alias("a"), rnd(F.col("b"), 3).alias("b"))
+
+
+def _self_training(spark, d: str) -> DataFrame:
+    e = _events(spark, d).where("user_id <= 20")
+    e = books.with_vectors(e, "event_type", books.codebook(e, "event_type", SPACE)).withColumn("r", scalars.encode_thermometer(SPACE, F.col("value"), 0.0, 500.0))
+    return pipe.self_training(e, "user_id", "event_id", "v", "r").select("user_id", "event_id", rnd(F.col("pattern_sim"), 4).alias("pattern_sim"), rnd(F.col("rate_sim"), 4).alias("rate_sim"), "anomalous")
+
+
+# the flagship: how unlike all events an event is
+
+def flagship(spark, d: str) -> DataFrame:
+    """event_id, anomaly: one less the cosine of each event's record vector and the bundle of all events; records are encoded once per distinct content."""
+    e = _events(spark, d).select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
+    kinds = e.groupBy("event_type", "k").agg(F.count("*").alias("n"))
+    shape = kinds.select(F.struct("event_type", "k").alias("s")).schema["s"].dataType
+    coded = kinds.withColumn("v", enc.encode(SPACE, F.struct("event_type", "k"), shape))
+    base = agg.bundle(coded, [], "v", D, F.col("n")).select(F.col("v").alias("base"))
+    scored = coded.crossJoin(F.broadcast(base)).select("event_type", "k", rnd(1 - sim.cosine(F.col("v"), F.col("base"))).alias("anomaly"))  # base is one row
+    return e.join(scored, ["event_type", "k"]).select("event_id", "anomaly")
+
+
+_REC = sgn(_ROLE("event_type", "event_type") + " + " + _ROLE("k", "k"))
+query("flagship", f"""WITH e AS (SELECT event_id, event_type, json_extract_string(props, '$.k') AS k FROM events), c AS (SELECT event_type, k, count(*) AS n FROM e GROUP BY 1, 2), r AS (SELECT event_type, k, n, {over(_REC)} AS v FROM c),
+b AS (SELECT list({sgn('s')} ORDER BY i) AS b FROM (SELECT i, sum(n * v[i]) AS s FROM r, unnest({EACH}) u(i) GROUP BY i)), x AS (SELECT event_type, k, {total('v[i] * b[i]')} / (sqrt({total('v[i] * v[i]')}) * sqrt({total('b[i] * b[i]')})) AS c FROM r, b)
+SELECT event_id, {rsql('1 - c')} AS anomaly FROM e JOIN x USING (event_type, k)""")(flagship)

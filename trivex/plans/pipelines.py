@@ -99,7 +99,7 @@ def self_training(df: DataFrame, key: str, order: str, pattern: str, rate: str,
 def event_rate(df: DataFrame, keys: list[str], ts: str, last: int = 100, cap: float = 1e6) -> DataFrame:
     """df with rate: events per second over the last rows of a key, capped; the first row has 100."""
     w = Window.partitionBy(*keys).orderBy(ts)
-    t = F.col(ts).cast("double")
+    t = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
     recent = w.rowsBetween(-(last - 1), 0)
     n, span = F.count(F.lit(1)).over(recent), F.max(t).over(recent) - F.min(t).over(recent)
     return df.withColumn("rate", F.when(n < 2, F.lit(100.0)).when(span <= 0, F.lit(cap)).otherwise(F.least((n - 1) / span, F.lit(cap))))
