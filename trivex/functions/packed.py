@@ -94,7 +94,9 @@ def bundle(df: DataFrame, keys: list[str], v: str, space: Space) -> DataFrame:
 
     def add(batches, first):
         held: dict[tuple, np.ndarray] = {}
+        types: list = []
         for b in batches:
+            types = [b.column(i).type for i in range(len(keys))]
             names = list(zip(*[b.column(i).to_pylist() for i in range(len(keys))], strict=True)) if keys else [()] * b.num_rows
             m = matrix(b.column(len(keys)), dims) if first else np.stack([np.frombuffer(x.as_py(), np.int64) for x in b.column(len(keys))]) if b.num_rows else np.zeros((0, dims))
             of: dict[tuple, list[int]] = {}
@@ -103,16 +105,17 @@ def bundle(df: DataFrame, keys: list[str], v: str, space: Space) -> DataFrame:
             for k, at in of.items():
                 s = m[at].sum(0, dtype=np.int64)
                 held[k] = held[k] + s if k in held else s
-        return held
+        return held, types
 
-    def rows(held, f):
+    def rows(got, f, name):
+        held, types = got
         if held:
             cols = list(zip(*held, strict=True)) if keys else []
-            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], pa.array([f(s) for s in held.values()], pa.binary())], [*keys, "x"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(cols, types, strict=True)], pa.array([f(s) for s in held.values()], pa.binary())], [*keys, name])
 
-    part = df.select(*keys, v).where(F.col(v).isNotNull()).mapInArrow(lambda b: rows(add(b, True), lambda s: s.tobytes()), form)
+    part = df.select(*keys, v).where(F.col(v).isNotNull()).mapInArrow(lambda b: rows(add(b, True), lambda s: s.tobytes(), "sums"), form)
     part = part.repartition(*[F.col(k) for k in keys]) if keys else part.coalesce(1)
-    return part.mapInArrow(lambda b: rows(add(b, False), lambda s: np.sign(s).astype(np.int8).tobytes()), form.replace("sums", "v"))
+    return part.mapInArrow(lambda b: rows(add(b, False), lambda s: np.sign(s).astype(np.int8).tobytes(), "v"), form.replace("sums", "v"))
 
 
 def encode_json(df: DataFrame, text: str, space: Space, out: str = "v") -> DataFrame:

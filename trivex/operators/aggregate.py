@@ -27,7 +27,9 @@ def vector_sums(df: DataFrame, keys: list[str], vec: str, dims: int, weight: Col
 
     def partial(batches):
         held: dict[tuple, list] = {}
+        types: list = []
         for b in batches:
+            types = [b.column(i).type for i in range(len(keys))]
             cols = [b.column(i).to_pylist() for i in range(len(keys))]
             of: dict[tuple, list[int]] = {}
             for i, k in enumerate(zip(*cols, strict=True) if keys else [()] * b.num_rows):
@@ -40,7 +42,7 @@ def vector_sums(df: DataFrame, keys: list[str], vec: str, dims: int, weight: Col
                 s[1] += len(i)
         if held:
             cols = list(zip(*held, strict=True)) if keys else []
-            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], pa.array([s.tolist() for s, _ in held.values()], pa.list_(pa.float64())), pa.array([n for _, n in held.values()], pa.int64())], [*keys, "part", "n"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(cols, types, strict=True)], pa.array([s.tolist() for s, _ in held.values()], pa.list_(pa.float64())), pa.array([n for _, n in held.values()], pa.int64())], [*keys, "part", "n"])
 
     parts = rows.mapInArrow(partial, StructType([*fields, StructField("part", ArrayType(DoubleType())), StructField("n", LongType())]))
     per = parts.select(*keys, "n", F.posexplode("part").alias("d", "x")).groupBy(*keys, "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))

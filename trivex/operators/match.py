@@ -20,7 +20,7 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 def _matrix(col) -> np.ndarray:
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1).astype(float)
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1).astype(float) if len(col) else np.zeros((0, 1))
 
 
 def _cosines(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -60,7 +60,7 @@ def topk_similar(queries: DataFrame, codebook: DataFrame, k: int, threshold: flo
     if n * max(dims, 1) <= BROADCAST_BYTES:
         rows = book.orderBy("idx").collect()
         idx = np.array([r[0] for r in rows], np.int64)
-        c = np.array([r[1] for r in rows], np.int8).reshape(len(rows), -1)
+        c = np.array([r[1] for r in rows], np.int8) if rows else np.zeros((0, 1), np.int8)
         sent = queries.sparkSession.sparkContext.broadcast((idx, c))
 
         def scan(batches):

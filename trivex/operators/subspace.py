@@ -161,7 +161,9 @@ class Subspace:
 
 
 def learn(df: DataFrame, key: str, order: str, vec: str, k: int, **params) -> DataFrame:
-    """A model row per key, from its vectors in ascending order."""
+    """A model row per key, from its vectors in ascending order. The key's name must not be one of a model's fields."""
+    if key in FIELDS:
+        raise ValueError(f"rename the key: {key} is a field of a model")
     kind = df.schema[key].dataType.simpleString()
 
     def run(t: pa.Table) -> pa.Table:
