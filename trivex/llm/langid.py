@@ -42,6 +42,8 @@ def ngrams(text: str) -> np.ndarray:
 
 def ranked(codes: np.ndarray, k: int = PROFILE) -> np.ndarray:
     """The k most frequent codes, most frequent first, ties to the smaller code."""
+    if not len(codes):
+        return np.zeros(0, np.int32)
     s = np.sort(codes)
     at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
     count = np.diff(np.concatenate((at, [len(s)]))).astype(np.int64)

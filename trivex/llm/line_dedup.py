@@ -46,11 +46,11 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """
     gone, rows = removals(docs, min_lines)
     names = docs.columns
-    right = checked(gone.select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), "gone"), rows, 40)
-    out = docs.join(right, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_th")), "left")
+    right = checked(gone.select(F.col("doc_id").alias("_ld_doc"), F.col("th").alias("_ld_th"), F.col("gone").alias("_ld_gone")), rows, 40)
+    out = docs.join(right, F.col("doc_id").cast("long").eqNullSafe(F.col("_ld_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_ld_th")), "left")
     split = F.split(F.col("text").cast("string"), "\n", -1)
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    more = {"n_lines": F.coalesce(F.size(split), F.lit(0)), "n_removed": F.coalesce(F.size("gone"), F.lit(0))}
+    text = F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_ld_gone", i)), "\n"))
+    more = {"n_lines": F.coalesce(F.size(split), F.lit(0)), "n_removed": F.coalesce(F.size("_ld_gone"), F.lit(0))}
     return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in names], *[F.greatest(v, F.lit(0)).cast("int").alias(k) for k, v in more.items() if k not in names])
 
 

@@ -130,7 +130,7 @@ def search(base: DataFrame, queries: DataFrame, k: int, tables: int = TABLES, ha
     if n <= k + 1 or not short.isEmpty():
         parts = -(-n // BLOCK) or 1
         a = base.select(F.lit(0).alias("t"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("b"), F.lit(0).alias("s"), "vec_id", "v")
-        b = short.select(F.lit(0).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long").alias("b"), F.lit(0).alias("s"), "vec_id", "v")
+        b = short.select(F.lit(0).alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("b"), F.lit(0).alias("s"), "vec_id", "v")
         exact = a.groupBy(*by).cogroup(b.groupBy(*by)).applyInArrow(near, NEAR)
         rest = best.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
         best = rest.union(ranked(exact, k, True))

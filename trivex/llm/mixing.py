@@ -88,10 +88,11 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 7) ->
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
     """The rows of docs, each as often as it is taken, with the columns of docs. Cases as for mixed(); rows that repeat a doc_id and text are taken together."""
     m = written(mixed(docs, weights, most, seed).groupBy("doc_id", "th").agg(F.max("copies").alias("copies")), "mixed")
-    right = checked(m.select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), "copies").where("copies > 0"), m.count(), 32)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col("_th"))
+    names = [F.col("doc_id").alias("_mix_doc"), F.col("th").alias("_mix_th"), F.col("copies").alias("_mix_copies")]
+    right = checked(m.where("copies > 0").select(*names), m.count(), 32)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_doc")) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col("_mix_th"))
     out = docs.join(right, same)
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).select(*docs.columns)
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_mix_copies")).alias("_mix_copy")).select(*docs.columns)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ def _dots(c: np.ndarray, q: np.ndarray) -> np.ndarray:
 def bucket_top(c: np.ndarray, ids: np.ndarray, norms: np.ndarray, q: np.ndarray, own: int, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, scores) of the k largest products of q with a bucket (norms descending) that can reach floor; own is left out.
 
-    The local threshold floor / (|q| * largest norm) is the least cosine that can count. At COORDINATE or more, candidates are kept by the range that this cosine leaves the two largest coordinates of q; below it by length, as a product is at most |q| times the norm. What is kept is verified by exact products.
+    The local threshold floor / (|q| * largest norm) is the least cosine that can count. At COORDINATE or more, candidates are kept by the range that this cosine leaves their coordinates on the two largest axes of q; below it by length, as a product is at most |q| times the norm. What is kept is verified by exact products.
     """
     nq = float(np.sqrt((q * q).sum()))
     keep = slice(0, len(ids))
@@ -40,13 +40,13 @@ def bucket_top(c: np.ndarray, ids: np.ndarray, norms: np.ndarray, q: np.ndarray,
         keep = slice(0, last)
         if tau >= COORDINATE:
             unit, ok = q / nq, np.ones(last, bool)
+            wide = float(np.arccos(min(1.0, tau))) + 1e-7
             for f in np.argsort(-np.abs(unit))[:2]:
-                mid, half = unit[f] * tau, np.sqrt(max(0.0, (1 - tau * tau) * (1 - unit[f] ** 2)))
-                lo = mid - half - 1e-9 if unit[f] < tau or True else -1
-                hi = mid + half + 1e-9
+                # the angle to axis f of a vector within wide of q differs from that of q by at most wide
+                own_angle = float(np.arccos(np.clip(unit[f], -1, 1)))
+                lo, hi = np.cos(min(np.pi, own_angle + wide)), np.cos(max(0.0, own_angle - wide))
                 x = c[:last, f] / norms[:last]
-                # cosines between tau and 1 leave [lo, hi] of the least one, stretched to the coordinate itself
-                ok &= (x >= min(lo, unit[f] - 1e-9)) & (x <= max(hi, unit[f] + 1e-9))
+                ok &= (x >= lo - 1e-9) & (x <= hi + 1e-9)
             keep = np.flatnonzero(ok)
     ids, c = ids[keep], c[keep]
     s = _dots(c, q)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import small_batches
-from .tokens import ChunkTokenizer
+from .tokens import TextTokenizer
 
 WINDOW = 1024
 END = 0
@@ -93,7 +93,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "bytes", window: int = WIN
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 40
-        packer, tok = Packer(window), ChunkTokenizer.of(tokenizer, kind)
+        packer, tok = Packer(window), TextTokenizer.of(tokenizer, kind)
 
         def batch(rows):
             keys = pa.array([k for k, _ in rows], key_type)

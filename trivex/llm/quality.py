@@ -98,8 +98,8 @@ class Models:
 
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that labels calls good (quality 1 and never 0). Labels are broadcast only if counted to be few."""
-    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("_d")).agg(F.min("quality").alias("q")).where("q = 1").select("_d")
-    return docs.join(checked(good, labels.count(), 16), F.col("doc_id") == F.col("_d"), "left_semi")
+    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("_trusted")).agg(F.min("quality").alias("q")).where("q = 1").select("_trusted")
+    return docs.join(checked(good, labels.count(), 16), F.col("doc_id") == F.col("_trusted"), "left_semi")
 
 
 def learn(good: DataFrame) -> Models:

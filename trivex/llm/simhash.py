@@ -101,8 +101,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_diff: int = 2) -> DataF
 def one_of_each(docs: DataFrame, width: int = 5, max_diff: int = 2) -> DataFrame:
     """The rows of docs that no earlier row of their group precedes: of each group of near_duplicates() the rows with the smallest doc_id stay, with all columns. Rows with a null doc_id stay."""
     groups = near_duplicates(docs, width, max_diff)
-    gone = written(groups.where("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(checked(gone, gone.count(), 16), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = written(groups.where("doc_id > component_id").select(F.col("doc_id").alias("_near_gone")).distinct(), "gone")
+    return docs.join(checked(gone, gone.count(), 16), F.col("doc_id").cast("long") == F.col("_near_gone"), "left_anti")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

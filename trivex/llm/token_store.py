@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .common import partitions_for, small_batches, table_path
-from .tokens import ChunkTokenizer
+from .tokens import TextTokenizer
 
 #: Documents whose ids train the dictionary: those first by a hash of doc_id. The dictionary's bytes.
 SAMPLE, DICT_BYTES = 400, 64 << 10
@@ -37,9 +37,8 @@ def _wide(ids: bytes, width: int) -> bytes:
 def train(docs: DataFrame, tokenizer: str, kind: str, end: int, width: int) -> bytes:
     """A dictionary of at most DICT_BYTES from the ids of SAMPLE documents; empty if they are too few to train one."""
     rows = docs.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("text").collect()
-    tok, last = ChunkTokenizer.of(tokenizer, kind), np.array([end], "<u4").tobytes()
+    tok, last = TextTokenizer.of(tokenizer, kind), np.array([end], "<u4").tobytes()
     samples = [_narrow(x + last, width) for x in tok.encode([r[0] for r in rows])]
-    tok.cache = {}
     try:
         return zstandard.train_dictionary(min(DICT_BYTES, max(1024, sum(map(len, samples)) // 8)), samples).as_bytes() if len(samples) >= 8 else b""
     except zstandard.ZstdError:
@@ -63,7 +62,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str, end: int,
     def run(batches):
         from pyspark import TaskContext
 
-        shard, tok = TaskContext.get().partitionId(), ChunkTokenizer.of(tokenizer, kind)
+        shard, tok = TaskContext.get().partitionId(), TextTokenizer.of(tokenizer, kind)
         z = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=True)
         start, block = 0, 0
         ids, offs, ns, frames, held = [], [], [], [], 0

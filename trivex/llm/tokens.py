@@ -1,64 +1,83 @@
-"""Public tokenizers over long texts, through a cache of chunks that are tokenized alone exactly as in place."""
+"""Public tokenizers over long texts: the ids of the tokenizers library, by a faster byte-pair merger where both are sure to agree."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
 
-#: Chunks a worker remembers.
-CACHE = 250_000
-_DOUBLE = re.compile(r"\s\s")
-_held: dict[tuple[str, str], "ChunkTokenizer"] = {}
+#: Texts of these characters only, and without an added token's "<|", take the fast way; any other text goes to the tokenizers library.
+_OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]|<\\|")
+_PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_END, _MARK = "</w>", "\x01"
+_held: dict[tuple[str, str], "TextTokenizer"] = {}
 
 
-class ChunkTokenizer:
+def _bytes_of() -> dict[str, int]:
+    """Character -> byte of byte-level vocabularies: printable bytes stand for themselves, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out = {chr(b): b for b in plain}
+    return out | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+
+
+class TextTokenizer:
     """ids of texts as little-endian uint32 bytes, those of encode(text, add_special_tokens=False).
 
-    kind "spaced": white space is dropped and ends every token, so a text is cut at blanks and line feeds. kind "bytes": a byte-level BPE whose pieces start at white space, so a text is cut before each blank and around each line feed; a text with two white spaces in a row is tokenized whole, as a run's split depends on what follows it.
+    kind "bytes" is a byte-level BPE; "spaced" one whose words end in a mark and whose input is lower-cased, with white space dropped. Both are merged by tiktoken from the vocabulary of the same file: ids of merged tokens are in merge order. A word's end is a byte that a Latin text doesn't have, and joins the word's last byte before anything else.
     """
 
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tok, self.kind, self.cache = Tokenizer.from_file(path), kind, {}
+        self.slow, self.kind = Tokenizer.from_file(path), kind
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        special = {t["content"] for t in model["added_tokens"]}
+        of, ranks = _bytes_of(), {}
+        first = {}  # rank -> id where they differ
+        for t, i in model["model"]["vocab"].items():
+            if t in special:
+                continue
+            ended = kind == "spaced" and t.endswith(_END) and len(t) > len(_END)
+            raw = bytes(of[c] for c in (t[: -len(_END)] if ended else t)) + (_MARK.encode() if ended else b"")
+            rank = i
+            if kind == "spaced" and len(raw) <= 1 + ended:
+                rank = raw[0] + (0 if ended else 256)
+                first[rank] = i
+            ranks[raw] = rank
+        self.table = np.arange(max(ranks.values()) + 1, dtype="<u4")
+        for r, i in first.items():
+            self.table[r] = i
+        pattern = _PATTERN if kind == "bytes" else f"[^{_MARK}]+{_MARK}"
+        self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     @staticmethod
-    def of(path: str, kind: str) -> "ChunkTokenizer":
+    def of(path: str, kind: str) -> "TextTokenizer":
         if (path, kind) not in _held:
-            _held[path, kind] = ChunkTokenizer(path, kind)
+            _held[path, kind] = TextTokenizer(path, kind)
         return _held[path, kind]
 
-    def _chunks(self, text: str) -> list[str]:
-        if self.kind == "spaced":
-            return text.replace("\n", " ").split(" ")
-        if _DOUBLE.search(text):
-            return [text]
-        lines = text.split("\n")
-        out: list[str] = []
-        for i, line in enumerate(lines):
-            if i:
-                out.append("\n")
-            words = line.split(" ")
-            out.append(words[0])
-            out += [" " + w for w in words[1:]]
-        return out
+    def _slow(self, text: str) -> bytes:
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        cache = self.cache
-        cut = [self._chunks(t) for t in texts]
-        new = list({c for x in cut for c in x if c not in cache})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[c] = np.array(e.ids, "<u4").tobytes()
-        get = cache.__getitem__
-        out = [b"".join(map(get, x)) for x in cut]
-        for x in cut:  # whole texts aren't worth remembering
-            if len(x) == 1 and len(x[0]) > 200:
-                cache.pop(x[0], None)
+        out = []
+        for t in texts:
+            if not t:
+                out.append(b"")
+            elif _OTHER.search(t):
+                out.append(self._slow(t))
+            elif self.kind == "bytes":
+                out.append(self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False).tobytes())
+            else:
+                words = _PIECES.findall(t.lower())
+                if words:
+                    out.append(self.table[self.fast.encode_to_numpy(_MARK.join(words) + _MARK, disallowed_special=())].tobytes())
+                else:
+                    out.append(b"")
         return out
