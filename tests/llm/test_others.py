@@ -60,47 +60,92 @@ def test_langid_nothing_to_learn(docs):
 
 # language models
 
-def brute_kn(seqs):
-    """p(c | a b) of interpolated modified Kneser-Ney, from its formulas."""
-    A = quality.A
-    c3 = Counter(g for s in seqs for g in s)
-    c2, c1 = Counter(), Counter()
-    for a, b, c in c3:
-        c2[b, c] += 1
-    for _, c in c2:
-        c1[c] += 1
+def grams(text):
+    """The n-grams of a text by definition: ORDER - 1 pads, then its symbols."""
+    c = [0] * (quality.ORDER - 1) + quality.symbols(text).tolist()
+    return [tuple(c[i : i + quality.ORDER]) for i in range(len(c) - quality.ORDER + 1)]
+
+
+def coded(gram):
+    out = 0
+    for x in gram:
+        out = out * quality.A + x
+    return out
+
+
+def brute_kn(top):
+    """p(g) of interpolated modified Kneser-Ney from the counts of the top order, from its formulas."""
+    counts = {quality.ORDER: top}
+    for n in range(quality.ORDER - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
 
     def discounts(c):
         n = Counter(c.values())
         y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
         return [0.0, *(min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05), i - 0.05) if n[i] else 0.5 for i in (1, 2, 3))]
 
-    d1, d2, d3 = map(discounts, (c1, c2, c3))
+    d = {n: discounts(c) for n, c in counts.items()}
 
-    def level(c, d, ctx, sym, lower):
-        row = {k: v for k, v in c.items() if k[:-1] == ctx} if ctx else {(k,): v for k, v in c.items()}
+    def p(g):
+        if not g:
+            return 1 / quality.A
+        n, lower = len(g), p(g[1:])
+        row = {k: v for k, v in counts[n].items() if k[:-1] == g[:-1]}
         total = sum(row.values())
         if not total:
             return lower
-        n = row.get((*ctx, sym), 0)
-        spare = sum(d[min(v, 3)] for v in row.values())
-        return max(n - d[min(n, 3)], 0) / total + spare / total * lower
-
-    return lambda a, b, c: level(c3, d3, (a, b), c, level(c2, d2, (b,), c, level(c1, d1, (), c, 1 / A)))
-
-
-def test_kneser_ney_by_definition():
-    texts = [prose("aa", 12) for _ in range(6)]
-    codes = np.concatenate([quality.trigrams(t) for t in texts])
-    split = lambda g: (int(g) // quality.A**2, int(g) // quality.A % quality.A, int(g) % quality.A)
-    p = brute_kn([[split(g) for g in codes]])
-    u, n = np.unique(codes, return_counts=True)
-    table = quality.kneser_ney(u, n)
-    for g in [*u[::7], *quality.trigrams("zq the xyz!")]:
-        assert table[g] == pytest.approx(math.log(p(*split(g))), rel=1e-4)
-    a, b = split(u[3])[:2]
-    row = np.exp(table.reshape(quality.A, quality.A, quality.A)[a, b].astype(float))
-    assert row.sum() == pytest.approx(1, abs=1e-4)
+        c = row.get(g, 0)
+        spare = sum(d[n][min(v, 3)] for v in row.values())
+        return max(c - d[n][min(c, 3)], 0) / total + spare / total * lower
+
+    return p
+
+
+def test_kneser_ney_by_definition(spark):
+    model, other = Counter(g for _ in range(6) for g in grams(prose("aa", 12))), Counter(grams(prose("bb", 30)))
+    rows = [(coded(g) | m << quality.SHIFT, n) for m, c in ((1, model), (2, other)) for g, n in c.items()]
+    asked = {m: [*list(c)[::9], *grams("zq the xyz!")] for m, c in ((1, model), (2, other))}
+    wanted = {coded(g) | m << quality.SHIFT: (m, g) for m, gs in asked.items() for g in gs}
+    got = quality.log_probabilities(spark.createDataFrame(rows, "key long, n long"), spark.createDataFrame([(k,) for k in wanted], "key long"), 2)
+    got = {r["key"]: r["logp"] for r in got.collect()}
+    assert set(got) == set(wanted)
+    p = {1: brute_kn(model), 2: brute_kn(other)}
+    for k, (m, g) in wanted.items():
+        assert got[k] == pytest.approx(math.log(p[m](g)), rel=1e-4)
+
+
+@pytest.mark.parametrize("cells", [1 << 25, 4])
+def test_ngrams_of_documents(monkeypatch, cells):
+    monkeypatch.setattr(quality, "CELLS", cells)
+    texts = ["", prose("bb", 9), "a", "", prose("aa", 20), "日本 ÀÉ 12"]
+    syms = [quality.symbols(t) for t in texts]
+    g = quality.Ngrams(np.concatenate(syms), np.array([len(s) for s in syms]))
+    want = [coded(x) for t in texts for x in grams(t)]
+    number, codes = g.distinct()
+    assert g.codes().tolist() == want and codes.tolist() == sorted(set(want)) and codes[number].tolist() == want
+    empty = quality.Ngrams(np.zeros(0, np.uint8), np.zeros(0, np.int64))
+    assert len(empty.distinct()[1]) == 0
+
+
+def test_scores_are_sums_of_log_probabilities(spark, docs, monkeypatch):
+    monkeypatch.setattr(quality, "CHUNK", 3000)
+    rows = [(i, prose(x := "aa" if i % 3 else "bb", 20), x, None, None) for i in range(90)] + [(91, None, "aa", None, None), (92, "", None, None, None)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(70)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.scores(docs(rows), labels).collect()}
+    of = {d: t or "" for d, t, *_ in rows}
+    train = {d for d in of if got[d]["mark"] == 1}
+    assert {d for d in of if got[d]["mark"]} == set(range(70)) and 0 < len(train) < 70
+    lang = {d: x for d, _, x, *_ in rows}
+    models = {}
+    for d in of:
+        m = got[d]["model"]
+        if m not in models:
+            own = [x for x in train if not m or lang[x] == lang[d]]
+            assert not m or len(own) >= quality.LEAST_DOCS
+            models[m] = brute_kn(Counter(g for x in own for g in grams(of[x])))
+    for d in [0, 1, 2, 89, 91, 92]:
+        want = -sum(math.log(models[got[d]["model"]](g)) for g in grams(of[d]))
+        assert got[d]["n"] == len(of[d]) and got[d]["nlp"] == pytest.approx(want, rel=1e-4, abs=1e-9)
 
 
 def test_quality_keeps_clean_and_drops_junk(spark, docs):

@@ -1,33 +1,44 @@
-"""Quality filter: interpolated modified Kneser-Ney language models of trusted text (operator 3)."""
+"""Quality filter: interpolated modified Kneser-Ney language models of trusted text (operator 3).
+
+The models are over symbols (characters, the rare ones by kind), ORDER at a time, since they must score words of any language that no trusted text has. Nothing of a model reaches the driver or is broadcast whole:
+
+1. Texts become chunks of symbols, one language each, in a written table.
+2. Chunks give the n-gram counts of trusted text, summed in shards by (model, n-gram); lower orders follow from them as continuation counts.
+3. Chunks ask for their distinct n-grams. The distinct requests are joined, order by order from one symbol up, with the sharded counts, the sums by context and the probability of the next shorter n-gram.
+4. The answers are joined with the requests and meet their chunk, where each document's -log p is summed.
+"""
 
 from __future__ import annotations
 
-import math
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+import zstandard
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import checked, small_batches
+from .common import checked, discard, small_batches, written
 
-#: Symbols of the model; a trigram is one of A ** 3 codes.
-A = 136
-PAD = 0
-#: A language with fewer trusted documents than this is scored by the model of all trusted text.
+#: Symbols of the model, and symbols in an n-gram; A ** ORDER codes fit below 1 << SHIFT, above which a key has its model's number.
+A, ORDER, SHIFT = 136, 5, 36
+CODE = (1 << SHIFT) - 1
+#: A language with fewer trusted documents than this is scored by model 0, of all trusted text.
 LEAST_DOCS = 30
+#: One trusted document in so many sets thresholds instead of training, so that these are those of texts the models haven't seen.
+HELD = 4
 #: A document's mean is drawn to its language's median as if it had this many more symbols.
 PRIOR = 100
 #: Rejected: a score (nats per symbol) above this quantile of the trusted documents of its language, plus the slack.
 QUANTILE, SLACK = 0.97, 0.2
 BIN = 1000
-ALL = "\x00all"
+#: Symbols of a chunk, of all chunks a task holds open, and cells of the table by which a chunk's n-grams are told apart.
+CHUNK, OPEN, CELLS = 8 << 20, 24 << 20, 1 << 25
+BLOBS = "chunk long, lang string, doc_ids array<long>, th array<long>, sizes array<long>, marks array<int>, n_train long, blob binary"
 
 
 @lru_cache(maxsize=1)
 def _symbols() -> np.ndarray:
-    """Code point -> symbol: printable ASCII and lower-case Latin-1 letters have their own, white space is one, other characters share eight by kind."""
+    """Code point -> symbol: printable ASCII and lower-case Latin-1 letters have their own, white space is one, other characters share eight by kind; 0 is the pad."""
     t = np.empty(0x110000, np.uint8)
     t[:] = 135
     t[0x20:0x7F] = np.arange(1, 96)
@@ -45,167 +56,270 @@ def _symbols() -> np.ndarray:
     return t
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Codes of the symbol trigrams that end at each symbol of a text; two pads stand before it."""
-    c = _symbols()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
-    c = np.concatenate((np.zeros(2, np.uint8), c)).astype(np.int32)
-    return (c[:-2] * A + c[1:-1]) * A + c[2:]
+def symbols(text: str | None) -> np.ndarray:
+    return _symbols()[np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32)]
+
+
+class Ngrams:
+    """The n-gram that ends at each symbol of some documents, pads before each: hi has its first symbols but two, lo the last two."""
+
+    def __init__(self, syms: np.ndarray, sizes: np.ndarray):
+        pad = ORDER - 1
+        end = np.cumsum(sizes)
+        at = np.arange(len(syms)) + np.repeat(np.arange(1, len(sizes) + 1), sizes) * pad
+        c = np.zeros(len(syms) + len(sizes) * pad, np.uint8)
+        c[at] = syms
+        c = c.astype(np.int32)
+        hi = c[: len(c) - pad] if len(c) else c
+        for i in range(1, ORDER - 2):
+            hi = hi * A + c[i : len(c) - pad + i]
+        lo = c[pad - 1 : -1] * A + c[pad:] if len(c) else c
+        self.hi, self.lo, self.begin = hi[at - pad], lo[at - pad], end - sizes
+
+    def codes(self, own: np.ndarray | None = None) -> np.ndarray:
+        hi, lo = (self.hi, self.lo) if own is None else (self.hi[own], self.lo[own])
+        return hi.astype(np.int64) * (A * A) + lo
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each position's n-gram, ascending distinct codes): by a table of cells, or by sorting where that would be too large."""
+        tables = []
+        for x, most in ((self.hi, A ** (ORDER - 2)), (self.lo, A * A)):
+            seen = np.zeros(most, bool)
+            seen[x] = True
+            tables.append((np.flatnonzero(seen), np.cumsum(seen, dtype=np.int32) - 1))
+        (hv, hr), (lv, lr) = tables
+        if len(hv) * len(lv) > CELLS:
+            codes, number = np.unique(self.codes(), return_inverse=True)
+            return number, codes
+        cell = hr[self.hi] * np.int32(max(1, len(lv))) + lr[self.lo]
+        seen = np.zeros(len(hv) * len(lv), bool)
+        seen[cell] = True
+        full = np.flatnonzero(seen)
+        number = np.zeros(len(seen), np.int32)
+        number[full] = np.arange(len(full), dtype=np.int32)
+        return number[cell], hv[full // max(1, len(lv))] * (A * A) + lv[full % max(1, len(lv))]
+
+
+def chunks(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The written table of chunks, from docs (doc_id, lang, text). Marks: 1 trains, 2 sets thresholds, 0 neither.
+
+    Trusted are the documents that labels calls good (quality 1 and never 0). Labels are broadcast only if counted to be few.
+    """
+    small_batches(docs.sparkSession)
+    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_good")).agg(F.min("quality").alias("q")).where("q = 1").select("_good")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    docs = docs.join(checked(good, labels.count(), 16), F.col("doc_id") == F.col("_good"), "left")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(HELD))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "lang", F.when(F.col("_good").isNull(), 0).when(fold == 0, 2).otherwise(1).alias("mark"), "text")
 
+    def run(batches):
+        from pyspark import TaskContext
+
+        number, z = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1)
+        held: dict[str | None, list] = {}
+        size: dict[str | None, int] = {}
+
+        def flush(lang):
+            nonlocal number
+            rows = held.pop(lang)
+            size.pop(lang)
+            ids, th, marks, syms = zip(*rows, strict=True)
+            number += 1
+            row = (number - 1, lang, ids, th, [len(s) for s in syms], marks, sum(m == 1 for m in marks), z.compress(np.concatenate(syms).tobytes()))
+            types = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], [x.split()[0] for x in BLOBS.split(", ")])
 
-def kneser_ney(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """log p of every trigram under the interpolated modified Kneser-Ney model of the counts: discounts D1, D2 and D3+ per order from its counts of counts, continuation counts below the top order, uniform at the end."""
-    c3 = np.zeros(A * A * A)
-    c3[codes] = counts
-    c3 = c3.reshape(A, A, A)
-    c2 = (c3 > 0).sum(0).astype(float)
-    c1 = (c2 > 0).sum(0).astype(float)
+        for b in batches:
+            for doc, th, lang, mark, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s = symbols(text)
+                held.setdefault(lang, []).append((doc, th, mark, s))
+                size[lang] = size.get(lang, 0) + len(s) + 64  # the row's other fields
+                if size[lang] >= CHUNK:
+                    yield flush(lang)
+                elif sum(size.values()) >= OPEN:
+                    yield flush(max(size, key=size.get))
+        for lang in list(held):
+            yield flush(lang)
 
-    def level(c, lower):
-        n = [float((c == i).sum()) for i in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
-        d = [0.0, *(min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05), i - 0.05) if n[i - 1] else 0.5 for i in (1, 2, 3))]
-        disc = np.take(d, np.minimum(c, 3).astype(int))
-        total = c.sum(-1, keepdims=True)
-        spare = disc.sum(-1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.maximum(c - disc, 0) / total + spare / total * lower
-        return np.where(total > 0, p, np.broadcast_to(lower, c.shape))
+    return written(docs.mapInArrow(run, BLOBS), "chunks")
 
-    p1 = level(c1, np.full(A, 1 / A))
-    p2 = level(c2, p1)
-    return np.log(level(c3, p2)).astype(np.float32).ravel()
 
+def _open(b, i: int) -> Ngrams:
+    get = lambda name: b.column(b.schema.get_field_index(name))[i]
+    syms = np.frombuffer(zstandard.ZstdDecompressor().decompress(get("blob").as_py()), np.uint8)
+    return Ngrams(syms, np.array(get("sizes").as_py(), np.int64))
 
-class Models:
-    """Trigram counts by language, as they travel to the executors; dense tables are made there when first used."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.counts, self.tables = counts, {}
+def _each(b, make):
+    """The record batches of make(n-grams, row index) for each chunk of a batch, cut to bounded length."""
+    for i in range(b.num_rows):
+        for cols, names in make(_open(b, i), i):
+            for j in range(0, len(cols[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[j : j + 100_000]) for c in cols], names)
 
-    def __getstate__(self):
-        return {"counts": self.counts, "tables": {}}
 
-    def score(self, text: str, lang: str | None) -> tuple[float, int]:
-        """(sum of -log p, symbols)."""
-        lang = lang if lang in self.counts else ALL
-        if lang not in self.counts:
-            return 0.0, 0
-        if lang not in self.tables:
-            self.tables[lang] = kneser_ney(*self.counts[lang])
-        g = trigrams(text)
-        return -float(self.tables[lang][g].sum(dtype=np.float64)), len(g)
+def counted(blobs: DataFrame) -> DataFrame:
+    """(key, n) of trusted text from chunks with their model: each n-gram under its model, and under model 0."""
 
+    def run(batches):
+        for b in batches:
+            models = b.column(0).to_pylist()
 
-def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that labels calls good (quality 1 and never 0). Labels are broadcast only if counted to be few."""
-    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("_trusted")).agg(F.min("quality").alias("q")).where("q = 1").select("_trusted")
-    return docs.join(checked(good, labels.count(), 16), F.col("doc_id") == F.col("_trusted"), "left_semi")
+            def make(g, i, b=b, models=models):
+                own = np.repeat(np.array(b.column(b.schema.get_field_index("marks"))[i].as_py()) == 1, np.array(b.column(b.schema.get_field_index("sizes"))[i].as_py(), np.int64))
+                code, n = np.unique(g.codes(own), return_counts=True)
+                yield (code | models[i] << SHIFT, n.astype(np.int64)), ("key", "n")
 
+            yield from _each(b, make)
 
-def learn(good: DataFrame) -> Models:
-    """Models of all trusted rows (lang, text): tasks count trigrams by language, the counts are summed in shards by (language, trigram). A language has at most A ** 3 rows whatever the input, and those come to the driver."""
-    small_batches(good.sparkSession)
+    found = blobs.where("n_train > 0").select("model", "sizes", "marks", "blob").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = written(found, "by-model")
+    every = found.groupBy(F.col("key").bitwiseAND(CODE).alias("key")).agg(F.sum("n").alias("n"))
+    return written(found.where(F.col("key") > CODE).union(every), "counts")
 
-    def count(batches):
-        held: dict[str, np.ndarray] = {}
-        docs: dict[str, int] = {}
-        for b in batches:
-            for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if t:
-                    lang = lang if lang is not None else ALL
-                    if lang not in held:
-                        held[lang], docs[lang] = np.zeros(A**3, np.int64), 0
-                    g = trigrams(t)
-                    if len(g) > 50_000:
-                        held[lang] += np.bincount(g, minlength=A**3)
-                    else:
-                        u, n = np.unique(g, return_counts=True)
-                        held[lang][u] += n
-                    docs[lang] += 1
-        for lang, c in held.items():
-            u = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(u) + 1), pa.string()), pa.array(np.append(u, -1).astype(np.int32)), pa.array(np.append(c[u], docs[lang]))], ["lang", "code", "n"])
-
-    rows = good.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    found = rows.toPandas()
-    out, total = {}, np.zeros(A**3, np.int64)
-    for lang, x in found.groupby("lang"):
-        code, n = x["code"].to_numpy(), x["n"].to_numpy()
-        docs, code, n = n[code < 0].sum(), code[code >= 0], n[code >= 0]
-        total[code] += n
-        if docs >= LEAST_DOCS and lang != ALL:
-            by = np.argsort(code)
-            out[lang] = (code[by], n[by])
-    if total.any():
-        u = np.flatnonzero(total)
-        out[ALL] = (u.astype(np.int32), total[u])
-    return Models(out)
-
-
-def thresholds(good: DataFrame, models: Models, quantile: float = QUANTILE, slack: float = SLACK) -> dict[str, tuple[float, float]]:
-    """(median, threshold) of the mean -log p by model, over all trusted rows, from counts in bins of 1 / BIN nats."""
-
-    def bins(batches):
+
+def requests(blobs: DataFrame) -> DataFrame:
+    """(chunk, key): the distinct n-grams of each chunk."""
+
+    def run(batches):
         for b in batches:
-            out = []
-            for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s, n = models.score(t, lang) if t else (0, 0)
-                if n >= PRIOR:
-                    out.append((lang if lang in models.counts else ALL, round(s / n * BIN)))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.int32())], ["lang", "bin"])
-
-    rows = good.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(bins, "lang string, bin int").groupBy("lang", "bin").count().orderBy("lang", "bin").toPandas()
-    out = {}
-    for lang, x in rows.groupby("lang"):
-        up = x["count"].cumsum().to_numpy() / x["count"].sum()
-        at = lambda q: float(x["bin"].iloc[int(np.searchsorted(up, q))]) / BIN
-        out[lang] = (at(0.5), at(quantile) + slack)
+            models, number = b.column(0).to_pylist(), b.column(1).to_pylist()
+
+            def make(g, i, models=models, number=number):
+                code = g.distinct()[1]
+                yield (np.full(len(code), number[i]), code | models[i] << SHIFT), ("chunk", "key")
+
+            yield from _each(b, make)
+
+    return blobs.select("model", "chunk", "sizes", "blob").mapInArrow(run, "chunk long, key long")
+
+
+def _keep(key: Column, n: int) -> Column:
+    """The key of an n-gram's last n symbols."""
+    code = key.bitwiseAND(CODE)
+    return key - code + code % (A**n)
+
+
+def _context(key: Column) -> Column:
+    code = key.bitwiseAND(CODE)
+    return key - code + F.expr(f"(key & {CODE}L) div {A}")
+
+
+def log_probabilities(counts: DataFrame, wanted: DataFrame, models: int, order: int = ORDER) -> DataFrame:
+    """(key, logp float) of each key of wanted (distinct) under the interpolated modified Kneser-Ney model of counts (key, n).
+
+    Discounts D1, D2 and D3+ come from each order's and model's counts of counts; below the top order counts are those of distinct symbols before the n-gram; the end is uniform. A context that was never seen passes on the probability of the shorter n-gram. Keys of a join are n-grams or contexts: at most A requests share one.
+    """
+    levels, asked = {order: counts}, {order: wanted}
+    for n in range(order - 1, 0, -1):
+        levels[n] = written(levels[n + 1].groupBy(_keep(F.col("key"), n).alias("key")).agg(F.count("*").alias("n")), f"level{n}")
+        asked[n] = written(asked[n + 1].select(_keep(F.col("key"), n).alias("key")).distinct(), f"asked{n}")
+    p = None
+    for n in range(1, order + 1):
+        times = [F.sum(F.when(F.col("n") == i, 1).otherwise(0)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
+        d = levels[n].groupBy(F.shiftright("key", SHIFT).alias("model")).agg(*times)
+        y = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(F.lit(0.5))
+        cut = lambda i: F.when(F.col(f"n{i}") > 0, F.least(F.greatest(F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"), F.lit(0.05)), F.lit(i - 0.05))).otherwise(F.lit(0.5))
+        d = d.select("model", F.array(*[cut(i) for i in (1, 2, 3)]).alias("d"))
+        c = levels[n].withColumn("model", F.shiftright("key", SHIFT)).join(checked(d, models, 64), "model")
+        c = c.select("key", "n", F.element_at("d", F.least("n", F.lit(3)).cast("int")).alias("d"))
+        contexts = c.groupBy(_context(F.col("key")).alias("context")).agg(F.sum("n").cast("double").alias("total"), F.sum("d").alias("spare"))
+        q = asked[n].join(c, "key", "left").withColumn("context", _context(F.col("key"))).join(contexts, "context", "left")
+        if p is None:
+            q = q.withColumn("low", F.lit(1 / A))
+        else:
+            q = q.withColumn("short", _keep(F.col("key"), n - 1)).join(p.select(F.col("key").alias("short"), F.col("p").alias("low")), "short")
+        seen = F.greatest(F.coalesce(F.col("n") - F.col("d"), F.lit(0.0)), F.lit(0.0))
+        p = written(q.select("key", F.when(F.col("total") > 0, (seen + F.col("spare") * F.col("low")) / F.col("total")).otherwise(F.col("low")).alias("p")), f"p{n}")
+        for t in (levels[n], asked[n]):
+            if n < order:
+                discard(t)
+    return p.select("key", F.log("p").cast("float").alias("logp"))
+
+
+def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, th, lang, model, mark, n, nlp) per row of docs (doc_id, lang, text): symbols and the sum of their -log p; th is the text's hash."""
+    spark = docs.sparkSession
+    blobs = chunks(docs, labels)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    langs = blobs.groupBy("lang").agg(F.sum("n_train").alias("n"))
+    number = F.row_number().over(Window.orderBy("lang"))  # a row per language
+    langs = written(langs.where((F.col("n") >= LEAST_DOCS) & F.col("lang").isNotNull()).select(F.col("lang").alias("_lang"), number.cast("long").alias("model")), "models")
+    models = langs.count() + 1
+    blobs = blobs.join(checked(langs, models, 64), F.col("lang") == F.col("_lang"), "left").withColumn("model", F.coalesce("model", F.lit(0).cast("long"))).drop("_lang")
+    counts = counted(blobs)
+    wanted = written(requests(blobs).select("key").distinct(), "wanted")
+    p = log_probabilities(counts, wanted, models)
+    answers = requests(blobs).join(p, "key").select("chunk", "key", "logp")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        order = np.argsort(right.column("key").to_numpy())
+        logp = right.column("logp").to_numpy()[order]
+        for b in left.combine_chunks().to_batches():
+            for i in range(b.num_rows):
+                g, row = _open(b, i), b.slice(i, 1).drop_columns(["blob"]).to_pylist()[0]
+                sums = np.concatenate(([0.0], np.cumsum(logp[g.distinct()[0]], dtype=np.float64)))
+                sizes = np.array(row["sizes"], np.int64)
+                nlp = sums[g.begin] - sums[g.begin + sizes]
+                k = len(sizes)
+                cols = (row["doc_ids"], row["th"], [row["lang"]] * k, [row["model"]] * k, row["marks"], sizes, nlp)
+                types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.float64())
+                out.append(pa.table({x: pa.array(c, t) for x, c, t in zip(("doc_id", "th", "lang", "model", "mark", "n", "nlp"), cols, types, strict=True)}))
+        if out:
+            return pa.concat_tables(out)
+        return pa.table({x: pa.array([], t) for x, t in (("doc_id", pa.int64()), ("th", pa.int64()), ("lang", pa.string()), ("model", pa.int64()), ("mark", pa.int32()), ("n", pa.int64()), ("nlp", pa.float64()))})
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    left = blobs.select("chunk", "lang", "model", "doc_ids", "th", "sizes", "marks", "blob").groupBy("chunk")
+    out = written(left.cogroup(answers.groupBy("chunk")).applyInArrow(meet, "doc_id long, th long, lang string, model long, mark int, n long, nlp double"), "scores")
+    discard(wanted)
+    discard(counts)
     return out
 
 
+def thresholds(scored: DataFrame, quantile: float, slack: float) -> DataFrame:
+    """(model, mid, top): the median and the threshold of the mean -log p over all held-out trusted documents of at least PRIOR symbols, from exact counts in bins of 1 / BIN nats; model 0 takes those of every language."""
+    rows = scored.where((F.col("mark") == 2) & (F.col("n") >= PRIOR)).select("model", F.round(F.col("nlp") / F.col("n") * BIN).cast("int").alias("bin"))
+    bins = rows.groupBy("model", "bin").agg(F.count("*").alias("n"))
+    bins = bins.where("model > 0").union(bins.groupBy(F.lit(0).cast("long"), "bin").agg(F.sum("n")))
+    up = Window.partitionBy("model").orderBy("bin")
+    share = F.sum("n").over(up) / F.sum("n").over(Window.partitionBy("model"))
+    at = lambda q: F.min(F.when(F.col("share") >= q, F.col("bin"))) / F.lit(float(BIN))
+    return bins.withColumn("share", share).groupBy("model").agg(at(0.5).alias("mid"), (at(quantile) + slack).alias("top"))
+
+
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+    """(doc_id, th, lang, perplexity, threshold, kept) per row of docs; cases as for judge()."""
+    s = scores(docs.select("doc_id", "lang", "text"), labels)
+    limits = written(thresholds(s, quantile, slack), "limits")
+    s = s.join(checked(limits, limits.count(), 32), "model", "left")
+    mean = F.when(F.col("n") > 0, (F.col("nlp") + PRIOR * F.col("mid")) / (F.col("n") + PRIOR))
+    s = s.withColumn("mean", mean)
+    return s.select("doc_id", "th", "lang", F.exp("mean").alias("perplexity"), F.when(F.col("mean").isNotNull(), F.exp("top")).alias("threshold"), F.coalesce(F.col("mean") <= F.col("top"), F.lit(True)).alias("kept"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, keep_only: bool = False) -> DataFrame:
-    """docs with perplexity, threshold and kept added (or, with keep_only, just the rows kept, with the columns of docs).
+    """docs with perplexity, threshold and kept added unless docs has columns of these names (or, with keep_only, just the rows kept, with the columns of docs).
 
     Perplexity is exp of the mean -log p per symbol under the model of the row's lang (few or no trusted documents, or null: of all trusted text), drawn to the language's median by PRIOR symbols so that short texts aren't judged by chance. A null or empty text has null perplexity and is kept, as is everything when nothing is trusted: no evidence rejects nothing. Repeated rows are judged alike; an empty table gives an empty one.
     """
-    small_batches(docs.sparkSession)
-    good = trusted(docs.select("doc_id", "lang", "text"), labels)
-    models = learn(good)
-    limits = thresholds(good, models, quantile, slack)
-
-    def of(text, lang):
-        m = lang if lang in models.counts else ALL
-        if not text or m not in limits:
-            return None, None, True
-        s, n = models.score(text, lang)
-        mid, top = limits[m]
-        mean = (s + PRIOR * mid) / (n + PRIOR)
-        return math.exp(min(mean, 700)), math.exp(top), mean <= top
-
-    names = docs.columns
-    li, ti = names.index("lang"), names.index("text")
-
-    def run(batches):
-        for b in batches:
-            got = [of(t, x) for x, t in zip(b.column(li).to_pylist(), b.column(ti).to_pylist(), strict=True)]
-            if keep_only:
-                yield b.filter(pa.array([x[2] for x in got], pa.bool_()))
-            else:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], pa.bool_())], [*[f"c{i}" for i in range(len(names))], "perplexity", "threshold", "kept"])
-
+    found = written(judged(docs, labels, quantile, slack), "judged")
+    keys = {"doc_id": F.col("doc_id").cast("long"), "th": F.xxhash64(F.col("text").cast("string")), "lang": F.col("lang").cast("string")}
+    same = F.lit(True)
+    for k, v in keys.items():
+        same = same & v.eqNullSafe(F.col(f"_q_{k}"))
     if keep_only:
-        return docs.mapInArrow(run, docs.schema)
-    from pyspark.sql.types import BooleanType
-
-    more = [StructField(k, t) for k, t in (("perplexity", DoubleType()), ("threshold", DoubleType()), ("kept", BooleanType())) ]
-    flat = StructType([StructField(f"c{i}", f.dataType, True) for i, f in enumerate(docs.schema)] + more)
-    out = docs.mapInArrow(run, flat)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *[f.name for f in more if f.name not in names])
+        gone = found.where("not kept").select(*[F.col(k).alias(f"_q_{k}") for k in keys]).distinct()
+        return docs.join(checked(gone, found.where("not kept").count(), 48), same, "left_anti")
+    names = ("perplexity", "threshold", "kept")
+    per = found.groupBy(*keys).agg(*[F.first(k).alias(k) for k in names])
+    per = per.select(*[F.col(k).alias(f"_q_{k}") for k in (*keys, *names)])
+    return docs.join(checked(per, found.count(), 72), same, "left").select(*docs.columns, *[F.col(f"_q_{k}").alias(k) for k in names if k not in docs.columns])
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
     """Whole `documents`, trusted text from `labels`: the documents kept, with perplexity and threshold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    out = judge(docs, labels)
-    return out.where("kept").select("doc_id", "lang", "perplexity", "threshold")
+    return judged(docs, labels).where("kept").select("doc_id", "lang", "perplexity", "threshold")
