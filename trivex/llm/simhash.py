@@ -7,11 +7,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import buffers, checked, small_batches, written
+from .common import buffers, checked, partitions_for, small_batches, written
 from .components import components
 
-#: A bucket of more members than this is linked by wildcard cliques instead of by pairs.
-PAIRS_UP_TO = 64
+#: A bucket of more members than this is linked by wildcard cliques instead of by pairs; a task makes the cliques' rows of so many members, about.
+PAIRS_UP_TO, HOT_ROWS = 64, 2000
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -60,6 +60,8 @@ def links(fps: DataFrame, max_diff: int = 2) -> DataFrame:
 
     max_diff + 1 differing bits cannot all miss: cut into max_diff // 2 + 1 segments, one of them differs by at most one bit, so two such fingerprints share one of its one-wildcard variants. Buckets of up to PAIRS_UP_TO members are joined with themselves and verified. Members of a fuller bucket are indexed by every choice of max_diff wildcard bits instead: such a group differs in those bits only, so it is a clique of at most 2 ** max_diff members, and no bucket is ever paired out.
     """
+    if max_diff > 2:
+        raise ValueError("max_diff above 2 is not supported")
     parts = max_diff // 2 + 1
     cuts = [64 * i // parts for i in range(parts + 1)]
     variants = []
@@ -75,9 +77,8 @@ def links(fps: DataFrame, max_diff: int = 2) -> DataFrame:
     near = few.select("i", "key", F.col("fp").alias("a")).join(few.select("i", "key", F.col("fp").alias("b")), ["i", "key"])
     near = near.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_diff)).select("a", "b")
     hot = v.where(F.col("n") > PAIRS_UP_TO).select("fp").distinct()
-    clique = hot.crossJoin(F.broadcast(v.sparkSession.createDataFrame([(k, m) for k, m in enumerate(_masks(max_diff))], "k int, m long"))) if max_diff <= 2 else None
-    if clique is None:
-        raise ValueError("max_diff above 2 is not supported")
+    masks = F.array(*[F.lit(m) for m in _masks(max_diff)])
+    clique = hot.repartition(partitions_for(fps.sparkSession, hot.count(), HOT_ROWS), "fp").select("fp", F.posexplode(masks).alias("k", "m"))
     clique = clique.groupBy("k", F.col("fp").bitwiseAND(F.col("m")).alias("key")).agg(F.min("fp").alias("a"), F.collect_set("fp").alias("fps"))
     clique = clique.where(F.size("fps") > 1).select("a", F.explode("fps").alias("b")).where("a <> b")
     return near.union(clique).distinct()
