@@ -32,7 +32,7 @@ PRIOR = 100
 QUANTILE, SLACK = 0.97, 0.2
 BIN = 1000
 #: Symbols of a chunk, of all chunks a task holds open, and cells of the table by which a chunk's n-grams are told apart.
-CHUNK, OPEN, CELLS = 8 << 20, 24 << 20, 1 << 25
+CHUNK, OPEN, CELLS = 4 << 20, 12 << 20, 1 << 24
 BLOBS = "chunk long, lang string, doc_ids array<long>, th array<long>, sizes array<long>, marks array<int>, n_train long, blob binary"
 
 
@@ -64,17 +64,20 @@ class Ngrams:
     """The n-gram that ends at each symbol of some documents, pads before each: hi has its first symbols but two, lo the last two."""
 
     def __init__(self, syms: np.ndarray, sizes: np.ndarray):
-        pad = ORDER - 1
-        end = np.cumsum(sizes)
-        at = np.arange(len(syms)) + np.repeat(np.arange(1, len(sizes) + 1), sizes) * pad
+        pad, self.begin = ORDER - 1, np.cumsum(sizes) - sizes
+        at = np.arange(len(syms), dtype=np.int32)  # of an n-gram's first symbol, where each document has its pads
+        at += np.repeat(np.arange(len(sizes), dtype=np.int32) * pad, sizes)
         c = np.zeros(len(syms) + len(sizes) * pad, np.uint8)
-        c[at] = syms
-        c = c.astype(np.int32)
-        hi = c[: len(c) - pad] if len(c) else c
-        for i in range(1, ORDER - 2):
-            hi = hi * A + c[i : len(c) - pad + i]
-        lo = c[pad - 1 : -1] * A + c[pad:] if len(c) else c
-        self.hi, self.lo, self.begin = hi[at - pad], lo[at - pad], end - sizes
+        c[at + pad] = syms
+        self.hi, self.lo = (self._value(c, at, i, j) for i, j in ((0, ORDER - 2), (ORDER - 2, ORDER)))
+
+    @staticmethod
+    def _value(c: np.ndarray, at: np.ndarray, i: int, j: int) -> np.ndarray:
+        out = np.zeros(len(at), np.int32)
+        for k in range(i, j):
+            out *= A
+            out += c[k:][at]
+        return out
 
     def codes(self, own: np.ndarray | None = None) -> np.ndarray:
         hi, lo = (self.hi, self.lo) if own is None else (self.hi[own], self.lo[own])
@@ -115,7 +118,7 @@ def chunks(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        number, z = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1)
+        number, z = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=3)
         held: dict[str | None, list] = {}
         size: dict[str | None, int] = {}
 
@@ -241,7 +244,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, th, lang, model, mark, n, nlp) per row of docs (doc_id, lang, text): symbols and the sum of their -log p; th is the text's hash."""
     spark = docs.sparkSession
     blobs = chunks(docs, labels)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     langs = blobs.groupBy("lang").agg(F.sum("n_train").alias("n"))
     number = F.row_number().over(Window.orderBy("lang"))  # a row per language
     langs = written(langs.where((F.col("n") >= LEAST_DOCS) & F.col("lang").isNotNull()).select(F.col("lang").alias("_lang"), number.cast("long").alias("model")), "models")
