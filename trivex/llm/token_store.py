@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import partitions_for, small_batches, table_path
 from .tokens import TextTokenizer
 
-#: Documents whose ids train the dictionary: those first by a hash of doc_id. The dictionary's bytes.
+#: Documents whose ids train the dictionary, by a hash. The dictionary's bytes.
 SAMPLE, DICT_BYTES = 400, 64 << 10
 BLOCK_BYTES, BLOCK_DOCS, PART_ROWS = 1 << 20, 512, 20_000
 LEVEL = 3
@@ -34,9 +34,14 @@ def _wide(ids: bytes, width: int) -> bytes:
     return ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
 
 
-def train(docs: DataFrame, tokenizer: str, kind: str, end: int, width: int) -> bytes:
-    """A dictionary of at most DICT_BYTES from the ids of SAMPLE documents; empty if they are too few to train one."""
-    rows = docs.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("text").collect()
+def train(docs: DataFrame, n: int, tokenizer: str, kind: str, end: int, width: int) -> bytes:
+    """A dictionary of at most DICT_BYTES from the ids of about SAMPLE of n documents, never more; empty if they are too few to train one.
+
+    Those are taken whose hash is below a share of its range, so that tasks send the driver few rows in all.
+    """
+    h, space = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)), 1 << 40
+    some = docs.where("text is not null").where(h < F.lit(space * SAMPLE // max(n, SAMPLE)))
+    rows = some.orderBy(h, "doc_id", "text").limit(SAMPLE).select("text").collect()
     tok, last = TextTokenizer.of(tokenizer, kind), np.array([end], "<u4").tobytes()
     samples = [_narrow(x + last, width) for x in tok.encode([r[0] for r in rows])]
     try:
@@ -54,7 +59,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str, end: int,
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     width = 2 if vocabulary <= 1 << 16 else 4
-    dictionary = train(docs, tokenizer, kind, end, width)
+    count = docs.select("doc_id").count()
+    dictionary = train(docs, count, tokenizer, kind, end, width)
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, bytearray(dictionary), tokenizer.rpartition("/")[2], end)], "dict_hash string, dictionary binary, tokenizer string, end_id int").coalesce(1).write.parquet(f"{path}/dictionary")
     last = np.array([end], "<u4").tobytes()
@@ -90,7 +96,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str, end: int,
         if ids:
             yield flush()[0]
 
-    n = partitions_for(spark, docs.select("doc_id").count(), PART_ROWS)
+    n = partitions_for(spark, count, PART_ROWS)
     dealt = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     dealt.mapInArrow(run, BLOCKS).write.parquet(f"{path}/blocks")
 
