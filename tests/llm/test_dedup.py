@@ -141,6 +141,48 @@ def test_simhash_edges(docs):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "h"]
 
 
+def brute_similar(rows, width, least):
+    sets = {d: set(simhash.shingles((t or "").encode(), width).tolist()) for d, t in rows}
+    ids = sorted(sets)
+    root = {d: d for d in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both and 10 * both >= round(10 * least) * (len(sets[a]) + len(sets[b]) - both):
+                ra, rb = sorted((find(a), find(b)))
+                root[rb] = ra
+    return {d: find(d) for d in ids}
+
+
+@pytest.mark.parametrize("knobs", [{}, {"PAIRS_UP_TO": 2, "SAMPLE": 1, "COMMON": 3}, {"PAIRS_UP_TO": 1, "COMMON": 10**6}])
+def test_one_of_each_finds_all_similar(docs, monkeypatch, knobs):
+    for k, x in knobs.items():
+        monkeypatch.setattr(simhash, k, x)
+    texts, passage = [], prose(30)
+    for n in (6, 30, 60, 120):
+        base = prose(n).split()
+        for edits in (0, 0, 1, 1, 2, 3, 4, 6):
+            w = list(base)
+            for i in rng.sample(range(len(w)), min(edits, len(w))):
+                w[i] = f"edit{rng.random()}"
+            texts.append(" ".join(w))
+    texts += [prose(20) + " " + passage for _ in range(6)] + [passage, passage + " " + prose(3), "", None, " "]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    want = brute_similar(rows, 5, 0.8)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(docs(rows)).collect()} == want
+    assert {r["doc_id"] for r in simhash.one_of_each(docs(rows)).collect()} == {d for d, c in want.items() if d == c}
+    twice = {c for c in want.values() if sum(x == c for x in want.values()) > 1}
+    bits = lambda a, b: bin(fingerprint_by_definition(texts[a], 5) ^ fingerprint_by_definition(texts[b], 5)).count("1")
+    assert any(bits(d, c) > 2 for d, c in want.items() if c in twice)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}

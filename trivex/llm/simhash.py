@@ -1,4 +1,4 @@
-"""SimHash near-duplicates with deletion-variant signatures (operator 4)."""
+"""SimHash near-duplicates with deletion-variant signatures (operator 4), and the pipeline's near-duplicates by Jaccard similarity."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from .components import components
 
 #: A bucket of more members than this is linked by wildcard cliques instead of by pairs; a task makes the cliques' rows of so many members, about.
 PAIRS_UP_TO, HOT_ROWS = 64, 2000
+#: A shingle is common if at least COMMON documents of one in SAMPLE have it; at most so many are noted.
+SAMPLE, COMMON, MOST_COMMON = 8, 8, 200_000
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -99,9 +101,106 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_diff: int = 2) -> DataF
     return fp.join(checked(classes, classes.count(), 24), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = 5, max_diff: int = 2) -> DataFrame:
-    """The rows of docs that no earlier row of their group precedes: of each group of near_duplicates() the rows with the smallest doc_id stay, with all columns. Rows with a null doc_id stay."""
-    groups = near_duplicates(docs, width, max_diff)
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """The ascending distinct XXH64 (seed 42) of a text's shingles of width words, as signed longs; fewer words are one shingle, no words none."""
+    words = text.lower().split()
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.array([h(b" ".join(words[i : i + width]), 42) for i in range(max(1, len(words) - width + 1))] if words else [], np.uint64).view(np.int64))
+
+
+def _set_hash(keys: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(keys.tobytes(), 7)).astype(np.int64)) if len(keys) else 0
+
+
+def _of_shingles(docs: DataFrame, width: int, make, schema: str) -> DataFrame:
+    """The columns that make(doc_ids, text hashes, shingles of each) gives for each batch of docs."""
+    small_batches(docs.sparkSession)
+    kinds = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
+    names, types = zip(*[x.split() for x in schema.split(", ")], strict=True)
+
+    def run(batches):
+        for b in batches:
+            data, offs = buffers(b.column(2))
+            data = data.tobytes()
+            sets = [shingles(data[a:z], width) for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(make(b.column(0), b.column(1), sets), types, strict=True)], list(names))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Shingles that are common, ascending: those in at least COMMON documents of one in SAMPLE. They only order the shingles, so missing one costs time and no pair."""
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0)
+    keys = _of_shingles(some, width, lambda ids, th, sets: [np.concatenate([*sets, np.zeros(0, np.int64)])], "key long")
+    top = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(MOST_COMMON)
+    return np.array(sorted(r["key"] for r in top.select("key").collect()), np.int64)
+
+
+def _alike(na, nb, least: float):
+    """Whether sets of these sizes can have the similarity."""
+    return F.least(na, nb) >= F.greatest(na, nb) * least - 1e-9
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) of shingle sets whose Jaccard similarity is at least least, by the sets themselves. nodes: (h, th), a text of each set."""
+    used = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+    texts = written(nodes.join(used, "h", "left_semi").select("th").distinct(), "texts")
+    rows = docs.join(checked(texts.withColumnRenamed("th", "_th"), texts.count(), 24), F.xxhash64(F.col("text").cast("string")) == F.col("_th"), "left_semi")
+    sets = _of_shingles(rows, width, lambda ids, th, sets: [[_set_hash(s) for s in sets], sets], "h long, keys array<long>")
+    sets = written(sets.dropDuplicates(["h"]), "sets")
+    n, size = sets.agg(F.count("*"), F.sum(F.size("keys"))).first()
+    side = lambda x: checked(sets.select(F.col("h").alias(x), F.col("keys").alias(f"k{x}")), n * 24 + (size or 0) * 8, 1)
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("ka", "kb")).alias("same"), (F.size("ka") + F.size("kb")).alias("sum"))
+    return written(both.where(F.col("same") >= (F.col("sum") - F.col("same")) * least - 1e-9).select("a", "b"), "near")
+
+
+def similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of each row of docs: documents that a chain of Jaccard similarities of at least least connects, over their sets of shingles of width words, have one component_id, the smallest doc_id among them.
+
+    Exact. 64 SimHash bits can't find such pairs: at 0.8 they differ by 10 bits on average and by up to 19, for which segments would have 6 bits. Instead, shingles are ordered alike in all documents, common ones last and else by hash; two sets of that similarity share one of their first n - ceil(least * n) + 1 shingles. The documents that share one are compared in full. Of a bucket of more than PAIRS_UP_TO members, all are compared with the one that has most common shingles, and those unlike it with all the others: what is already connected needs no more pairs.
+    """
+    common = common_shingles(docs, width)
+
+    def make(ids, th, sets):
+        hots, heads = [], []
+        for s in sets:
+            k = len(s) - int(np.ceil(len(s) * least - 1e-9)) + 1 if len(s) else 0
+            late = np.isin(s, common, assume_unique=True)
+            hots.append(int(late.sum()))
+            heads.append(np.concatenate((s[~late], s[late]))[:k])
+        return ids, th, [_set_hash(s) for s in sets], [len(s) for s in sets], hots, heads
+
+    found = written(_of_shingles(docs, width, make, "doc_id long, th long, h long, n int, hots int, head array<long>"), "heads")
+    nodes = written(found.groupBy("h").agg(F.min("doc_id").alias("first"), F.min("th").alias("th")), "nodes")
+    v = found.select("h", "n", "hots", F.explode("head").alias("key"))
+    # a bucket that repeats one set only is taken for several here and falls away below
+    shared = written(v.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key"), "shared")
+    v = written(v.join(checked(shared, shared.count(), 16), "key").distinct(), "members")
+    full = written(v.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct("hots", "n", "h")).alias("lead")), "buckets")
+    v = v.join(checked(full, full.count(), 40), "key")
+    cols = lambda x: [F.col("key"), F.col("h").alias(x), F.col("n").alias(f"n{x}")]
+    pair = lambda t: t.where(_alike(F.col("na"), F.col("nb"), least)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    few, many = v.where(F.col("m") <= PAIRS_UP_TO), v.where(F.col("m") > PAIRS_UP_TO)
+    near = pair(few.select(*cols("a")).join(few.select(*cols("b")), "key").where("a < b"))
+    star = pair(many.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("lead.h").alias("b"), F.col("lead.n").alias("nb")))
+    near = verified(written(near.union(star).distinct(), "pairs"), docs, nodes, width, least)
+    edge = near.select(F.col("a").alias("ea"), F.col("b").alias("eb"))
+    ends = (F.least("h", F.col("lead.h")) == F.col("ea")) & (F.greatest("h", F.col("lead.h")) == F.col("eb"))
+    apart = written(many.where(F.col("h") != F.col("lead.h")).join(edge, ends, "left_anti").select(*cols("a")), "apart")
+    if apart.limit(1).count():
+        rest = pair(apart.join(many.select(*cols("b")), "key"))
+        near = near.union(verified(written(rest, "pairs"), docs, nodes, width, least))
+    comp = components(near)
+    rooted = nodes.join(comp.select(F.col("node").alias("h"), "root"), "h", "left").select("h", "first", F.coalesce("root", "h").alias("root"))
+    low = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = written(rooted.join(low, "root").select("h", "component_id"), "classes")
+    return found.select("doc_id", "h").join(checked(classes, classes.count(), 24), "h").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of docs that no earlier row of their group precedes: of each group of similar() the rows with the smallest doc_id stay, with all columns. Rows with a null doc_id stay."""
+    groups = similar(docs, width, least)
     gone = written(groups.where("doc_id > component_id").select(F.col("doc_id").alias("_near_gone")).distinct(), "gone")
     return docs.join(checked(gone, gone.count(), 16), F.col("doc_id").cast("long") == F.col("_near_gone"), "left_anti")
 
