@@ -373,6 +373,19 @@ def test_mixing_meets_its_targets(docs):
     assert sorted(map(key, mixing.mixed(docs(rows, "size")).collect())) == sorted(map(key, got))
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_large_documents_are_sampled_systematically(docs, seed):
+    own = random.Random(seed)
+    rows = [(i, "w " * own.randint(150, 400), None, f"s{i % 7}", None) for i in range(70)]
+    got = mixing.mixed(docs(rows, "size"), seed=seed).collect()
+    large = [r for r in got if r["size"] > r["target"] * mixing.LARGE]
+    assert len(large) > 30 and any(r["target"] < r["source_size"] for r in large)
+    for s in {r["source"] for r in large}:
+        own = [r for r in large if r["source"] == s]
+        expected = len(own) * own[0]["target"] / own[0]["source_size"]
+        assert abs(sum(r["copies"] for r in own) - expected) < 1 + 1e-9, s
+
+
 def test_mix_repeats_rows(docs):
     rows = [(i, "w " * (i % 9 + 1), None, "ab"[i % 2], None) for i in range(60)]
     table = docs(rows, "copies")

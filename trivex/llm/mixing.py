@@ -42,7 +42,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
     """(doc_id, th, source, size, source_size, target, copies) per row of docs.
 
-    A document's expected copies are target / source_size. One of over LARGE of its source's target is rounded first (at random; all of them down, should they exceed the target), which leaves whole copies and no fraction to the prefix sums, and the others' expected copies share what is left of the target, so that few long documents don't throw a small source off.
+    A document's expected copies are target / source_size. Those of over LARGE of their source's target are sampled first, by prefix sums and an offset of their own in ascending order of size, so that their copies are within one of the expected sum; the others' expected copies share what the large ones leave of the target, so that few long documents don't throw a small source off. Where large ones exceed the target, nothing is left for the others.
 
     A source's documents stand in runs of like size, alternately up and down by size, so that the sum of expected copies before a document is its place in the source times the expected copies; place and sum come from the counts of the runs before and the row number in its run. One offset in [0, 1) per source, a hash of its name and seed, is added, and the document is taken once for each integer in its interval; copies never exceed most. Reruns agree. A null text has size 0; a null source is a source of its own; null ids and repeated rows are taken like others, repeated rows by their own places; an empty table gives an empty one.
     """
@@ -65,24 +65,25 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 7) ->
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     unit = lambda *x: F.pmod(F.xxhash64(*x), F.lit(1 << 52)) / F.lit(float(1 << 52))
     d = d.withColumn("rate", rate).withColumn("large", F.col("size") > F.col("target") * LARGE)
-    d = d.withColumn("up", F.when(F.col("large"), F.floor(F.col("rate") + unit("key", F.lit("large")))).otherwise(0)).withColumn("down", F.when(F.col("large"), F.floor("rate")).otherwise(0))
-    rest = d.groupBy("source", "target").agg(F.sum(F.col("size") * F.col("up")).alias("su"), F.sum(F.col("size") * F.col("down")).alias("sd"), F.sum(F.when(~F.col("large"), F.col("size")).otherwise(0)).alias("small"))
-    fits = F.col("su") <= F.col("target")
-    left = F.greatest(F.col("target") - F.when(fits, F.col("su")).otherwise(F.col("sd")), F.lit(0.0))
-    rest = rest.select(F.col("source").alias("_s"), fits.alias("fits"), F.when(F.col("small") > 0, F.least(left / F.col("small"), F.lit(float(most)))).otherwise(F.lit(0.0)).alias("r"))
+    taken = lambda k, r, u: F.least(F.floor(F.col(r) * k + u) - F.floor(F.col(r) * (k - 1) + u), F.lit(most)).cast("int").alias("copies")
+    u = lambda *x: unit(F.coalesce("source", F.lit("\x00null")), F.lit(seed), *x)
+    big = d.where("large").withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("size", "key", "doc_id", "th")))
+    out = ["doc_id", "th", "source", "size", "source_size", "target"]
+    big = written(big.select(*out, taken(F.col("k"), "rate", u(F.lit("large")))), "large")
+    d = d.where(~F.col("large"))
+    parts = d.select("source", "target", F.col("size").alias("small"), F.lit(0).cast("long").alias("su")).union(big.select("source", "target", F.lit(0).cast("long"), F.col("size") * F.col("copies")))
+    rest = parts.groupBy("source", "target").agg(F.sum("small").alias("small"), F.sum("su").alias("su"))
+    left = F.greatest(F.col("target") - F.col("su"), F.lit(0.0))
+    rest = rest.select(F.col("source").alias("_s"), F.when(F.col("small") > 0, F.least(left / F.col("small"), F.lit(float(most)))).otherwise(F.lit(0.0)).alias("r"))
     place = F.sum("n").over(Window.partitionBy("source").orderBy("like", "run").rowsBetween(Window.unboundedPreceding, -1))
-    counts = d.where(~F.col("large")).groupBy("source", "like", "run").agg(F.count("*").alias("n"))
+    counts = d.groupBy("source", "like", "run").agg(F.count("*").alias("n"))
     starts = counts.withColumn("start", F.coalesce(place, F.lit(0))).select(F.col("source").alias("_s"), F.col("like").alias("_l"), F.col("run").alias("_r"), "start")
     starts, rest = written(starts, "starts"), written(rest, "rates")
-    inner = Window.partitionBy("source", "like", "run", "large").orderBy(F.when(F.col("run") % 2 == 0, F.col("size")).otherwise(-F.col("size")), "key", "doc_id", "th")
+    inner = Window.partitionBy("source", "like", "run").orderBy(F.when(F.col("run") % 2 == 0, F.col("size")).otherwise(-F.col("size")), "key", "doc_id", "th")
     d = d.withColumn("rn", F.row_number().over(inner))
     d = d.join(checked(starts, starts.count(), 64), F.col("source").eqNullSafe(F.col("_s")) & (F.col("like") == F.col("_l")) & (F.col("run") == F.col("_r")), "left").drop("_s")
     d = d.join(checked(rest, rest.count(), 64), F.col("source").eqNullSafe(F.col("_s")))
-    u = unit(F.coalesce("source", F.lit("\x00null")), F.lit(seed))
-    upto = lambda k: F.floor(F.col("r") * k + u)
-    place = F.col("start") + F.col("rn")
-    copies = F.when(F.col("large"), F.when(F.col("fits"), F.col("up")).otherwise(F.col("down"))).otherwise(upto(place) - upto(place - 1))
-    return d.select("doc_id", "th", "source", "size", "source_size", "target", F.least(copies, F.lit(most)).cast("int").alias("copies"))
+    return d.select(*out, taken(F.col("start") + F.col("rn"), "r", u())).union(big)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
