@@ -226,6 +226,14 @@ def test_line_dedup_edges(docs):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_long_lines_go_alone(docs):
+    passage, short = "w" + " é word" * 25, " ".join(["word"] * 50)
+    rows = [(1, f"a\n{passage}\nb"), (2, f"c\n{passage}\nd"), (3, passage), (4, passage), (5, short), (6, short), (7, f"{passage} more"), (8, f"e\n\n{passage}\n{passage}\nf")]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.line_dedup(docs(rows)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("c\nd", 1), 3: ("", 1), 4: ("", 1), 5: (short, 0), 6: (short, 0), 7: (rows[6][1], 0), 8: ("e\n\nf", 2)}
+    assert line_dedup.line_dedup(docs(rows), 2, None).where("n_removed > 0").count() == 0
+
+
 def test_digests(spark, docs, saved):
     from trivex.llm.queries import QUERIES
 

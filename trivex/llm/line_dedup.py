@@ -1,4 +1,4 @@
-"""Line dedup by winnowing over line hashes (operator 8); DataFrame functions only."""
+"""Line dedup by hashes of windows of lines (operator 8); DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -8,25 +8,33 @@ from .common import checked, discard, written
 
 #: A repeated run of at least this many lines is always found and deleted.
 MIN_LINES = 2
+#: A single line of over so many words is a run of its own.
+LONG_WORDS = 50
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th (text hash), lines: (i, h) of each line that is not blank."""
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), (F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != "").alias("solid")))
+def _lines(docs: DataFrame, long_words: int | None) -> DataFrame:
+    """doc_id, th (text hash), lines: (i, h, long) of each line that is not blank; long is a line of over long_words words."""
+    long = lambda x: F.lit(False) if long_words is None else F.when(F.length(x) > 2 * long_words, F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) > long_words).otherwise(False)
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), long(x).alias("long"), (F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != "").alias("solid")))
     return docs.select("doc_id", F.xxhash64("text").alias("th"), F.filter(lines, lambda x: x["solid"]).alias("lines"))
 
 
-def removals(docs: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFrame, int]:
+def removals(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = LONG_WORDS) -> tuple[DataFrame, int]:
     """(doc_id, th, gone array<int>) of the documents that lose lines, and a bound on the rows.
 
-    Each window of min_lines lines has its rightmost smallest line hash as fingerprint. Positions whose fingerprint occurs twice or more are joined with it, extended over their window both ways, and a window that equals an earlier one is deleted; overlapping windows make up the whole repeated run. Repeats are counted with partial aggregation, so a line or run in a third of all documents is a row per task.
+    Windows of min_lines lines, and single lines of over long_words words, are grouped by the hash of the whole window, and one that equals an earlier one is deleted; overlapping windows make up the whole repeated run. The smallest line hash of a window only leaves out beforehand those that nothing can equal. Selected minima joined by position and extended both ways would give the same lines; a group-by does without a join over positions, and with partial aggregation a line or run in a third of all documents is a row per task.
     """
     t = min_lines
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    seq = _lines(docs).where(F.size("lines") >= t)
-    windows = seq.select("doc_id", "th", F.explode(F.transform(F.sequence(F.lit(1), F.size("lines") - (t - 1)), lambda j: F.struct(j.alias("j"), F.slice("lines", j, F.lit(t)).alias("w")))).alias("x"))
+    seq = _lines(docs, long_words).where(F.size("lines") >= (t if long_words is None else 1))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("lines") - (t - 1), F.lit(1))), lambda j: F.struct(j.alias("j"), F.slice("lines", j, F.lit(t)).alias("w")))
+    runs = F.filter(runs, lambda x: F.size(x["w"]) == t)
+    if long_words is not None and t > 1:
+        alone = F.transform("lines", lambda x, i: F.struct((i + 1).alias("j"), F.array(x).alias("w")))
+        runs = F.concat(runs, F.filter(alone, lambda x: x["w"][0]["long"]))
+    windows = seq.select("doc_id", "th", F.explode(runs).alias("x"))
     hashes = F.transform("x.w", lambda y: y["h"])
-    windows = windows.select("doc_id", "th", F.col("x.j").alias("j"), F.array_min(hashes).alias("fp"), F.xxhash64(hashes, F.lit(1)).alias("wh"), (F.col("x.j") + t - F.array_position(F.reverse(hashes), F.array_min(hashes)).cast("int")).alias("pos"), F.transform("x.w", lambda y: y["i"]).alias("at"))
+    windows = windows.select("doc_id", "th", F.col("x.j").alias("j"), F.array_min(hashes).alias("fp"), F.xxhash64(hashes, F.lit(1)).alias("wh"), F.transform("x.w", lambda y: y["i"]).alias("at"))
     windows = written(windows, "windows")
     often = written(windows.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "fingerprints")
     joined = windows.join(checked(often, often.count(), 16), "fp")
@@ -39,12 +47,12 @@ def removals(docs: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFrame, in
     return gone, rows * 2 + (lines or 0) // 4
 
 
-def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = LONG_WORDS) -> DataFrame:
     """docs with later repeated runs of lines deleted from text; all columns and rows stay, and n_lines and n_removed are added under those names unless docs has them.
 
-    A run of min_lines or more consecutive lines that are not blank, which also starts earlier (smaller doc_id, null ids first; then earlier in the text), is deleted. Blank lines neither count nor go. A null text stays null; a text of fewer lines stays whole; rows that repeat a doc_id and text are one document and don't delete each other's lines; an empty table gives an empty one.
+    A run of min_lines or more consecutive lines that are not blank, or a single line of over long_words words (None: no single lines), which also starts earlier (smaller doc_id, null ids first; then earlier in the text), is deleted. Blank lines neither count nor go. A null text stays null; a text of fewer lines, none of them long, stays whole; rows that repeat a doc_id and text are one document and don't delete each other's lines; an empty table gives an empty one.
     """
-    gone, rows = removals(docs, min_lines)
+    gone, rows = removals(docs, min_lines, long_words)
     names = docs.columns
     right = checked(gone.select(F.col("doc_id").alias("_ld_doc"), F.col("th").alias("_ld_th"), F.col("gone").alias("_ld_gone")), rows, 40)
     out = docs.join(right, F.col("doc_id").cast("long").eqNullSafe(F.col("_ld_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_ld_th")), "left")
@@ -55,9 +63,9 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    """Whole `documents`, runs of two lines or more; the remaining text as its digest."""
+    """Whole `documents`, runs of two lines or more, as in SQL8 (single long lines only go in the pipeline); the remaining text as its digest."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = line_dedup(docs, MIN_LINES)
+    out = line_dedup(docs, MIN_LINES, None)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
