@@ -168,6 +168,26 @@ def test_quality_keeps_clean_and_drops_junk(spark, docs):
 TEXTS = ["", " ", "one", "Two  words", "it's 1²", "日本 <|endoftext|> x", "a\n\nb", "É́ é", "x " * 3000, "line\nline", "naïve café!!"]
 
 
+@pytest.mark.parametrize("trusted", [12, 72])
+def test_quality_keeps_clean_texts_of_a_small_language(spark, docs, trusted):
+    # trains with fewer than LEAST_DOCS in both cases beside a language of 800; the smaller has too few held-out texts for a threshold
+    own = random.Random(9)
+    many = ["".join(own.choices("abcdefghij", k=own.randint(2, 6))) for _ in range(40)]
+    few = ["".join(own.choices("klmnopqrst", k=own.randint(2, 6))) for _ in range(4000)]
+    text = lambda w: " ".join(own.choices(w, k=60))
+    rows = [(i, text(many), "en") for i in range(400)] + [(1000 + i, text(few), "es") for i in range(200)]
+    rows += [(2000 + i, text(many), None) for i in range(20)] + [(3000 + i, "%$#&" * 60, "es") for i in range(5)]
+    labels = spark.createDataFrame([(i, 1) for i in range(400)] + [(1000 + i, 1) for i in range(trusted)], "doc_id long, quality int")
+    monkey = pytest.MonkeyPatch()
+    with monkey.context() as m:
+        m.setattr(quality, "LEAST_DOCS", 100)
+        got = {r["doc_id"]: r for r in quality.judged(docs(rows), labels).collect()}
+    assert len(got) == len(rows)
+    assert sum(got[1000 + i]["kept"] for i in range(trusted, 200)) >= 0.9 * (200 - trusted)
+    assert all(got[2000 + i]["kept"] for i in range(20))
+    assert all(got[3000 + i]["kept"] == (trusted == 12) and (got[3000 + i]["threshold"] is None) == (trusted == 12) for i in range(5))
+
+
 def test_tokens_equal_the_library():
     from trivex.llm.tokens import TextTokenizer
 

@@ -28,6 +28,8 @@ LEAST_DOCS = 30
 HELD = 4
 #: A document's mean is drawn to its language's median as if it had this many more symbols.
 PRIOR = 100
+#: Fewer held-out documents than this set no threshold: everything is kept.
+LEAST_HELD = 10
 #: Rejected: a score (nats per symbol) above this quantile of the trusted documents of its language, plus the slack.
 QUANTILE, SLACK = 0.97, 0.2
 BIN = 1000
@@ -104,7 +106,7 @@ class Ngrams:
 
 
 def chunks(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The written table of chunks, from docs (doc_id, lang, text). Marks: 1 trains, 2 sets thresholds, 0 neither.
+    """The written table of chunks, from docs (doc_id, lang, text). Marks: 1 trains, 2 sets thresholds, 0 neither; documents of mark 2 have chunks of their own.
 
     Trusted are the documents that labels calls good (quality 1 and never 0). Labels are broadcast only if counted to be few.
     """
@@ -119,30 +121,31 @@ def chunks(docs: DataFrame, labels: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         number, z = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=3)
-        held: dict[str | None, list] = {}
-        size: dict[str | None, int] = {}
+        held: dict[tuple[str | None, bool], list] = {}
+        size: dict[tuple[str | None, bool], int] = {}
 
-        def flush(lang):
+        def flush(kind):
             nonlocal number
-            rows = held.pop(lang)
-            size.pop(lang)
+            rows = held.pop(kind)
+            size.pop(kind)
             ids, th, marks, syms = zip(*rows, strict=True)
             number += 1
-            row = (number - 1, lang, ids, th, [len(s) for s in syms], marks, sum(m == 1 for m in marks), z.compress(np.concatenate(syms).tobytes()))
+            row = (number - 1, kind[0], ids, th, [len(s) for s in syms], marks, sum(m == 1 for m in marks), z.compress(np.concatenate(syms).tobytes()))
             types = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], [x.split()[0] for x in BLOBS.split(", ")])
 
         for b in batches:
             for doc, th, lang, mark, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 s = symbols(text)
-                held.setdefault(lang, []).append((doc, th, mark, s))
-                size[lang] = size.get(lang, 0) + len(s) + 64  # the row's other fields
-                if size[lang] >= CHUNK:
-                    yield flush(lang)
+                kind = (lang, mark == 2)
+                held.setdefault(kind, []).append((doc, th, mark, s))
+                size[kind] = size.get(kind, 0) + len(s) + 64  # the row's other fields
+                if size[kind] >= CHUNK:
+                    yield flush(kind)
                 elif sum(size.values()) >= OPEN:
                     yield flush(max(size, key=size.get))
-        for lang in list(held):
-            yield flush(lang)
+        for kind in list(held):
+            yield flush(kind)
 
     return written(docs.mapInArrow(run, BLOBS), "chunks")
 
@@ -242,6 +245,11 @@ def log_probabilities(counts: DataFrame, wanted: DataFrame, models: int, order:
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, th, lang, model, mark, n, nlp) per row of docs (doc_id, lang, text): symbols and the sum of their -log p; th is the text's hash."""
+    return all_scores(docs, labels).where("mark < 3")
+
+
+def all_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """scores() and, where a row without a language is judged by model 0, the held-out documents of other models again, under model 0, with mark 3."""
     spark = docs.sparkSession
     blobs = chunks(docs, labels)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
@@ -250,6 +258,10 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     langs = written(langs.where((F.col("n") >= LEAST_DOCS) & F.col("lang").isNotNull()).select(F.col("lang").alias("_lang"), number.cast("long").alias("model")), "models")
     models = langs.count() + 1
     blobs = blobs.join(checked(langs, models, 64), F.col("lang") == F.col("_lang"), "left").withColumn("model", F.coalesce("model", F.lit(0).cast("long"))).drop("_lang")
+    if blobs.where("lang is null").limit(1).count():
+        again = blobs.where((F.col("model") > 0) & (F.element_at("marks", 1) == 2))
+        again = again.withColumn("chunk", -1 - F.col("chunk")).withColumn("model", F.lit(0).cast("long")).withColumn("marks", F.transform("marks", lambda m: F.lit(3)))
+        blobs = blobs.unionByName(again)
     counts = counted(blobs)
     wanted = written(requests(blobs).select("key").distinct(), "wanted")
     p = log_probabilities(counts, wanted, models)
@@ -282,22 +294,24 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def thresholds(scored: DataFrame, quantile: float, slack: float) -> DataFrame:
-    """(model, mid, top): the median and the threshold of the mean -log p over all held-out trusted documents of at least PRIOR symbols, from exact counts in bins of 1 / BIN nats; model 0 takes those of every language."""
-    rows = scored.where((F.col("mark") == 2) & (F.col("n") >= PRIOR)).select("model", F.round(F.col("nlp") / F.col("n") * BIN).cast("int").alias("bin"))
-    bins = rows.groupBy("model", "bin").agg(F.count("*").alias("n"))
-    bins = bins.where("model > 0").union(bins.groupBy(F.lit(0).cast("long"), "bin").agg(F.sum("n")))
-    up = Window.partitionBy("model").orderBy("bin")
-    share = F.sum("n").over(up) / F.sum("n").over(Window.partitionBy("model"))
+    """(model, lang, mid, top): the median and the threshold of the mean -log p over the held-out trusted documents of a language of at least PRIOR symbols, under the model that judges it, from exact counts in bins of 1 / BIN nats. A null language has those of all held-out documents under model 0. Fewer than LEAST_HELD documents give no row."""
+    rows = scored.where((F.col("mark") >= 2) & (F.col("n") >= PRIOR)).select("model", "lang", "mark", F.round(F.col("nlp") / F.col("n") * BIN).cast("int").alias("bin"))
+    bins = rows.groupBy("model", "lang", "mark", "bin").agg(F.count("*").alias("n"))
+    own = bins.where("mark = 2 and lang is not null").select("model", "lang", "bin", "n")
+    bins = own.union(bins.where("model = 0").groupBy("model", F.lit(None).cast("string").alias("lang"), "bin").agg(F.sum("n").alias("n")))
+    each = Window.partitionBy("model", "lang")
+    bins = bins.withColumn("held", F.sum("n").over(each)).withColumn("share", F.sum("n").over(each.orderBy("bin")) / F.col("held")).where(F.col("held") >= LEAST_HELD)
     at = lambda q: F.min(F.when(F.col("share") >= q, F.col("bin"))) / F.lit(float(BIN))
-    return bins.withColumn("share", share).groupBy("model").agg(at(0.5).alias("mid"), (at(quantile) + slack).alias("top"))
+    return bins.groupBy("model", "lang").agg(at(0.5).alias("mid"), (at(quantile) + slack).alias("top"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """(doc_id, th, lang, perplexity, threshold, kept) per row of docs; cases as for judge()."""
-    s = scores(docs.select("doc_id", "lang", "text"), labels)
-    limits = written(thresholds(s, quantile, slack), "limits")
-    s = s.join(checked(limits, limits.count(), 32), "model", "left")
-    mean = F.when(F.col("n") > 0, (F.col("nlp") + PRIOR * F.col("mid")) / (F.col("n") + PRIOR))
+    s = all_scores(docs.select("doc_id", "lang", "text"), labels)
+    limits = written(thresholds(s, quantile, slack).select(F.col("model").alias("_model"), F.col("lang").alias("_lang"), "mid", "top"), "limits")
+    same = (F.col("model") == F.col("_model")) & F.col("lang").eqNullSafe(F.col("_lang"))
+    s = s.where("mark < 3").join(checked(limits, limits.count(), 64), same, "left")
+    mean = F.when(F.col("n") > 0, F.when(F.col("mid").isNull(), F.col("nlp") / F.col("n")).otherwise((F.col("nlp") + PRIOR * F.col("mid")) / (F.col("n") + PRIOR)))
     s = s.withColumn("mean", mean)
     return s.select("doc_id", "th", "lang", F.exp("mean").alias("perplexity"), F.when(F.col("mean").isNotNull(), F.exp("top")).alias("threshold"), F.coalesce(F.col("mean") <= F.col("top"), F.lit(True)).alias("kept"))
 
@@ -305,7 +319,7 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, keep_only: bool = False) -> DataFrame:
     """docs with perplexity, threshold and kept added unless docs has columns of these names (or, with keep_only, just the rows kept, with the columns of docs).
 
-    Perplexity is exp of the mean -log p per symbol under the model of the row's lang (few or no trusted documents, or null: of all trusted text), drawn to the language's median by PRIOR symbols so that short texts aren't judged by chance. A null or empty text has null perplexity and is kept, as is everything when nothing is trusted: no evidence rejects nothing. Repeated rows are judged alike; an empty table gives an empty one.
+    Perplexity is exp of the mean -log p per symbol under the model of the row's lang (few or no trusted documents, or null: of all trusted text), drawn to the language's median by PRIOR symbols so that short texts aren't judged by chance. Each language has a threshold of its own, under the model that judges it; one with fewer than LEAST_HELD held-out documents has none, its perplexity is not drawn, and its rows are kept. A null or empty text has null perplexity and is kept, as is everything when nothing is trusted: no evidence rejects nothing. Repeated rows are judged alike; an empty table gives an empty one.
     """
     found = written(judged(docs, labels, quantile, slack), "judged")
     keys = {"doc_id": F.col("doc_id").cast("long"), "th": F.xxhash64(F.col("text").cast("string")), "lang": F.col("lang").cast("string")}
