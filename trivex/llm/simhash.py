@@ -13,7 +13,9 @@ from .components import components
 #: A bucket of more members than this is linked by wildcard cliques instead of by pairs; a task makes the cliques' rows of so many members, about.
 PAIRS_UP_TO, HOT_ROWS = 64, 2000
 #: A shingle is common if at least COMMON documents of one in SAMPLE have it; at most so many are noted.
-SAMPLE, COMMON, MOST_COMMON = 8, 8, 200_000
+SAMPLE, COMMON, MOST_COMMON = 4, 2, 300_000
+#: Bits of a set's parities.
+BITS = 512
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -112,6 +114,12 @@ def _set_hash(keys: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(keys.tobytes(), 7)).astype(np.int64)) if len(keys) else 0
 
 
+def parities(keys: np.ndarray) -> np.ndarray:
+    """BITS bits, as longs: whether a set has an odd number of shingles of each residue. Two sets' bits differ in no more places than the sets have shingles that the other lacks."""
+    odd = np.bincount(keys & (BITS - 1), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _of_shingles(docs: DataFrame, width: int, make, schema: str) -> DataFrame:
     """The columns that make(doc_ids, text hashes, shingles of each) gives for each batch of docs."""
     small_batches(docs.sparkSession)
@@ -142,7 +150,11 @@ def _alike(na, nb, least: float):
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) of shingle sets whose Jaccard similarity is at least least, by the sets themselves. nodes: (h, th), a text of each set."""
+    """The pairs (a, b) of shingle sets whose Jaccard similarity is at least least, by the sets themselves, after those that the sets' parities rule out. nodes: (h, th, n, bits), a text, size and parities of each set."""
+    bits = lambda x: nodes.select(F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
+    apart = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    pairs = pairs.join(bits("a"), "a").join(bits("b"), "b").where(apart <= (F.col("na") + F.col("nb")) * ((1 - least) / (1 + least)) + 1e-6)
+    pairs = written(pairs.select("a", "b"), "candidates")
     used = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
     texts = written(nodes.join(used, "h", "left_semi").select("th").distinct(), "texts")
     rows = docs.join(checked(texts.withColumnRenamed("th", "_th"), texts.count(), 24), F.xxhash64(F.col("text").cast("string")) == F.col("_th"), "left_semi")
@@ -169,27 +181,29 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
             late = np.isin(s, common, assume_unique=True)
             hots.append(int(late.sum()))
             heads.append(np.concatenate((s[~late], s[late]))[:k])
-        return ids, th, [_set_hash(s) for s in sets], [len(s) for s in sets], hots, heads
+        return ids, th, [_set_hash(s) for s in sets], [len(s) for s in sets], hots, heads, [parities(s) for s in sets]
 
-    found = written(_of_shingles(docs, width, make, "doc_id long, th long, h long, n int, hots int, head array<long>"), "heads")
-    nodes = written(found.groupBy("h").agg(F.min("doc_id").alias("first"), F.min("th").alias("th")), "nodes")
-    v = found.select("h", "n", "hots", F.explode("head").alias("key"))
+    found = written(_of_shingles(docs, width, make, "doc_id long, th long, h long, n int, hots int, head array<long>, bits array<long>"), "heads")
+    nodes = written(found.groupBy("h").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.min("n").alias("n"), F.min("bits").alias("bits")), "nodes")
+    v = found.select("h", "n", "hots", F.posexplode("head").alias("pos", "key"))
     # a bucket that repeats one set only is taken for several here and falls away below
     shared = written(v.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key"), "shared")
     v = written(v.join(checked(shared, shared.count(), 16), "key").distinct(), "members")
     full = written(v.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct("hots", "n", "h")).alias("lead")), "buckets")
     v = v.join(checked(full, full.count(), 40), "key")
-    cols = lambda x: [F.col("key"), F.col("h").alias(x), F.col("n").alias(f"n{x}")]
+    cols = lambda x: [F.col("key"), F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}")]
+    # what the sets can share from their first common shingle on
+    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-6
     pair = lambda t: t.where(_alike(F.col("na"), F.col("nb"), least)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     few, many = v.where(F.col("m") <= PAIRS_UP_TO), v.where(F.col("m") > PAIRS_UP_TO)
-    near = pair(few.select(*cols("a")).join(few.select(*cols("b")), "key").where("a < b"))
+    near = pair(few.select(*cols("a")).join(few.select(*cols("b")), "key").where("a < b").where(reach))
     star = pair(many.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("lead.h").alias("b"), F.col("lead.n").alias("nb")))
     near = verified(written(near.union(star).distinct(), "pairs"), docs, nodes, width, least)
     edge = near.select(F.col("a").alias("ea"), F.col("b").alias("eb"))
     ends = (F.least("h", F.col("lead.h")) == F.col("ea")) & (F.greatest("h", F.col("lead.h")) == F.col("eb"))
     apart = written(many.where(F.col("h") != F.col("lead.h")).join(edge, ends, "left_anti").select(*cols("a")), "apart")
     if apart.limit(1).count():
-        rest = pair(apart.join(many.select(*cols("b")), "key"))
+        rest = pair(apart.join(many.select(*cols("b")), "key").where(reach))
         near = near.union(verified(written(rest, "pairs"), docs, nodes, width, least))
     comp = components(near)
     rooted = nodes.join(comp.select(F.col("node").alias("h"), "root"), "h", "left").select("h", "first", F.coalesce("root", "h").alias("root"))
