@@ -486,7 +486,7 @@ def _windowed(spark, d: str) -> DataFrame:
 
 query("subspace_residuals")(lambda spark, d: _sub().learn_residuals(tern(spark, d), "label", "vec_id", "v", 4).select("label", "vec_id", rnd(F.col("residual"), 4).alias("residual"), rnd(F.when(F.col("threshold") < 1e300, F.col("threshold")), 4).alias("threshold")))
 query("subspace_score")(lambda spark, d: _sub().score(tern(spark, d), _sub().learn(tern(spark, d), "label", "vec_id", "v", 4), "label", "v").select("vec_id", rnd(F.col("residual"), 4).alias("residual"), "anomalous"))
-query("engram_match")(lambda spark, d: _library(spark, d).match_vec(tern(spark, d).where("vec_id % 10 = 0"), "vec_id", "v", 3).select("vec_id", "rank", "name", rnd(F.col("residual"), 4).alias("residual")))
+query("engram_match")(lambda spark, d: _library(spark, d).match_vec(tern(spark, d), "vec_id", "v", 3).select("vec_id", "rank", "name", rnd(F.col("residual"), 4).alias("residual")))
 query("engram_spectrum")(lambda spark, d: _library(spark, d).match_spectrum([3.0, 2.0, 1.0, 0.5], 5).select("name", rnd(F.col("score"), 4).alias("score")))
 query("reckoner_predict")(lambda spark, d: _reck(spark, d))
 query("reckoner_regress")(lambda spark, d: _regress(spark, d))
@@ -532,7 +532,7 @@ def _curve(spark, d: str) -> DataFrame:
 
 
 def _self_training(spark, d: str) -> DataFrame:
-    e = _events(spark, d).where("user_id <= 20")
+    e = _events(spark, d)
     e = books.with_vectors(e, "event_type", books.codebook(e, "event_type", SPACE)).withColumn("r", scalars.encode_thermometer(SPACE, F.col("value"), 0.0, 500.0))
     return pipe.self_training(e, "user_id", "event_id", "v", "r").select("user_id", "event_id", rnd(F.col("pattern_sim"), 4).alias("pattern_sim"), rnd(F.col("rate_sim"), 4).alias("rate_sim"), "anomalous")
 
