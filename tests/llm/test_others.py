@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from trivex.llm import langid, lsh_search, mixing, norm_search, packing, quality, token_store, vectors
@@ -393,26 +394,64 @@ def test_mixing_meets_its_targets(docs):
     assert sorted(map(key, mixing.mixed(docs(rows, "size")).collect())) == sorted(map(key, got))
 
 
+def brute_copies(rows, weights=(5, 2, 1), most=3, seed=7):
+    """Copies by definition, from rows (doc_id, th, source, size, key, u): prefix sums of expected copies, one boundary at a time."""
+    by = defaultdict(list)
+    for r in rows:
+        by[r[2]].append(r)
+    target, out = fill({s: sum(r[3] for r in rs) for s, rs in by.items()}), {}
+    for s, rs in by.items():
+        like = lambda z: (z.bit_length() or 1) * 16 + (z >> max(0, (z.bit_length() or 1) - 4))
+        classes = defaultdict(list)
+        for r in rs:
+            classes[like(r[3])].append(r)
+        t, left, at = target[s], float(sum(r[3] for r in rs)), 0.0
+        for c in sorted(classes, reverse=True):
+            own = classes[c]
+            own.sort(key=lambda r: (run := r[4] % mixing.RUNS, r[3] if run % 2 == 0 else -r[3], r[4]))
+            e = min(max(t / left, 0.0), most) if left > 0 else 0.0
+            taken = 0
+            for i, r in enumerate(own):
+                out[r[0]] = min(math.floor(at + (i + 1) * e + r[5]) - math.floor(at + i * e + r[5]), most)
+                taken += out[r[0]]
+            t -= taken * sum(r[3] for r in own) / len(own)
+            left -= sum(r[3] for r in own)
+            at += len(own) * e
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mixing_copies_by_definition(docs, seed):
+    own = random.Random(seed)
+    rows = [(i, "w " * int(own.choice((0, 1, 3, 40, 400)) * own.uniform(0.5, 1.5)), None, own.choice(["a", "b", "c", None, "few"] if i % 40 == 0 else ["a", "b", None]), None) for i in range(400)]
+    table = docs(rows)
+    key = F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed))
+    u = F.pmod(F.xxhash64(F.coalesce("source", F.lit("\x00null")), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    known = [tuple(r) for r in table.select("doc_id", F.lit(0), "source", mixing.size_of(F.col("text")), key, u).collect()]
+    assert {r["doc_id"]: r["copies"] for r in mixing.mixed(table, seed=seed).collect()} == brute_copies(known, seed=seed)
+
+
 @pytest.mark.parametrize("seed", range(4))
-def test_large_documents_are_sampled_systematically(docs, seed):
+def test_few_long_documents_keep_the_target(docs, seed):
     own = random.Random(seed)
-    rows = [(i, "w " * own.randint(150, 400), None, f"s{i % 7}", None) for i in range(70)]
-    got = mixing.mixed(docs(rows, "size"), seed=seed).collect()
-    large = [r for r in got if r["size"] > r["target"] * mixing.LARGE]
-    assert len(large) > 30 and any(r["target"] < r["source_size"] for r in large)
-    for s in {r["source"] for r in large}:
-        own = [r for r in large if r["source"] == s]
-        expected = len(own) * own[0]["target"] / own[0]["source_size"]
-        assert abs(sum(r["copies"] for r in own) - expected) < 1 + 1e-9, s
+    rows = [(i, "w " * own.randint(150, 400), None, f"s{i % 7}", None) for i in range(140)]
+    taken, target = Counter(), {}
+    for r in mixing.mixed(docs(rows, "size"), seed=seed).collect():
+        taken[r["source"]] += r["size"] * r["copies"]
+        target[r["source"]] = r["target"]
+        assert 0 <= r["copies"] <= 3
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= 250, (s, taken[s], t)
 
 
 def test_mix_repeats_rows(docs):
     rows = [(i, "w " * (i % 9 + 1), None, "ab"[i % 2], None) for i in range(60)]
-    table = docs(rows, "copies")
+    rows += [(5, rows[5][1], None, "c", None)]  # one id and text in two sources
+    table = docs(rows, "_copies")
     out = mixing.mix(table)
     assert out.columns == table.columns
-    n = Counter(r["doc_id"] for r in out.collect())
-    assert n == {r["doc_id"]: r["copies"] for r in mixing.mixed(table).collect() if r["copies"]}
+    n = Counter((r["doc_id"], r["source"]) for r in out.collect())
+    assert n == {(r["doc_id"], r["source"]): r["copies"] for r in mixing.mixed(table).collect() if r["copies"]}
     assert mixing.mix(docs([])).count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

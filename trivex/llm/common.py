@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS):
+    """Batches of so many rows for what is run inside (not just planned); then the session's setting is as it was."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -53,6 +66,17 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has in any case of letters, for columns of a join's other side."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while f"_{n}".lower() in have:
+            n = f"_{n}"
+        out.append(f"_{n}")
+    return out
+
+
 def checked(side: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """side with a broadcast hint if rows x row_bytes is within BROADCAST_BYTES; else as it is, for a sort-merge join."""
     return F.broadcast(side) if rows * row_bytes <= BROADCAST_BYTES else side
