@@ -234,6 +234,33 @@ def test_long_lines_go_alone(docs):
     assert line_dedup.line_dedup(docs(rows), 2, None).where("n_removed > 0").count() == 0
 
 
+def test_winnowing_selects_the_minimum_of_every_window(docs):
+    rows = [(i, "\n".join(rng.choice(["a", "b", "c", "d", ""]) for _ in range(rng.randint(1, 12)))) for i in range(30)]
+    for t in (1, 2, 4):
+        got = {}
+        for r in line_dedup.fingerprints(docs(rows).select("doc_id", "text"), t, None).collect():
+            for w in r["windows"]:
+                assert got.setdefault((r["doc_id"], w["j"]), (r["fp"], w["w1"], w["w2"], w["at"])) and len(w["at"]) == t
+        want = {}
+        for d, text in rows:
+            solid = [(i, x) for i, x in enumerate(text.split("\n")) if x]
+            for j in range(len(solid) - t + 1):
+                want[d, j + 1] = (tuple(x for _, x in solid[j : j + t]), [i for i, _ in solid[j : j + t]])
+        assert set(got) == set(want)
+        by = {}
+        for k, (words, at) in want.items():
+            assert got[k][3] == at
+            assert by.setdefault(words, got[k][:3]) == got[k][:3]  # equal windows have equal fingerprints
+        assert len(set(by.values())) == len(by)
+
+
+def test_line_dedup_of_a_very_long_text_and_clashing_names(docs):
+    lines = [f"line {i % 30_000} of many" for i in range(60_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["x", *lines[:5], "", "y"]))]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs(rows, "_gone")).collect()}
+    assert got == {1: "\n".join(lines[:30_000]), 2: "x\n\ny"}
+
+
 def test_digests(spark, docs, saved):
     from trivex.llm.queries import QUERIES
 
