@@ -229,6 +229,60 @@ def test_streams(spark):
     assert [r["seq"] for r in n.orderBy("o").collect()] == [0, 1, 2, 3]
 
 
+def test_numbers_are_whole_in_large_streams(spark):
+    # far more rows in a range than its bounds are sampled from, and a value that a third of the rows have
+    for mod in (1, 2):
+        n = 300_000
+        df = spark.range(n, numPartitions=3).select((F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") * 7919 % n) if mod == 2 else F.col("id") * 7919 % n).alias("o"), "id")
+        got = ordered.numbered(df, "o")
+        low, high, k, m, s = got.agg(F.min("seq"), F.max("seq"), F.count("*"), F.count_distinct("seq"), F.count_distinct("id")).first()
+        assert (low, high, k, m, s) == (0, n - 1, n, n, n)
+        w = got.join(got.select((F.col("seq") + 1).alias("seq"), F.col("o").alias("before")), "seq")
+        assert w.where("o < before").count() == 0
+    assert ordered.numbered(df.limit(0), "o").count() == 0
+    again = {r["id"]: r["seq"] for r in ordered.numbered(df, "o").where("id < 500").collect()}
+    assert again == {r["id"]: r["seq"] for r in got.where("id < 500").collect()}
+
+
+def test_nested_items_and_scales_encode_as_their_json(spark):
+    from trivex.sources import encode as enc
+
+    space = Space(48, 0)
+    row = {"a": [{"x": "p", "y": 1}, {"x": "q", "y": 2}], "m": {"k": ["u", "v"], "l": []}, "n": [["a", "b"], []], "s": {"$linear": 7.5, "$scale": 20.0}, "z": {"$log": 100.0, "$scale": 0.0}}
+    schema = "a array<struct<x string, y long>>, m map<string, array<string>>, n array<array<string>>, s struct<`$linear` double, `$scale` double>, z struct<`$log` double, `$scale` double>"
+    df = spark.createDataFrame([row], schema)
+    for name in df.columns:
+        c = F.struct(F.col(name))
+        kind = df.select(c.alias("c")).schema["c"].dataType
+        got, want = df.select(enc.encode(space, c, kind), enc.encode_json(space, F.to_json(c))).first()
+        assert got == want, name
+
+
+def test_values_are_encoded_once(spark):
+    from trivex.sources.codebook import encoded_once
+
+    df = spark.createDataFrame([(i, "ab"[i % 2] if i % 5 else None) for i in range(20)], "id long, x string")
+    got = encoded_once(df, "x", lambda c: F.coalesce(F.upper(c), F.lit("-")))
+    assert {r["id"]: r["v"] for r in got.collect()} == {i: "AB"[i % 2] if i % 5 else "-" for i in range(20)}
+
+
+def test_chains_and_changepoints_over_many_ranges(spark):
+    g = np.random.default_rng(5)
+    at = np.unique(np.concatenate((g.integers(0, 4000, 250), np.arange(5000, 5200, 3))))
+    got = {r["seq"]: r["chain"] for r in ordered.chains(spark.createDataFrame([(int(x),) for x in at], "seq long").repartition(5), 12).collect()}
+    want, first, last = {}, None, None
+    for x in at.tolist():
+        first = x if last is None or x - last > 12 else first
+        want[x], last = first, x
+    assert got == want
+    kept, last = [], None
+    for x in at.tolist():
+        if last is None or x - last > 12:
+            kept.append(x)
+            last = x
+    assert [r["seq"] for r in pipe.consolidated(spark.createDataFrame([(int(x),) for x in at], "seq long"), 12).orderBy("seq").collect()] == kept
+
+
 # learners
 
 def low_rank(n, dim=32, rank=3, seed=0):
@@ -363,6 +417,11 @@ def test_rules(spark):
     p = spark.createDataFrame([("aabbcc", True), ("aabb00", True), ("ddbbcc", False)], "hex string, attack boolean")
     rules = spark.createDataFrame([(0, "aabb"), (1, "bb")], "pos int, bytes string")
     assert [(r["pos"], r["tp"], r["fp"]) for r in pipe.validated_rules(rules, p, "attack").collect()] == [(0, 2, 0)]
+    many = spark.range(12_000).select((F.col("id") % 50).cast("int").alias("pos"), F.lpad(F.hex("id"), 4, "0").alias("bytes"))
+    p = spark.createDataFrame([("00" * 49 + f"{i:04X}", i % 2 == 0) for i in range(0, 12_000, 7)], "hex string, attack boolean")
+    want = {(49, f"{i:04X}") for i in range(0, 12_000, 7) if i % 2 == 0 and i % 50 == 49}
+    got = {(r["pos"], r["bytes"]) for r in pipe.validated_rules(many, p, "attack").collect()}
+    assert {x for x in got if x[0] == 49} == want
 
 
 def test_streaming(spark, tmp_path):

@@ -93,14 +93,18 @@ def decode_log(space: Space, v: Column, lo: float = 1e-2, hi: float = 1e10, prob
     return F.pow(F.lit(10.0), -best["g"])
 
 
-def positional(space: Space, position: Column, scale: float = 1000.0) -> Column:
+def positional(space: Space, position: Column, scale: float | Column = 1000.0) -> Column:
     """Signs of sines (even components) and cosines (odd) of position at frequencies scale ** (-i / dims)."""
+    wave = lambda x, i: F.signum(F.when(i % 2 == 0, F.sin(x)).otherwise(F.cos(x))).cast(T)
+    if isinstance(scale, Column):
+        both = F.struct(position.cast("double").alias("p"), scale.cast("double").alias("s"))
+        exponents = literal([-i / space.dims for i in range(space.dims)], "double")
+        return let(both, lambda b: F.transform(exponents, lambda e, i: wave(b["p"] * F.pow(b["s"], e), i)))
     freq = literal([scale ** (-i / space.dims) for i in range(space.dims)], "double")
-    wave = lambda p: F.transform(freq, lambda f, i: F.signum(F.when(i % 2 == 0, F.sin(p * f)).otherwise(F.cos(p * f))).cast(T))
-    return let(position.cast("double"), wave)
+    return let(position.cast("double"), lambda p: F.transform(freq, lambda f, i: wave(p * f, i)))
 
 
-def log_positional(space: Space, value: Column, scale: float = 1000.0) -> Column:
+def log_positional(space: Space, value: Column, scale: float | Column = 1000.0) -> Column:
     x = value.cast("double")
     return F.when(x > 0, positional(space, F.log10(x), scale)).otherwise(F.array_repeat(F.lit(0).cast(T), space.dims))
 

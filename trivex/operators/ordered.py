@@ -11,20 +11,24 @@ from ..functions.similarity import cosine
 
 
 def numbered(df: DataFrame, order: str, keys: list[str] | None = None) -> DataFrame:
-    """df with seq from 0 in ascending order, without gathering a stream: rows are range-partitioned, and a task's first number is the count of the rows before it."""
+    """df with seq from 0 in ascending order, equal values in the order of their rows' hashes, nulls first.
+
+    No stream is gathered: rows are dealt by ranges of the order, so a value that a third of them has is dealt too, and are written once with their number in their range. What is counted and what is numbered is therefore the same; a row's seq is its number and the count of all ranges before. With keys each key's rows are numbered by a window.
+    """
+    from ..sources.tables import written
+
     if keys:
         return df.withColumn("seq", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = df.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    d = d.withColumn("_i", F.col("_m").bitwiseAND((1 << 33) - 1))
-    counts = {r[0]: r[1] for r in d.groupBy("_p").agg(F.max("_i") + 1).collect()}  # a row per task
-    at, start = 0, []
-    for p in range(max(counts, default=-1) + 1):
-        start.append(at)
-        at += counts.get(p, 0)
-    first = F.element_at(F.array(*[F.lit(x).cast("long") for x in start or [0]]), F.col("_p") + 1)
-    return d.withColumn("seq", first + F.col("_i")).drop("_p", "_m", "_i")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    d = df.withColumn("_tie", F.xxhash64(*hashed))
+    d = d.repartitionByRange(n, F.col(order), F.col("_tie")).sortWithinPartitions(order, "_tie")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    d = written(d.withColumn("_p", F.spark_partition_id()).withColumn("_i", place).drop("_tie"), "numbered")
+    before = F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))  # a row per range
+    starts = d.groupBy("_p").agg(F.count("*").alias("n")).select(F.col("_p"), F.coalesce(before, F.lit(0).cast("long")).alias("_start"))
+    d = d.join(F.broadcast(starts), "_p")  # at most as many rows as shuffle partitions
+    return d.select(*[c for c in df.columns if c != "seq"], (F.col("_start") + F.col("_i")).alias("seq"))
 
 
 def _lagged(a: DataFrame, b: DataFrame, max_lag: int, low: int) -> DataFrame:
@@ -81,6 +85,24 @@ def drift_rate(stream: DataFrame, window: int) -> DataFrame:
     return sims.join(before, "seq").select("seq", (F.col("sim") - F.col("b")).alias("drift"))
 
 
+def chains(positions: DataFrame, gap: int) -> DataFrame:
+    """(seq, chain) of distinct positions (seq): those at most gap after the one before have its chain, named by its first position. Ranges of positions are looked at apart; what a chain carries over is a row per range."""
+    from ..sources.tables import written
+
+    n = int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = positions.select(F.col("seq").cast("long").alias("seq")).distinct().repartitionByRange(n, "seq").withColumn("_p", F.spark_partition_id())
+    d = written(d, "positions")
+    ranges = d.groupBy("_p").agg(F.max("seq").alias("top"))
+    by = Window.orderBy("_p")  # a row per range
+    d = d.join(F.broadcast(ranges.select("_p", F.lag("top").over(by).alias("_before"))), "_p")
+    own = Window.partitionBy("_p").orderBy("seq")
+    new = F.col("seq") - F.coalesce(F.lag("seq").over(own), F.col("_before"))
+    d = d.withColumn("_first", F.when(new.isNull() | (new > gap), F.col("seq")))
+    carried = d.groupBy("_p").agg(F.max("_first").alias("m")).select("_p", F.last("m", True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    d = d.join(F.broadcast(carried), "_p")
+    return d.select("seq", F.coalesce(F.last("_first", True).over(own.rowsBetween(Window.unboundedPreceding, 0)), "_carried").alias("chain"))
+
+
 def runs(df: DataFrame, pos: str, gap: int, keys: list[str]) -> DataFrame:
     """keys, first, last, n: positions with at most gap between neighbours, merged."""
     w = Window.partitionBy(*keys).orderBy("_p")

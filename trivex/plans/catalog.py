@@ -340,7 +340,14 @@ query("positional", f"SELECT event_id, array_to_string({over(f'CASE WHEN (i - 1)
     lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", text(scalars.positional(SPACE, F.col("value"), 1000.0)).alias("v")))
 query("time_parts", f"SELECT event_id, {rsql('(CAST(floor(epoch(ts)) AS BIGINT) % 86400) / 3600.0')} AS hour, CAST((CAST(floor(epoch(ts)) AS BIGINT) // 86400 + 4) % 7 AS INTEGER) AS dow, {rsql('((CAST(floor(epoch(ts)) AS BIGINT) // 86400) % 365) / 30.5')} AS month FROM events")(
     lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", scalars.time_parts(scalars.seconds(F.col("ts"))).alias("p")).select("event_id", rnd(F.col("p.hour")).alias("hour"), F.col("p.dow").cast("int").alias("dow"), rnd(F.col("p.month")).alias("month")))
-query("encode_time", None)(lambda spark, d: spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", text(scalars.encode_time(SPACE, F.col("o_orderdate"))).alias("v")))
+query("encode_time", None)(lambda spark, d: _times(spark, d))
+
+
+def _times(spark, d: str) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderdate")
+    return books.encoded_once(o, "o_orderdate", lambda c: text(scalars.encode_time(SPACE, c))).select("o_orderkey", "v")
+
+
 
 # records
 
@@ -349,34 +356,55 @@ query("encode_struct", f"SELECT c_custkey, array_to_string({over(sgn(_ROLE('c_mk
     lambda spark, d: (c := spark.read.parquet(f"{d}/customer.parquet")).select("c_custkey", text(enc.encode(SPACE, F.struct("c_mktsegment", "c_nationkey", "c_name"), c.select(F.struct("c_mktsegment", "c_nationkey", "c_name").alias("s")).schema["s"].dataType)).alias("v")))
 query("encode_json", f"SELECT event_id, array_to_string({over(_ROLE('k', 'json_extract_string(props, ' + chr(39) + '$.k' + chr(39) + ')'))}, ',') AS v FROM events")(
     lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", text(enc.encode_json(SPACE, F.col("props"))).alias("v")))
-query("encode_nested", f"""SELECT o_orderkey, array_to_string({over(sgn(_ROLE('status', 'o_orderstatus') + f" + ({sha_word(chr(39) + 'info' + chr(39), 'i - 1')} % 3 - 1) * " + sgn(_ROLE('info.prio', 'o_orderpriority') + ' + ' + _ROLE('info.cust', 'CAST(o_custkey AS VARCHAR)'))))}, ',') AS v FROM orders WHERE o_orderkey % 10 = 0""")(
+query("encode_nested", f"""SELECT o_orderkey, array_to_string({over(sgn(_ROLE('status', 'o_orderstatus') + f" + ({sha_word(chr(39) + 'info' + chr(39), 'i - 1')} % 3 - 1) * " + sgn(_ROLE('info.prio', 'o_orderpriority') + ' + ' + _ROLE('info.cust', 'CAST(o_custkey AS VARCHAR)'))))}, ',') AS v FROM orders""")(
     lambda spark, d: _nested(spark, d).select("o_orderkey", text(enc.encode(SPACE, F.col("r"), _nested(spark, d).schema["r"].dataType)).alias("v")))
 
 
 def _nested(spark, d: str) -> DataFrame:
-    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 10 = 0")
+    o = spark.read.parquet(f"{d}/orders.parquet")
     return o.select("o_orderkey", F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.col("o_orderpriority").alias("prio"), F.col("o_custkey").alias("cust")).alias("info")).alias("r"))
 
 
 def _tokens(spark, d: str) -> DataFrame:
-    c = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.slice(F.filter(F.split("text", " "), lambda x: x != ""), 1, 6).alias("w"))
-    return c.where(F.size("w") == 6)
-
-
-_TOK = "w AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: x <> '')[1:6] AS w FROM conversations), k AS (SELECT * FROM w WHERE len(w) = 6)"
-_TA = lambda j, at="i - 1": f"({sha_word(f'w[{j}]', at)} % 3 - 1)"
-query("sequence_bundle", f"WITH {_TOK} SELECT conv_id, turn, array_to_string({over(sgn(' + '.join(_TA(j) for j in range(1, 7))))}, ',') AS v FROM k")(
-    lambda spark, d: _tokens(spark, d).select("conv_id", "turn", text(enc.encode_sequence(SPACE, F.col("w"), "bundle")).alias("v")))
-query("sequence_positional", f"WITH {_TOK} SELECT conv_id, turn, array_to_string({over(sgn(' + '.join(_TA(j, f'(i - 1 + {j - 1}) % {D}') for j in range(1, 7))))}, ',') AS v FROM k")(
-    lambda spark, d: _tokens(spark, d).select("conv_id", "turn", text(enc.encode_sequence(SPACE, F.col("w"), "positional")).alias("v")))
-query("sequence_chained", f"WITH {_TOK} SELECT conv_id, turn, array_to_string({over(' * '.join(_TA(j) for j in range(1, 7)))}, ',') AS v FROM k")(
-    lambda spark, d: _tokens(spark, d).select("conv_id", "turn", text(enc.encode_sequence(SPACE, F.col("w"), "chained")).alias("v")))
-query("sequence_ngram", f"WITH {_TOK} SELECT conv_id, turn, array_to_string({over(sgn(' + '.join('(' + _TA(j) + ' * ' + _TA(j + 1, f'i % {D}') + ')' for j in range(1, 6))))}, ',') AS v FROM k")(
-    lambda spark, d: _tokens(spark, d).select("conv_id", "turn", text(enc.encode_sequence(SPACE, F.col("w"), "ngram", 2)).alias("v")))
-query("encode_list", f"WITH {_TOK} SELECT conv_id, turn, array_to_string({over(sgn(' + '.join(f'({sha_word(chr(39) + f"w.[{j - 1}]" + chr(39), "i - 1")} % 3 - 1) * ({sha_word(chr(39) + f"w.[{j - 1}]." + chr(39) + f" || w[{j}]", "i - 1")} % 3 - 1)' for j in range(1, 7))))}, ',') AS v FROM k")(
-    lambda spark, d: _tokens(spark, d).select("conv_id", "turn", text(enc.encode(SPACE, F.col("w"), _tokens(spark, d).schema["w"].dataType, prefix="w")).alias("v")))
-query("encode_set", f"WITH {_TOK}, s AS (SELECT conv_id, turn, unnest(list_distinct(w)) AS x FROM k), l AS (SELECT conv_id, turn, i, sum({sha_word('(' + chr(39) + 'w.' + chr(39) + ' || x)', 'i - 1')} % 3 - 1) AS s FROM s, unnest({EACH}) u(i) GROUP BY ALL) SELECT conv_id, turn, string_agg({sgn('s')} * ({sha_word(chr(39) + 'set_indicator' + chr(39), 'i - 1')} % 3 - 1), ',' ORDER BY i) AS v FROM l GROUP BY conv_id, turn")(
-    lambda spark, d: _tokens(spark, d).select("conv_id", "turn", text(enc.encode(SPACE, F.col("w"), _tokens(spark, d).schema["w"].dataType, {"w": "set"}, "w")).alias("v")))
+    """The words of each turn, all of them; none for a null or blank text."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != "")
+    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", words.alias("w"))
+
+
+def _sequence(spark, d: str, mode: str, n: int = 3) -> DataFrame:
+    return _tokens(spark, d).select("conv_id", "turn", text(enc.encode_sequence(SPACE, F.col("w"), mode, n)).alias("v"))
+
+
+def _collection(spark, d: str, hints: dict) -> DataFrame:
+    t = _tokens(spark, d)
+    return t.select("conv_id", "turn", text(enc.encode(SPACE, F.col("w"), t.schema["w"].dataType, hints, "w")).alias("v"))
+
+
+_TOK = """w AS (SELECT conv_id, turn, list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '') AS w FROM conversations),
+x AS (SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) AS j FROM w)"""
+
+
+def _trit(atom: str, at: str = "i - 1") -> str:
+    return f"({sha_word(atom, at)} % 3 - 1)"
+
+
+def _per_turn(term: str, none: str = "0", fold: str = "sum", where: str = "true", rows: str = "x") -> str:
+    """SQL of a vector per turn: the sign of the fold of term (of w[j], i) over its words; none is a component for turns without words."""
+    return f"""WITH {_TOK}, s AS (SELECT conv_id, turn, i, {fold}({term}) AS s FROM {rows}, unnest({EACH}) u(i) WHERE {where} GROUP BY ALL),
+z AS (SELECT conv_id, turn, string_agg({sgn('s')}, ',' ORDER BY i) AS v FROM s GROUP BY ALL)
+SELECT w.conv_id, w.turn, coalesce(z.v, array_to_string({over(none)}, ',')) AS v FROM w LEFT JOIN z ON w.conv_id = z.conv_id AND w.turn = z.turn"""
+
+
+query("sequence_bundle", _per_turn(_trit("w[j]")))(lambda spark, d: _sequence(spark, d, "bundle"))
+query("sequence_positional", _per_turn(_trit("w[j]", f"(i - 1 + j - 1) % {D}")))(lambda spark, d: _sequence(spark, d, "positional"))
+query("sequence_chained", _per_turn(_trit("w[j]"), fold="product"))(lambda spark, d: _sequence(spark, d, "chained"))
+_PAIR = f"CASE WHEN len(w) < 2 THEN {_trit('w[j]')} ELSE {_trit('w[j]')} * {_trit('w[j + 1]', f'i % {D}')} END"
+query("sequence_ngram", _per_turn(_PAIR, where="j < len(w) OR len(w) < 2"))(lambda spark, d: _sequence(spark, d, "ngram", 2))
+_ITEM = "'w.[' || (j - 1) || ']'"
+query("encode_list", _per_turn(f"{_trit(f'({_ITEM})')} * {_trit(f'({_ITEM} || chr(46) || w[j])')}", _trit("'w.[]'")))(lambda spark, d: _collection(spark, d, {}))
+query("encode_set", f"""WITH {_TOK}, y AS (SELECT conv_id, turn, unnest(list_distinct(w)) AS y FROM w), s AS (SELECT conv_id, turn, i, sum({_trit("('w.' || y)")}) AS s FROM y, unnest({EACH}) u(i) GROUP BY ALL),
+z AS (SELECT conv_id, turn, string_agg({sgn('s')} * {_trit("'set_indicator'")}, ',' ORDER BY i) AS v FROM s GROUP BY ALL)
+SELECT w.conv_id, w.turn, coalesce(z.v, array_to_string({over(_trit("'w.#{}'"))}, ',')) AS v FROM w LEFT JOIN z ON w.conv_id = z.conv_id AND w.turn = z.turn""")(lambda spark, d: _collection(spark, d, {"w": "set"}))
 query("encode_striped", None)(lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", F.posexplode(enc.encode_json_striped(SPACE, F.col("props"), 4)).alias("stripe", "v")).select("event_id", "stripe", text(F.col("v")).alias("v")))
 query("json_leaves", "SELECT event_id, 'k' AS path, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events")(
     lambda spark, d: enc.leaves(spark.read.parquet(f"{d}/events.parquet").select("event_id", "props"), "props").select("event_id", "path", "value"))
@@ -444,11 +472,11 @@ query("novel_values", "SELECT DISTINCT event_type, user_id FROM events e WHERE e
     lambda spark, d: pipe.novel((e := _events(spark, d)).where("event_id >= 5000").select("event_type", "user_id").distinct(), e.where("event_id < 5000"), ["event_type", "user_id"]))
 query("unpivot_fields", "SELECT l_returnflag AS key, 'status' AS field, l_linestatus AS value, count(*) AS n FROM lineitem GROUP BY 1, 3 UNION ALL SELECT l_returnflag, 'line', CAST(l_linenumber AS VARCHAR), count(*) FROM lineitem GROUP BY 1, 3")(
     lambda spark, d: pipe.unpivot(spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_returnflag").alias("key"), F.col("l_linestatus").alias("status"), F.col("l_linenumber").alias("line")), ["key"], ["status", "line"]).groupBy("key", "field", "value").agg(F.count("*").alias("n")))
-_BYTES = "b AS (SELECT page_id, i - 1 AS pos, CAST('0x' || substr(h, 2 * i - 1, 2) AS INTEGER) AS byte FROM (SELECT page_id, substr(hex(encode(html)), 1, 256) AS h FROM pages) p, unnest(range(1, 129)) u(i) WHERE 2 * i <= length(h))"
+_BYTES = "b AS (SELECT page_id, i - 1 AS pos, CAST('0x' || substr(h, 2 * i - 1, 2) AS INTEGER) AS byte FROM (SELECT page_id, h, unnest(range(1, length(h) // 2 + 1)) AS i FROM (SELECT page_id, hex(encode(html)) AS h FROM pages)))"
 
 
 def _page_bytes(spark, d: str) -> DataFrame:
-    return pipe.payload_bytes(spark.read.parquet(f"{d}/pages.parquet"), "page_id", F.col("html"), 128)
+    return pipe.payload_bytes(spark.read.parquet(f"{d}/pages.parquet"), "page_id", F.col("html"), None)
 
 
 query("payload_windows", f"WITH {_BYTES} SELECT page_id, CAST(pos // 64 AS INTEGER) AS window, count(*) AS n, CAST(sum(byte) AS BIGINT) AS total FROM b GROUP BY 1, 2")(

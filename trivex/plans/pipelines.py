@@ -45,20 +45,26 @@ def precision_recall(rows: DataFrame, flagged: str, truth: str) -> DataFrame:
     return s.select("tp", "fp", "fn", F.coalesce(p, F.lit(0.0)).alias("precision"), F.coalesce(r, F.lit(0.0)).alias("recall"), F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)).alias("f1"))
 
 
+_KINDS = {"double": pa.float64(), "boolean": pa.bool_(), "long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
 def per_key(df: DataFrame, key: str, order: str, columns: dict[str, str], start: Callable, step: Callable) -> DataFrame:
-    """Feedback loops: key, order and columns from step(state, row) -> tuple, with a state per key, rows in order. A key's rows are one task's, as each depends on the one before."""
-    kinds = {"double": pa.float64(), "boolean": pa.bool_(), "long": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    form = ", ".join([f"{c} {df.schema[c].dataType.simpleString()}" for c in (key, order)] + [f"{c} {k}" for c, k in columns.items()])
+    """Feedback loops: key, order and columns from step(state, row) -> tuple, with a state per key, rows in order. Each row depends on the one before, so a key's rows are one task's; they stream past in sorted batches, and only the state of the current key is held."""
+    form = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (key, order)] + [f"{c} {k}" for c, k in columns.items()])
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by(order)
-        state, out = start(), []
-        for row in t.to_pylist():
-            out.append(step(state, row))
-        cols = list(zip(*out, strict=True))
-        return pa.table({key: t.column(key), order: t.column(order), **{c: pa.array(v, kinds[k]) for v, (c, k) in zip(cols, columns.items(), strict=True)}})
+    def run(batches):
+        now, state, begun = None, None, False
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                if not begun or row[key] != now:
+                    now, state, begun = row[key], start(), True
+                out.append(step(state, row))
+            cols = list(zip(*out, strict=True)) or [()] * len(columns)
+            made = [pa.array(v, _KINDS[k]) for v, k in zip(cols, columns.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(key), b.column(order), *made], [key, order, *columns])
 
-    return df.groupBy(key).applyInArrow(run, form)
+    return df.repartition(F.col(key)).sortWithinPartitions(key, order).mapInArrow(run, form)
 
 
 def hysteresis(df: DataFrame, key: str, order: str, flag: str, window: int = 15, calm: int = 5, enter: float = 0.5, leave: float = 0.2) -> DataFrame:
@@ -162,13 +168,13 @@ def mitigation_rules(fields: DataFrame, baseline: DataFrame, min_gap: float = 0.
 
 # payloads
 
-def payload_bytes(df: DataFrame, key: str, payload: Column, limit: int = 512) -> DataFrame:
-    """key, pos, byte of the first limit bytes."""
-    h = F.hex(F.substring(F.encode(payload, "utf-8"), 1, limit))
-    byte = lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    n = F.length(h) / 2
-    at = F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int")))
-    return df.select(key, F.explode(F.transform(at, lambda i: F.struct(i.alias("pos"), byte(i).alias("byte")))).alias("_b")).select(key, "_b.pos", "_b.byte")
+def payload_bytes(df: DataFrame, key: str, payload: Column, limit: int | None = 512) -> DataFrame:
+    """key, pos, byte of the first limit bytes (None: of all)."""
+    raw = F.encode(payload, "utf-8")
+    d = df.select(key, (raw if limit is None else F.substring(raw, 1, limit)).alias("_raw")).where(F.length("_raw") > 0)
+    byte = lambda i: F.conv(F.hex(F.substr("_raw", i + 1, F.lit(1))), 16, 10).cast("int")
+    each = F.transform(F.sequence(F.lit(0), F.length("_raw") - 1), lambda i: F.struct(i.alias("pos"), byte(i).alias("byte")))
+    return d.select(key, F.explode(each).alias("_b")).select(key, "_b.pos", "_b.byte")
 
 
 def payload_windows(bytes_: DataFrame, width: int = 64) -> DataFrame:
@@ -198,11 +204,16 @@ def rule_candidates(attack: DataFrame, normal: DataFrame, key: str, width: int,
 
 
 def validated_rules(rules: DataFrame, payloads: DataFrame, attack: str) -> DataFrame:
-    """Rules (pos, bytes) with tp and fp over payloads (hex, attack), those without a false positive and with a hit. Few rules are matched against each payload, not the other way round."""
-    few = rules.select("pos", "bytes").distinct().limit(10_000).agg(F.collect_list(F.struct("pos", "bytes")).alias("rules"))
-    hits = payloads.crossJoin(F.broadcast(few)).select(attack, F.explode(F.filter("rules", lambda r: F.substr(F.col("hex"), r["pos"] * 2 + 1, F.length(r["bytes"])) == r["bytes"])).alias("r"))
-    n = hits.groupBy("r.pos", "r.bytes").agg(F.sum(F.col(attack).cast("int")).alias("tp"), F.sum((~F.col(attack)).cast("int")).alias("fp"))
-    return n.where("fp = 0 and tp > 0")
+    """Rules (pos, bytes) with tp and fp over payloads (hex, attack), those without a false positive and with a hit.
+
+    Each payload is cut at the distinct places (pos, length) that rules look at, and the pieces are joined with the rules by place and bytes; counts are summed before the join, so a piece that most payloads have is a row per task.
+    """
+    rules = rules.select(F.col("pos").cast("int").alias("pos"), "bytes", (F.length("bytes") / 2).cast("int").alias("len")).distinct()
+    places = rules.groupBy("len").agg(F.collect_set("pos").alias("at"))  # a row per length of a rule
+    cut = payloads.join(F.broadcast(places), F.length("hex") >= 2 * F.col("len")).select(attack, "hex", "len", F.explode("at").alias("pos"))
+    cut = cut.where(F.length("hex") >= 2 * (F.col("pos") + F.col("len"))).select(attack, "pos", F.substr("hex", F.col("pos") * 2 + 1, 2 * F.col("len")).alias("bytes"))
+    n = cut.groupBy("pos", "bytes").agg(F.sum(F.col(attack).cast("long")).alias("tp"), F.sum((~F.col(attack)).cast("long")).alias("fp"))
+    return n.where("fp = 0 and tp > 0").join(rules.select("pos", "bytes"), ["pos", "bytes"], "left_semi")
 
 
 def greedy_cover(hits: dict[object, set], most: int = 32) -> list:
@@ -236,7 +247,8 @@ def mask_match(byte: Column, mask: Column, match: Column) -> Column:
 # changepoints and profiles
 
 def consolidated(breaks: DataFrame, gap: int = 12) -> DataFrame:
-    """(seq) of the breakpoints that are over gap after the last one kept."""
+    """(seq) of the breakpoints that are over gap after the last one kept. One that is over gap after any other is always kept, so the chains in between are looked at apart."""
+    from ..operators.ordered import chains
 
     def step(s, row):
         keep = s.get("last") is None or row["seq"] - s["last"] > gap
@@ -244,8 +256,7 @@ def consolidated(breaks: DataFrame, gap: int = 12) -> DataFrame:
             s["last"] = row["seq"]
         return (keep,)
 
-    one = breaks.select(F.lit(0).alias("k"), F.col("seq").cast("long").alias("seq"))
-    return per_key(one, "k", "seq", {"keep": "boolean"}, dict, step).where("keep").select("seq")
+    return per_key(chains(breaks, gap), "chain", "seq", {"keep": "boolean"}, dict, step).where("keep").select("seq")
 
 
 def residual_timeline(rows: DataFrame, phase: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..config import Space
 from ..functions.atoms import POSITION, atom_vector
@@ -18,6 +20,12 @@ def with_vectors(df: DataFrame, atom: str, book: DataFrame, as_: str = "v") -> D
     return df.join(book.select(F.col("atom").alias(atom), F.col("v").alias(as_)), atom, "left")
 
 
+def encoded_once(df: DataFrame, column: str, encode: Callable[[Column], Column], as_: str = "v") -> DataFrame:
+    """df with encode(column) worked out once per distinct value and joined, for columns that repeat their values, as dates do."""
+    book = df.select(F.col(column).alias("_value")).distinct().select("_value", encode(F.col("_value")).alias(as_))
+    return df.join(book, F.col(column).eqNullSafe(F.col("_value"))).drop("_value")
+
+
 def export_codebook(book: DataFrame, path: str) -> None:
     book.write.mode("overwrite").parquet(path)
 

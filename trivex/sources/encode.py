@@ -55,51 +55,68 @@ def _numeric(space: Space, c: Column, hint: str) -> Column:
     return scalars.encode_time(space, c, arg or "hour")
 
 
-def encode(space: Space, c: Column, kind: DataType, hints: dict[str, str] | None = None, prefix: str | None = None) -> Column:
+def _under(prefix: str | Column | None, key: str | Column) -> str | Column:
+    """The path of key below prefix; a Column where either is known at run time only."""
+    if isinstance(prefix, Column):
+        return F.concat(prefix, F.lit("."), key if isinstance(key, Column) else F.lit(key))
+    if isinstance(key, Column):
+        return F.concat(F.lit(f"{prefix}." if prefix else ""), key)
+    return path_of(prefix, key)
+
+
+def _atom(space: Space, path: str | Column) -> Column:
+    return atom_vector(space, path) if isinstance(path, Column) else atom_literal(space, path)
+
+
+def encode(space: Space, c: Column, kind: DataType, hints: dict[str, str] | None = None, prefix: str | Column | None = None) -> Column:
     """Vector of a column of any nested type; the plan follows the type, so a record needs no walk at run time.
 
-    hints maps paths to "set", "spread", "log[:scale]", "linear[:scale]" or "time[:resolution]". A null struct, map or list is the atom of "null" at its path.
+    hints maps paths to "set", "spread", "log[:scale]", "linear[:scale]" or "time[:resolution]"; items of lists and maps have paths of their own at run time and take none. A struct with a field $log, $linear or $time is that number, at its $scale where it has one. A null struct, map or list is the atom of "null" at its path.
     """
     hints = hints or {}
-    hint = hints.get(prefix or "", "")
+    hint = hints.get(prefix or "", "") if not isinstance(prefix, Column) else ""
     if hint.split(":")[0] in ("log", "linear", "time"):
         return _numeric(space, c, hint)
     if isinstance(kind, StructType):
         names = kind.fieldNames()
         marker = next((m for m in MARKERS if m in names), None)
         if marker:
-            scale = c["$scale"].cast("double") if "$scale" in names else None
-            if scale is None:
-                return _numeric(space, c[marker], marker[1:])
-            raise ValueError("give the scale of a marker column as a hint")
+            return _marked(space, c, marker, names)
         if not names:
-            return atom_literal(space, path_of(prefix, "{}"))
-        parts = [bind(atom_literal(space, p), encode(space, c[f.name], f.dataType, hints, p)) for f in kind for p in [path_of(prefix, f.name)]]
+            return _atom(space, _under(prefix, "{}"))
+        parts = [bind(_atom(space, p), encode(space, c[f.name], f.dataType, hints, p)) for f in kind for p in [_under(prefix, f.name)]]
         whole = bundle_columns(parts)
     elif isinstance(kind, MapType):
-        whole = F.transform(F.map_entries(c), lambda e: bind(_at(space, prefix, e["key"]), _leaf(space, F.concat(F.lit(f"{prefix}." if prefix else ""), e["key"]), e["value"], kind.valueType)))
-        whole = F.when(F.size(c) == 0, atom_literal(space, path_of(prefix, "{}"))).otherwise(_folded(space, whole))
+
+        def entry(e):
+            path = _under(prefix, e["key"].cast("string"))
+            return bind(_atom(space, path), encode(space, e["value"], kind.valueType, hints, path))
+
+        whole = F.when(F.size(c) == 0, _atom(space, _under(prefix, "{}"))).otherwise(_folded(space, F.transform(F.map_entries(c), entry)))
     elif isinstance(kind, ArrayType):
         if hint == "set":
-            items = F.transform(F.array_distinct(c), lambda x: _leaf(space, F.lit(prefix or ""), x, kind.elementType))
-            whole = F.when(F.size(c) == 0, atom_literal(space, path_of(prefix, "#{}"))).otherwise(bind(atom_literal(space, SET), _folded(space, items)))
+            items = F.transform(F.array_distinct(c), lambda x: encode(space, x, kind.elementType, None, prefix))
+            whole = F.when(F.size(c) == 0, _atom(space, _under(prefix, "#{}"))).otherwise(bind(atom_literal(space, SET), _folded(space, items)))
         else:
-            at = lambda i: F.concat(F.lit(path_of(prefix, "[")), i.cast("string"), F.lit("]"))
-            items = F.transform(c, lambda x, i: bind(atom_vector(space, at(i)), _leaf(space, at(i), x, kind.elementType)))
-            whole = F.when(F.size(c) == 0, atom_literal(space, path_of(prefix, "[]"))).otherwise(_folded(space, items))
-    else:
-        return _leaf(space, F.lit(prefix or ""), c, kind)
-    return F.when(c.isNull(), atom_literal(space, path_of(prefix, "null"))).otherwise(whole)
-
 
-def _at(space, prefix, key):
-    return atom_vector(space, F.concat(F.lit(f"{prefix}." if prefix else ""), key))
+            def item(x, i):
+                path = _under(prefix, F.concat(F.lit("["), i.cast("string"), F.lit("]")))
+                return bind(_atom(space, path), encode(space, x, kind.elementType, hints, path))
 
-
-def _leaf(space: Space, path: Column, c: Column, kind: DataType) -> Column:
-    if isinstance(kind, (StructType, MapType, ArrayType)):
-        raise ValueError("nested items of lists, sets and maps: use encode_json on to_json of the column")
-    return atom_vector(space, F.concat_ws(".", F.nullif(path, F.lit("")), text_of(c, kind)))
+            whole = F.when(F.size(c) == 0, _atom(space, _under(prefix, "[]"))).otherwise(_folded(space, F.transform(c, item)))
+    else:
+        path = prefix if isinstance(prefix, Column) else F.lit(prefix or "")
+        return atom_vector(space, F.concat_ws(".", F.nullif(path, F.lit("")), text_of(c, kind)))
+    return F.when(c.isNull(), _atom(space, _under(prefix, "null"))).otherwise(whole)
+
+
+def _marked(space: Space, c: Column, marker: str, names: list[str]) -> Column:
+    """The number of a struct that names its encoding; a scale that is missing, null or 0 is 1000. No number gives zeros."""
+    if marker == "$time":
+        return scalars.encode_time(space, c[marker])
+    scale = F.coalesce(F.nullif(c["$scale"].cast("double"), F.lit(0.0)), F.lit(1000.0)) if "$scale" in names else 1000.0
+    f = scalars.log_positional if marker == "$log" else scalars.positional
+    return F.coalesce(F.when(c[marker].isNotNull(), f(space, c[marker], scale)), F.array_repeat(F.lit(0).cast("tinyint"), space.dims))
 
 
 def _folded(space: Space, vectors: Column) -> Column:
