@@ -44,8 +44,9 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [{}, {"warm_at": 1, "hot_at": 2}])
-def test_suffix_dedup_is_exact(docs, hot):
+@pytest.mark.parametrize("hot", [{}, {"hot_at": 2}, {"hot_at": 1, "most": 3}])
+def test_suffix_dedup_is_exact(docs, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MOST_HOT", hot.pop("most", suffix_dedup.MOST_HOT))
     rows = list(enumerate(corpus()))
     got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs(rows, "kept"), **hot).collect()}
     for d, (b, gone) in brute_repeats(rows, 100).items():

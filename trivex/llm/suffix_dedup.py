@@ -7,7 +7,7 @@ Four passes, none of which gathers a group in one task or the driver:
 3. Candidates get their bytes back and are dealt by anchor to shards. Those of which no half occurs twice are dropped. A shard sorts its contexts' suffixes, makes the BWT, run-compresses it and keeps only the samples at run heads (text position, position of the lexicographic predecessor, common prefix). Streaming over the text, these samples give each position its matching statistics: both values move by one per byte from the sample before. Positions with a match of `length` bytes form chains of equal windows; all but the earliest of a chain are covered.
 4. Covered runs are merged per document and cut out.
 
-An anchor that has very many distinct contexts (a common line) is found by a first pass, as it must be frequent in some task; its windows are dealt by their own hashes instead, so equal windows meet and nothing else does.
+An anchor that has very many distinct contexts (a common line) is found by a first pass over a hash sample of contexts; its windows are dealt by their own hashes instead, so equal windows meet and nothing else does.
 """
 
 from __future__ import annotations
@@ -19,13 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import buffers, partitions_for, small_batches, written
+from .common import arrow_rows, buffers, discard, partitions_for, small_batches, written
 
 LENGTH, K = 100, 24
 #: Text that is hashed at once, and anchors a task holds before it passes on their reduction.
 CHUNK, HELD = 1 << 20, 3 << 20
-#: An anchor with this many distinct contexts in a task is counted over all tasks; one with HOT over all is dealt by windows.
-WARM, HOT = 48, 3000
+#: An anchor with over HOT distinct contexts, by those of one hash in SAMPLED, is dealt by windows; at most MOST_HOT such anchors are sent to the tasks.
+HOT, SAMPLED, MOST_HOT = 3000, 16, 1_000_000
+#: Contexts that a task of the second pass holds, about.
+MEET_ROWS = 1_000_000
 #: Bytes of candidate context in a shard, about.
 SHARD = 256 << 10
 
@@ -160,32 +162,47 @@ def _rows(hasher, offs, ids, hot, length, k):
         yield hasher.at(s, s + length).view(np.int64), hasher.second(s, s + length).view(np.int64), ids[d], (s - offs[d]) << 16 | (length - k)
 
 
-def _hot_anchors(docs: DataFrame, length: int, k: int, warm_at: int, hot_at: int) -> np.ndarray:
-    """Anchors with over hot_at distinct contexts. Such an anchor has warm_at of them in some task, or it is spread so thin that no task or shard suffers; only those counts are shuffled."""
+def _hot_anchors(docs: DataFrame, length: int, k: int, hot_at: int) -> tuple[np.ndarray, int]:
+    """(anchors with over about hot_at distinct contexts, number of all contexts): estimated from the contexts of one hash in SAMPLED, counted over all documents with a row per anchor and task in the shuffle.
+
+    Which anchors are hot only decides how they are dealt, not what comes out. At most MOST_HOT are sent to the tasks: if more are hot, the bar is raised, and the anchors below it are few times larger.
+    """
 
     def count(batches):
-        def warm(parts):
+        def some(parts):
             h, ctx = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((ctx, h))
-            h, ctx = h[order], ctx[order]
-            new = np.concatenate(([True], (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])))
+            h, ctx, new = h[order], ctx[order], np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])
             u, n = np.unique(h[new], return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(u[n >= warm_at]), pa.array(n[n >= warm_at])], ["h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], ["h", "n"])
 
-        parts, held = [], 0
+        parts, held, total = [], 0, 0
         for b in batches:
             for hasher, offs, ids in _chunks(b, length):
                 for h, ctx, _, _ in _rows(hasher, offs, ids, np.zeros(0, np.int64), length, k):
-                    parts.append((h, ctx))
-                    held += len(h)
+                    total += len(h)
+                    take = ctx % SAMPLED == 0
+                    parts.append((h[take], ctx[take]))
+                    held += len(parts[-1][0])
             if held > HELD:
-                yield warm(parts)
+                yield some(parts)
                 parts, held = [], 0
         if parts:
-            yield warm(parts)
-
-    found = docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > hot_at)
-    return np.array(sorted(r[0] for r in found.select("h").collect()), np.int64)
+            yield some(parts)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["h", "n"])
+
+    least = hot_at // SAMPLED + 1
+    found = docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("h").isNull())
+    found = written(found, "anchors")
+    total = found.where("h is null").agg(F.sum("n")).first()[0] or 0
+    hot = found.where("h is not null")
+    while hot.count() > MOST_HOT:
+        least *= 2
+        hot = hot.where(F.col("n") >= least)
+    out = np.array(sorted(r[0] for r in hot.select("h").collect()), np.int64)  # at most MOST_HOT numbers
+    discard(found)
+    return out, total
 
 
 def _suffix_order(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -302,12 +319,12 @@ def _may_match(contexts: list[bytes], lo: np.ndarray, length: int, k: int) -> np
     return np.flatnonzero(out)
 
 
-def covered(docs: DataFrame, length: int = LENGTH, k: int = K, warm_at: int = WARM, hot_at: int = HOT) -> DataFrame:
+def covered(docs: DataFrame, length: int = LENGTH, k: int = K, hot_at: int = HOT) -> DataFrame:
     """(doc_id, a long, z long): byte ranges of docs (doc_id long, text) that an earlier equal window covers; they may overlap."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(f"doc_id is not null and octet_length(text) >= {length}")
-    hot = _hot_anchors(docs, length, k, warm_at, hot_at)
+    hot, contexts = _hot_anchors(docs, length, k, hot_at)
     reach = length - k
 
     def scan(batches):
@@ -346,7 +363,7 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = K, warm_at: int = WA
         yield from _emit(0, h[multi], ctx[multi], doc[multi], at[multi])
 
     scanned = docs.mapInArrow(scan, ROW)
-    dealt = scanned.repartition(F.when(F.col("kind") == 0, F.col("h")).otherwise(F.xxhash64("doc_id", "at")))
+    dealt = scanned.repartition(partitions_for(spark, contexts, MEET_ROWS), F.when(F.col("kind") == 0, F.col("h")).otherwise(F.xxhash64("doc_id", "at")))
     # what is covered whole, and contexts that share an anchor
     met = written(dealt.mapInArrow(meet, ROW), "met")
     pos, lo, hi = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(255), F.col("at").bitwiseAND(255)
@@ -421,10 +438,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **hot) -> DataFrame:
             at = np.flatnonzero(new)
             yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(a[at]), pa.array((top - base)[np.concatenate((at[1:], [len(d)])) - 1])], ["doc_id", "a", "z"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
     lists = ranges.mapInArrow(merge, "doc_id long, a long, z long").groupBy("doc_id").agg(F.collect_list(F.struct("a", "z")).alias("r"))
-    lists = written(lists, "ranges")
-    small_batches(spark)
+    with arrow_rows(spark, 100_000):
+        lists = written(lists, "ranges")
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
     def cut(batches):
