@@ -120,16 +120,32 @@ def test_ngrams_of_documents(monkeypatch, cells):
     monkeypatch.setattr(quality, "CELLS", cells)
     texts = ["", prose("bb", 9), "a", "", prose("aa", 20), "日本 ÀÉ 12"]
     syms = [quality.symbols(t) for t in texts]
-    g = quality.Ngrams(np.concatenate(syms), np.array([len(s) for s in syms]))
+    g = quality.Ngrams(*quality._dense(np.concatenate(syms)), np.array([len(s) for s in syms]))
     want = [coded(x) for t in texts for x in grams(t)]
     number, codes = g.distinct()
-    assert g.codes().tolist() == want and codes.tolist() == sorted(set(want)) and codes[number].tolist() == want
-    empty = quality.Ngrams(np.zeros(0, np.uint8), np.zeros(0, np.int64))
-    assert len(empty.distinct()[1]) == 0
+    assert codes.tolist() == sorted(set(want)) and codes[number].tolist() == want
+    assert quality.unpacked(quality.packed(codes), np.int64).tolist() == codes.tolist()
+    empty = quality.Ngrams(*quality._dense(np.zeros(0, np.uint16)), np.zeros(0, np.int64))
+    assert len(empty.distinct()[1]) == 0 and len(quality.unpacked(quality.packed(np.zeros(0, np.int64)), np.int64)) == 0
+
+
+def test_letters_of_a_script_stay_apart():
+    for first, last in ((0xC0, 0x24F), (0x370, 0x3FF), (0x400, 0x52F), (0x600, 0x6FF), (0x900, 0x97F), (0x3040, 0x30FF)):
+        s = quality.symbols("".join(map(chr, range(first, last + 1))))
+        assert len(set(s.tolist())) == last - first + 1 and 96 <= s.min() and s.max() < quality.A
+    assert quality.symbols(" \n\t!~").tolist() == [1, 1, 1, 2, 95]
+
+
+def test_shards_of_columns_and_arrays_agree(spark):
+    keys = [rng.getrandbits(quality.SHIFT) | 3 << quality.SHIFT for _ in range(200)]
+    got = spark.createDataFrame([(k,) for k in keys], "key long").select("key", quality._shard(F.col("key"), 7).alias("s")).collect()
+    want = quality.shard_of(np.array(keys) & quality.CODE, 7)
+    assert {r["key"]: r["s"] for r in got} == dict(zip(keys, want.tolist(), strict=True))
 
 
 def test_scores_are_sums_of_log_probabilities(spark, docs, monkeypatch):
-    monkeypatch.setattr(quality, "CHUNK", 3000)
+    for name, value in (("CHUNK", 3000), ("SHARD_KEYS", 50), ("SHARD_REQUESTS", 20), ("TASK_KEYS", 100), ("SOME", 2)):
+        monkeypatch.setattr(quality, name, value)
     rows = [(i, prose(x := "aa" if i % 3 else "bb", 20), x, None, None) for i in range(90)] + [(91, None, "aa", None, None), (92, "", None, None, None)]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(70)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r for r in quality.scores(docs(rows), labels).collect()}
@@ -142,7 +158,6 @@ def test_scores_are_sums_of_log_probabilities(spark, docs, monkeypatch):
         m = got[d]["model"]
         if m not in models:
             own = [x for x in train if not m or lang[x] == lang[d]]
-            assert not m or len(own) >= quality.LEAST_DOCS
             models[m] = brute_kn(Counter(g for x in own for g in grams(of[x])))
     for d in [0, 1, 2, 89, 91, 92]:
         want = -sum(math.log(models[got[d]["model"]](g)) for g in grams(of[d]))
@@ -171,7 +186,7 @@ TEXTS = ["", " ", "one", "Two  words", "it's 1²", "日本 <|endoftext|> x", "a\
 
 @pytest.mark.parametrize("trusted", [12, 72])
 def test_quality_keeps_clean_texts_of_a_small_language(spark, docs, trusted):
-    # trains with fewer than LEAST_DOCS in both cases beside a language of 800; the smaller has too few held-out texts for a threshold
+    # with 12 trusted texts too few are held out for a threshold
     own = random.Random(9)
     many = ["".join(own.choices("abcdefghij", k=own.randint(2, 6))) for _ in range(40)]
     few = ["".join(own.choices("klmnopqrst", k=own.randint(2, 6))) for _ in range(4000)]
@@ -179,16 +194,47 @@ def test_quality_keeps_clean_texts_of_a_small_language(spark, docs, trusted):
     rows = [(i, text(many), "en") for i in range(400)] + [(1000 + i, text(few), "es") for i in range(200)]
     rows += [(2000 + i, text(many), None) for i in range(20)] + [(3000 + i, "%$#&" * 60, "es") for i in range(5)]
     labels = spark.createDataFrame([(i, 1) for i in range(400)] + [(1000 + i, 1) for i in range(trusted)], "doc_id long, quality int")
-    monkey = pytest.MonkeyPatch()
-    with monkey.context() as m:
-        m.setattr(quality, "LEAST_DOCS", 100)
-        got = {r["doc_id"]: r for r in quality.judged(docs(rows), labels).collect()}
+    got = {r["doc_id"]: r for r in quality.judged(docs(rows), labels).collect()}
     assert len(got) == len(rows)
     assert sum(got[1000 + i]["kept"] for i in range(trusted, 200)) >= 0.9 * (200 - trusted)
     assert all(got[2000 + i]["kept"] for i in range(20))
     assert all(got[3000 + i]["kept"] == (trusted == 12) and (got[3000 + i]["threshold"] is None) == (trusted == 12) for i in range(5))
 
 
+SCRIPTS = {"ru": ["при", "вет", "сто", "ло", "ман", "ра", "ние"], "zh": ["中文", "的", "学习", "我们", "是", "语言", "数据"], "el": ["και", "λο", "γος", "την", "μα"]}
+
+
+def test_quality_of_other_scripts(spark, docs):
+    clean = lambda x, n=60: " ".join("".join(rng.choices(SCRIPTS[x], k=rng.randint(1, 4))) for _ in range(n))
+    mixed = lambda x, n=200: "".join(rng.choices([*sorted(set("".join(SCRIPTS[x]))), " "], k=n))
+    rows, labels, junk = [], [], []
+    for j, x in enumerate(SCRIPTS):
+        rows += [(1000 * j + i, clean(x), x) for i in range(120)]
+        labels += [(1000 * j + i, 1) for i in range(100)]
+        junk += [(1000 * j + 500 + i, mixed(x), x) for i in range(10)]
+    got = {r["doc_id"]: r["kept"] for r in quality.judged(docs(rows + junk), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert not any(got[d] for d, *_ in junk)
+    assert sum(got[d] for d, *_ in rows) >= 0.98 * len(rows)
+
+
+def test_thresholds_by_definition(spark):
+    rows = [(x, int(x is None or x == "cc") and 0 or m, mark, n, n * v) for x, m in (("aa", 1), ("bb", 2)) for mark in (0, 2) for n, v in ((rng.choice((1, 40, 900)), rng.uniform(1, 3)) for _ in range(70))]
+    rows += [("cc", 3, 2, 500, 900.0)] * 9 + [("aa", 0, 3, n, n * v) for n, v in ((rng.randint(1, 500), rng.uniform(2, 4)) for _ in range(50))] + [("aa", 1, 2, 0, 0.0)]
+    got = {(r["model"], r["lang"]): (r["mid"], r["top"]) for r in quality.thresholds(spark.createDataFrame(rows, "lang string, model long, mark int, n long, nlp double"), 0.9, 0.5).collect()}
+    groups = {(1, "aa"): [r for r in rows if r[0] == "aa" and r[2] == 2], (2, "bb"): [r for r in rows if r[0] == "bb" and r[2] == 2], (0, None): [r for r in rows if r[1] == 0]}
+    assert set(got) == set(groups)  # 9 held-out documents of cc set none
+    for k, rs in groups.items():
+        rs = [r for r in rs if r[3]]
+        up = lambda x: math.ceil(x * quality.BIN) / quality.BIN
+        by, total, half = sorted((up(r[4] / r[3]), r[3]) for r in rs), 0, sum(r[3] for r in rs) / 2
+        for mid, n in by:
+            total += n
+            if total >= half:
+                break
+        drawn = sorted(up((r[4] + quality.PRIOR * mid) / (r[3] + quality.PRIOR)) for r in rs)
+        assert got[k][0] == pytest.approx(mid) and got[k][1] == pytest.approx(drawn[math.ceil(0.9 * len(drawn) - 1e-9) - 1] + 0.5)
+
+
 def test_tokens_equal_the_library():
     from trivex.llm.tokens import TextTokenizer
 
