@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import partitions_for, written
 from .vectors import BLOCK, first_k, matrix, ranked, valid
 
 #: Queries in a block; a local cosine threshold from which single coordinates prune better than lengths.
@@ -56,71 +56,111 @@ def bucket_top(c: np.ndarray, ids: np.ndarray, norms: np.ndarray, q: np.ndarray,
     return ids[top], s[top]
 
 
-def search(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k largest inner products, exactly; base and queries are (vec_id, v) of integers as doubles.
+def blocks_of(rows: DataFrame, size: int) -> DataFrame:
+    """rows (vec_id, v, dim, by, floor) in blocks of up to size rows of one dimension, by descending by: (block, dim, first, last, ids, bys, floors, data), as a written table.
 
-    Rows of base stand in buckets of like norm, BLOCK rows each (a fuller one, such as many equal vectors, is split by a hash). Blocks of queries meet the bucket of largest norms first; a query's k-th product there is a floor for it, with which each other bucket is pruned. A query block is joined with each bucket by its number. Of equal vectors only the k + 1 smallest ids can be in a result, so the others are left out beforehand. vec_id is a key; a query isn't its own candidate; vectors of another length than the query's are no candidates; ties go to the smaller vec_id; empty tables give an empty result.
+    Rows are dealt by ranges, in which a task cuts its sorted rows as they stream past; values that many rows share are dealt by id too. No bounds are collected, and no block is larger than size.
     """
-    from pyspark.sql import Window
+    form = "block long, dim int, first double, last double, ids binary, bys binary, floors binary, data binary"
+    names = [x.split()[0] for x in form.split(", ")]
 
-    spark = base.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    copies = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    base = written(base.withColumn("copy", copies).where(F.col("copy") <= k + 1).select("vec_id", "v", norm.alias("norm"), F.size("v").alias("dim")), "vectors")
-    n, nq = base.count(), queries.count()
-    buckets = max(1, n // BLOCK)
-    bounds = base.select(F.percentile_approx(-F.col("norm"), [i / buckets for i in range(1, buckets)] or [0.5], 100_000)).first()[0] or []
-    bounds = sorted(set(bounds)) if buckets > 1 else []
-    bucket = F.size(F.filter(F.array(*[F.lit(float(x)) for x in bounds]), lambda x: x < -F.col("norm"))) if bounds else F.lit(0)
-    base = base.withColumn("bucket", bucket)
-    sizes = {(r[0], r[1]): r[2] for r in base.groupBy("bucket", "dim").count().collect()}  # a row per bucket
-    parts = F.lit(1)
-    for (b, d), m in sizes.items():
-        if m > 2 * BLOCK:
-            parts = F.when((F.col("bucket") == b) & (F.col("dim") == d), F.lit(-(-m // BLOCK))).otherwise(parts)
-    base = base.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts).cast("int"))
-
-    def block(t: pa.Table) -> pa.Table:
-        c, ids = matrix(t.column("v")), t.column("vec_id").to_numpy()
-        norms = t.column("norm").to_numpy() if "norm" in t.column_names else np.zeros(len(ids))
-        by = np.lexsort((ids, -norms))
-        row = {"ids": [ids[by].tobytes()], "norms": [norms[by].tobytes()], "data": [np.ascontiguousarray(c[by]).tobytes()]}
-        head = {x: [t.column(x)[0].as_py()] for x in ("bucket", "part", "dim")}
-        return pa.table({**{x: pa.array(v, pa.int32()) for x, v in head.items()}, **{x: pa.array(v, pa.binary()) for x, v in row.items()}})
-
-    form = "bucket int, part int, dim int, ids binary, norms binary, data binary"
-    blocks = written(base.groupBy("bucket", "part", "dim").applyInArrow(block, form), "blocks")
-    split = -(-nq // QUERIES) or 1
-    q = queries.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(split)).cast("int").alias("part"), F.lit(0).alias("bucket"))
-    qblocks = written(q.groupBy("part", "dim", "bucket").applyInArrow(block, form), "queries").select(F.col("part").alias("qpart"), "dim", F.col("ids").alias("qids"), F.col("data").alias("qdata"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-
-    def meet(batches):
+    def cut(batches):
+        from pyspark import TaskContext
+
+        number, held, dim = TaskContext.get().partitionId() << 32, [], None
+
+        def flush(rows):
+            nonlocal number
+            ids, by, floor, m = (np.concatenate(x) for x in zip(*rows, strict=True))
+            number += 1
+            cols = [number - 1, m.shape[1], by[0], by[-1], ids.tobytes(), by.tobytes(), floor.tobytes(), np.ascontiguousarray(m).tobytes()]
+            types = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, types, strict=True)], names)
+
+        for b in batches:
+            dims = b.column(2).to_numpy()
+            ids, by, floor = (b.column(i).to_numpy() for i in (0, 3, 4))
+            i = 0
+            while i < len(dims):
+                if held and dims[i] != dim:
+                    yield flush(held)
+                    held = []
+                dim = dims[i]
+                j = i + int(np.argmax(dims[i:] != dim)) if (dims[i:] != dim).any() else len(dims)
+                j = min(j, i + size - sum(len(x[0]) for x in held))
+                held.append((ids[i:j].copy(), by[i:j].copy(), floor[i:j].copy(), matrix(b.column(1).slice(i, j - i)).copy()))
+                if sum(len(x[0]) for x in held) == size:
+                    yield flush(held)
+                    held = []
+                i = j
+        if held:
+            yield flush(held)
+
+    n = partitions_for(rows.sparkSession, rows.count(), 16 * size)
+    order = [F.col("dim"), F.desc("by"), F.col("vec_id")]
+    dealt = rows.select("vec_id", "v", "dim", "by", F.col("floor").cast("double").alias("floor")).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return written(dealt.mapInArrow(cut, form), "blocks")
+
+
+def _meet(k: int):
+    """Batches of a block of base and a block of queries each -> the pairs of PAIR that can be among the k best."""
+
+    def run(batches):
         for b in batches:
-            for r in b.to_pylist():
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
                 d = r["dim"]
-                ids, norms, qids = (np.frombuffer(r[x], t) for x, t in (("ids", np.int64), ("norms", np.float64), ("qids", np.int64)))
+                ids, qids = (np.frombuffer(r[x], np.int64) for x in ("ids", "qids"))
+                norms, floors = (np.frombuffer(r[x]) for x in ("bys", "qfloors"))
                 c, qs = np.frombuffer(r["data"]).reshape(-1, d), np.frombuffer(r["qdata"]).reshape(-1, d)
-                floors = dict(zip(r["fq"] or (), r["fs"] or (), strict=True))
                 out = []
-                for own, q in zip(qids.tolist(), qs, strict=True):
-                    i, s = bucket_top(c, ids, norms, q, own, float(floors.get(own, 0)), k)
-                    out.append((np.full(len(i), own), i, s))
+                for own, q, floor in zip(qids.tolist(), qs, floors.tolist(), strict=True):
+                    found, score = bucket_top(c, ids, norms, q, own, floor, k)
+                    out.append((np.full(len(found), own), found, score))
                 cols = [np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["query_id", "vec_id", "score"])
 
-    fields = ["dim", "ids", "norms", "data", "qids", "qdata"]
-    none = [F.lit(None).cast("array<long>").alias("fq"), F.lit(None).cast("array<double>").alias("fs")]
-    keys = blocks.select("bucket", "part", "dim")
-    lead = blocks.where((F.col("bucket") == 0) & (F.col("part") == 0))
-    seeds = written(lead.join(qblocks, "dim").select(*fields, *none).mapInArrow(meet, PAIR), "seeds")
-    floor = ranked(seeds, k, False).where(F.col("rank") == k).select("query_id", "score")
-    floor = floor.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(split)).cast("int").alias("qpart")).agg(F.collect_list(F.struct("query_id", "score")).alias("f"))
-    side = qblocks.join(floor, "qpart", "left").withColumn("fq", F.transform("f", lambda x: x["query_id"])).withColumn("fs", F.transform("f", lambda x: x["score"].cast("double"))).drop("f")
-    pairs = keys.where((F.col("bucket") > 0) | (F.col("part") > 0)).join(side, "dim")
-    found = pairs.join(blocks, ["bucket", "part", "dim"]).select(*fields, "fq", "fs").mapInArrow(meet, PAIR)
-    return ranked(seeds.union(found), k, False)
+    return run
+
+
+def pairs_to_meet(heads: DataFrame, qheads: DataFrame) -> DataFrame:
+    """(block, qblock) of the blocks of base (block, dim, first: largest norm) that a block of queries (qblock, dim, last: least norm that can count) has to see; ids only. Blocks of base are dealt to salts, so that one dimension isn't one key."""
+    salts = -(-heads.count() // 1000) or 1
+    left = heads.select("block", "dim", "first", F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt"))
+    right = qheads.select("qblock", F.col("dim"), F.col("last"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    return left.join(right, ["dim", "salt"]).where(F.col("first") >= F.col("last") * (1 - 1e-12)).select("block", "qblock")
+
+
+def search(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k largest inner products, exactly; base and queries are (vec_id, v) of integers as doubles.
+
+    Rows of base stand in buckets of like norm, BLOCK rows each. Queries meet the bucket of largest norms of their dimension first; a query's k-th product there is a floor for it. A product is at most the product of both norms, so a query needs only the buckets whose largest norm is floor / |q| or more. Queries are put in blocks by that need, and pairs of blocks are chosen by their bounds alone, before any vectors move. In a bucket that is met each query is pruned by its floor again (see bucket_top). Of equal vectors only the k + 1 smallest ids can be in a result, so the others are left out beforehand. vec_id is a key of base, of which rows that repeat one count once, with their best product; a query isn't its own candidate; vectors of another length than the query's are no candidates; ties go to the smaller vec_id; fewer than k candidates are all returned; empty tables give an empty result.
+    """
+    from pyspark.sql import Window
+
+    copies = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    none = F.lit(0.0)
+    base = written(base.withColumn("copy", copies).where(F.col("copy") <= k + 1).select("vec_id", "v", norm.alias("by"), F.size("v").alias("dim"), none.alias("floor")), "vectors")
+    queries = written(queries.select("vec_id", "v", norm.alias("norm"), F.size("v").alias("dim")), "queries")
+    blocks = blocks_of(base, BLOCK)
+    heads = blocks.select("block", "dim", "first")
+    lead = written(heads.groupBy("dim").agg(F.max(F.struct("first", "block")).alias("m")).select(F.col("m.block").alias("block")), "lead")
+
+    def meet(pairs: DataFrame | None, part: DataFrame, qblocks: DataFrame) -> DataFrame:
+        q = qblocks.select(F.col("block").alias("qblock"), F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("floors").alias("qfloors"), F.col("data").alias("qdata"))
+        both = part.join(q, F.col("dim") == F.col("qdim")) if pairs is None else pairs.join(q, "qblock").join(part, "block")
+        return both.select("dim", "ids", "bys", "data", "qids", "qfloors", "qdata").mapInArrow(_meet(k), PAIR)
+
+    first = blocks.join(F.broadcast(lead), "block", "left_semi")  # a block per dimension
+    seeds = written(meet(None, first, blocks_of(queries.withColumn("by", none).withColumn("floor", none), QUERIES)), "seeds")
+    floors = ranked(seeds, k, False).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
+    needing = queries.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", none))
+    need = F.when((F.col("floor") > 0) & (F.col("norm") > 0), F.col("floor") / F.col("norm")).otherwise(none)
+    qblocks = blocks_of(written(needing.withColumn("by", need), "needs"), QUERIES)
+    rest = heads.join(F.broadcast(lead), "block", "left_anti")
+    pairs = written(pairs_to_meet(rest, qblocks.select(F.col("block").alias("qblock"), "dim", "last")), "pairs")
+    return ranked(seeds.union(meet(pairs, blocks, qblocks)), k, False)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
