@@ -118,6 +118,26 @@ def bundle(df: DataFrame, keys: list[str], v: str, space: Space) -> DataFrame:
     return part.mapInArrow(lambda b: rows(add(b, False), lambda s: np.sign(s).astype(np.int8).tobytes(), "v"), form.replace("sums", "v"))
 
 
+def atoms(df: DataFrame, text: str, space: Space, out: str = "v") -> DataFrame:
+    """df with the packed atom of a text column. Values seen before are looked up, at most 20,000 at a time."""
+    keep = df.columns
+
+    def go(batches):
+        from .atoms import atom_array
+
+        known: dict[str, bytes] = {}
+        for b in batches:
+            texts = b.column(keep.index(text)).to_pylist()
+            if len(known) > 20_000:
+                known = {}
+            for t in set(texts) - known.keys() - {None}:
+                known[t] = atom_array(space, t).tobytes()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if t is None else known[t] for t in texts], pa.binary())], [*keep, out])
+
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"{out} binary"])
+    return df.mapInArrow(go, schema)
+
+
 def encode_json(df: DataFrame, text: str, space: Space, out: str = "v") -> DataFrame:
     """df with the packed vector of a JSON column. Equal texts in a batch, and leaves seen before, are encoded once."""
     keep = df.columns

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .subspace import FIELDS, MODEL, Subspace
+from .ordered import matrix
+from .subspace import FIELDS, GROUP_ROWS, MODEL, SENT_BYTES, Subspace, model_bytes
 
 SCHEMA = f"name string, snapshot struct<{', '.join(': '.join(x.split()) for x in MODEL.split(', '))}>, signature array<double>, surprise map<string,double>, metadata map<string,string>"
 
@@ -19,9 +21,7 @@ def signature(eigenvalues) -> list[float]:
 
 
 class Library:
-    """A set of engrams, at most one of a name. Engrams are few (each is a model somebody minted), so a match sends them to the tasks after counting them."""
-
-    MOST = 10_000
+    """A set of engrams, at most one of a name."""
 
     def __init__(self, df: DataFrame):
         self.df = df
@@ -77,24 +77,49 @@ class Library:
     def load(spark: SparkSession, path: str, form: str = "parquet") -> "Library":
         return Library(spark.read.schema(SCHEMA).format(form).load(path))
 
-    def _models(self):
-        if len(self) > self.MOST:
-            raise ValueError(f"over {self.MOST} engrams: match against parts of the library")
-        return [(r["name"], r["snapshot"].asDict(), r["signature"]) for r in self.df.orderBy("name").collect()]
-
     def match_vec(self, probes: DataFrame, qid: str, vec: str, k: int) -> DataFrame:
-        """(qid, rank, name, residual): the k engrams that explain each vector best, ties by name. All are scored; no prefilter."""
-        sent = probes.sparkSession.sparkContext.broadcast(self._models())
-
-        @F.pandas_udf("array<struct<residual: double, name: string>>")
-        def run(v: pd.Series) -> pd.Series:
-            x = np.stack(v.to_numpy())
-            names = [n for n, _, _ in sent.value]
-            r = np.stack([Subspace.restore(s).residuals(x) for _, s, _ in sent.value], 1) if names else np.zeros((len(x), 0))
-            return pd.Series([sorted(({"residual": float(a), "name": n} for a, n in zip(row, names, strict=True)), key=lambda d: (d["residual"], d["name"]))[:k] for row in r])
-
-        got = probes.select(qid, F.posexplode(run(F.col(vec).cast("array<double>"))).alias("_i", "_m"))
-        return got.select(qid, (F.col("_i") + 1).alias("rank"), "_m.name", "_m.residual")
+        """(qid, rank, name, residual): the k engrams that explain each vector best, ties by name. All are scored; no prefilter.
+
+        A library whose models' bytes are counted to be few is sent to the tasks; a larger one is cut into blocks that blocks of probes meet, and only k rows per probe and block are shuffled.
+        """
+        spark = probes.sparkSession
+        x = probes.select(F.col(qid).alias("qid"), F.col(vec).cast("array<double>").alias("x")).where("x is not null")
+        size = model_bytes(self.df.select("snapshot.*"))
+        form = f"qid {x.schema['qid'].dataType.simpleString()}, name string, residual double"
+
+        def best(ids, m, models):
+            names = np.array([n for n, _ in models], object)
+            r = np.stack([Subspace.restore(s).residuals(m) for _, s in models], 1)
+            top = [np.lexsort((names, row))[:k] for row in r]
+            at = np.repeat(np.arange(len(m)), [len(t) for t in top])
+            j = np.concatenate(top)
+            return pa.table({"qid": ids.take(pa.array(at)), "name": pa.array(names[j].tolist(), pa.string()), "residual": pa.array(r[at, j])})
+
+        if size <= SENT_BYTES:
+            sent = spark.sparkContext.broadcast([(r["name"], r["snapshot"].asDict()) for r in self.df.orderBy("name").collect()])
+
+            def scan(batches):
+                for b in batches:
+                    if sent.value and b.num_rows:
+                        yield from best(b.column(0), matrix(b.column(1)), sent.value).to_batches()
+
+            found = x.mapInArrow(scan, form)
+        else:
+            blocks, parts = -(-size // SENT_BYTES), -(-x.count() // GROUP_ROWS) or 1
+            one = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+            left = x.withColumn("part", F.pmod(F.xxhash64("x"), F.lit(parts))).withColumn("block", one(blocks))
+            right = self.df.select("name", "snapshot", F.pmod(F.xxhash64("name"), F.lit(blocks)).alias("block"), one(parts).alias("part"))
+
+            def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+                if not a.num_rows or not b.num_rows:
+                    return pa.table({"qid": a.column("qid").slice(0, 0), "name": pa.array([], pa.string()), "residual": pa.array([], pa.float64())})
+                models = list(zip(b.column("name").to_pylist(), b.column("snapshot").to_pylist(), strict=True))
+                return best(a.column("qid").combine_chunks(), matrix(a.column("x").combine_chunks()), models)
+
+            found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(meet, form)
+        w = Window.partitionBy("qid").orderBy("residual", "name")
+        ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return ranked.select(F.col("qid").alias(qid), "rank", "name", "residual")
 
     def match_spectrum(self, eigenvalues, k: int) -> DataFrame:
         """(name, score): engrams by the product of their signature with a spectrum at unit length, over the common length."""

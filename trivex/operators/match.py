@@ -33,7 +33,7 @@ def _cosines(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 def topk_similar(queries: DataFrame, codebook: DataFrame, k: int, threshold: float | None = None, qid: str = "qid") -> DataFrame:
     """(qid, rank, idx, sim): the k most similar codebook rows by cosine per row of queries (qid, v), ties to the smaller idx; with threshold only those that reach it.
 
-    The codebook's size is counted first: a small one goes to every task, queries stream past it in batches. A large one is cut into blocks of BLOCK rows, each query meets every block, and only k rows per query and block are shuffled.
+    The codebook's size is counted first: a small one goes to every task, queries stream past it in batches. A large one is cut into blocks of about BLOCK rows, as the queries are, each pair of blocks meets in a group of its own, and only k rows per query and block are shuffled.
     """
     n = codebook.count()
     first = codebook.select(F.size("v")).first()
@@ -72,15 +72,16 @@ def topk_similar(queries: DataFrame, codebook: DataFrame, k: int, threshold: flo
 
         found = q.mapInArrow(scan, form)
     else:
-        parts = -(-n // BLOCK)
-        a = q.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("b"))
-        b = book.withColumn("b", F.pmod(F.xxhash64("idx"), F.lit(parts)).cast("int"))
+        parts, qparts = -(-n // BLOCK), -(-q.count() // BLOCK) or 1
+        each = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+        a = q.withColumn("p", F.pmod(F.xxhash64("qid"), F.lit(qparts))).withColumn("b", each(parts))
+        b = book.withColumn("b", F.pmod(F.xxhash64("idx"), F.lit(parts))).withColumn("p", each(qparts))
 
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
             rows = best(left.column("qid").to_pylist(), _matrix(left.column("v")), right.column("idx").to_numpy(), _matrix(right.column("v"))) if left.num_rows and right.num_rows else []
             return pa.Table.from_batches([batch(rows)])
 
-        found = a.groupBy("b").cogroup(b.groupBy("b")).applyInArrow(meet, form)
+        found = a.groupBy("b", "p").cogroup(b.groupBy("b", "p")).applyInArrow(meet, form)
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), "idx")
     return found.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select(F.col("qid").alias(qid), "rank", "idx", "sim")
 

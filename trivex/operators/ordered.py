@@ -5,6 +5,9 @@ seq must be consecutive in its stream (see numbered()). Lags are equi-joins on (
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.similarity import cosine
@@ -21,7 +24,7 @@ def numbered(df: DataFrame, order: str, keys: list[str] | None = None) -> DataFr
         return df.withColumn("seq", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hashed = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
-    d = df.withColumn("_tie", F.xxhash64(*hashed))
+    d = df.withColumn("_tie", F.xxhash64(*hashed) if hashed else F.lit(0))
     d = d.repartitionByRange(n, F.col(order), F.col("_tie")).sortWithinPartitions(order, "_tie")
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     d = written(d.withColumn("_p", F.spark_partition_id()).withColumn("_i", place).drop("_tie"), "numbered")
@@ -31,6 +34,39 @@ def numbered(df: DataFrame, order: str, keys: list[str] | None = None) -> DataFr
     return d.select(*[c for c in df.columns if c != "seq"], (F.col("_start") + F.col("_i")).alias("seq"))
 
 
+def streamed(df: DataFrame, keys: list[str], order: str, schema: str, start: Callable, feed: Callable, finish: Callable | None = None) -> DataFrame:
+    """What a state per key makes of its rows in order: feed(state, rows as a record batch) and, after a key's last row, finish(state, key as a tuple) give record batches or None.
+
+    Each row depends on the one before, so a key's rows are one task's; they stream past in sorted batches, and one state is held at a time.
+    """
+
+    def run(batches):
+        now, state = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names = list(zip(*[b.column(k).to_pylist() for k in keys], strict=True))
+            cuts = [i for i in range(1, len(names)) if names[i] != names[i - 1]]
+            for i, j in zip([0, *cuts], [*cuts, len(names)], strict=True):
+                if now is None or names[i] != now[0]:
+                    if now is not None and finish:
+                        yield finish(state, now[0])
+                    now, state = (names[i],), start()
+                out = feed(state, b.slice(i, j - i))
+                if out is not None:
+                    yield out
+        if now is not None and finish:
+            yield finish(state, now[0])
+
+    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+
+
+def matrix(col: pa.Array):
+    """The rows of a list column of one length as a matrix of doubles."""
+    m = col.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return m.reshape(len(col), -1)
+
+
 def _lagged(a: DataFrame, b: DataFrame, max_lag: int, low: int) -> DataFrame:
     """(lag, seq, sim): cosine of a at seq - lag and b at seq."""
     lags = F.explode(F.sequence(F.lit(low), F.lit(max_lag))).alias("lag")

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .aggregate import vector_sums
+from .ordered import matrix, streamed
 
 TINY = 1e-10
 
@@ -155,13 +156,14 @@ def regress(df: DataFrame, key: str, order: str, vec: str, value: str, k: int =
     """key, order, predicted: what the buckets of a key, fed in order, say of each row before they learn it."""
     kinds = [df.schema[c].dataType.simpleString() for c in (key, order)]
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by(order)
-        m = np.array(t.column(vec).to_pylist(), float)
-        r, out = Continuous(m.shape[1], k, default), []
-        for x, y in zip(m, t.column(value).to_pylist(), strict=True):
+    def feed(state, b):
+        m = matrix(b.column(vec))
+        r = state.setdefault("model", None) or Continuous(m.shape[1], k, default)
+        state["model"], out = r, []
+        for x, y in zip(m, b.column(value).to_pylist(), strict=True):
             out.append(r.query(x) if r.seen else default)
             r.observe(x, y)
-        return pa.table({key: t.column(key), order: t.column(order), "predicted": pa.array(out, pa.float64())})
+        return pa.RecordBatch.from_arrays([b.column(key), b.column(order), pa.array(out, pa.float64())], [key, order, "predicted"])
 
-    return df.select(key, order, vec, F.col(value).cast("double").alias(value)).groupBy(key).applyInArrow(run, f"{key} {kinds[0]}, {order} {kinds[1]}, predicted double")
+    rows = df.select(key, order, vec, F.col(value).cast("double").alias(value))
+    return streamed(rows, [key], order, f"`{key}` {kinds[0]}, `{order}` {kinds[1]}, predicted double", dict, feed)

@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .ordered import matrix, streamed
+
 MODEL = "dim int, k int, amnesia double, ema_alpha double, sigma_mult double, reorth_interval int, n long, mean array<double>, components array<double>, res_ema double, res_var_ema double, min_components int, max_components int, grow_threshold double, shrink_threshold double"
 FIELDS = [x.split()[0] for x in MODEL.split(", ")]
 TINY = 1e-10
@@ -160,37 +162,122 @@ class Subspace:
         return Subspace(**{k: s[k] for k in FIELDS if s.get(k) is not None})
 
 
-def learn(df: DataFrame, key: str, order: str, vec: str, k: int, **params) -> DataFrame:
-    """A model row per key, from its vectors in ascending order. The key's name must not be one of a model's fields."""
-    if key in FIELDS:
-        raise ValueError(f"rename the key: {key} is a field of a model")
-    kind = df.schema[key].dataType.simpleString()
+class Striped:
+    """Subspaces side by side, one per stripe of a record: each learns its own part, so a field only disturbs its stripe. Residual and threshold are roots of sums of squares."""
+
+    def __init__(self, dim: int, k: int, stripes: int, **params):
+        self.stripes = [Subspace(dim, k, **params) for _ in range(stripes)]
+
+    @property
+    def dim(self) -> int:
+        return self.stripes[0].dim if self.stripes else 0
+
+    @property
+    def k(self) -> int:
+        return self.stripes[0].k if self.stripes else 0
+
+    @property
+    def n(self) -> int:
+        return self.stripes[0].n if self.stripes else 0
+
+    def __len__(self) -> int:
+        return len(self.stripes)
+
+    def _parts(self, x):
+        if len(x) != len(self.stripes):
+            raise ValueError(f"expected {len(self.stripes)} stripes, got {len(x)}")
+        return zip(self.stripes, x, strict=True)
+
+    def update(self, x) -> float:
+        """Learns the vectors of a record's stripes; their residual before that."""
+        return float(np.sqrt(sum(s.update(v) ** 2 for s, v in self._parts(x))))
+
+    def residual_profile(self, x) -> list[float]:
+        return [s.residual(v) for s, v in self._parts(x)]
+
+    def residual(self, x) -> float:
+        return float(np.sqrt(sum(r * r for r in self.residual_profile(x))))
+
+    def thresholds(self) -> list[float]:
+        return [s.threshold() for s in self.stripes]
+
+    def threshold(self) -> float:
+        """Infinite while a stripe has none."""
+        return float(np.sqrt(sum(t * t for t in self.thresholds())))
+
+    def anomalous_component(self, x, stripe: int) -> np.ndarray:
+        return self.stripes[stripe].anomalous_component(x[stripe])
+
+    def snapshot(self) -> list[dict]:
+        return [s.snapshot() for s in self.stripes]
+
+    @staticmethod
+    def restore(rows: list[dict]) -> "Striped":
+        out = Striped(0, 0, 0)
+        out.stripes = [Subspace.restore(r) for r in rows]
+        return out
+
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by(order)
-        xs = t.column(vec).combine_chunks()
-        m = xs.flatten().to_numpy(zero_copy_only=False).reshape(len(xs), -1)
-        s = Subspace(m.shape[1], k, **params)
-        s.update_batch(m)
-        snap = s.snapshot()
-        return pa.table({key: t.column(key).slice(0, 1), **{f: pa.array([snap[f]], _type(f)) for f in FIELDS}})
+def learn(df: DataFrame, key: str | list[str], order: str, vec: str, k: int, **params) -> DataFrame:
+    """A model row per key, from its vectors in ascending order, which stream past. No name of a key may be one of a model's fields."""
+    keys = [key] if isinstance(key, str) else key
+    if set(keys) & set(FIELDS):
+        raise ValueError(f"rename the key: {set(keys) & set(FIELDS)} are fields of a model")
+    kinds = {c: df.schema[c].dataType for c in keys}
 
-    return df.select(key, order, F.col(vec).cast("array<double>").alias(vec)).where(F.col(vec).isNotNull()).groupBy(key).applyInArrow(run, f"{key} {kind}, {MODEL}")
+    def feed(state, b):
+        m = matrix(b.column(vec))
+        if "model" not in state:
+            state.update(model=Subspace(m.shape[1], k, **params), types=[b.column(c).type for c in keys])
+        state["model"].update_batch(m)
 
+    def finish(state, name):
+        snap = state["model"].snapshot()
+        cols = [pa.array([v], t) for v, t in zip(name, state["types"], strict=True)] + [pa.array([snap[f]], _type(f)) for f in FIELDS]
+        return pa.RecordBatch.from_arrays(cols, [*keys, *FIELDS])
 
-def learn_residuals(df: DataFrame, key: str, order: str, vec: str, k: int, **params) -> DataFrame:
-    """key, order, residual, threshold: the residual of each vector before it was learned, and the threshold after."""
-    kinds = [df.schema[c].dataType.simpleString() for c in (key, order)]
+    form = ", ".join(f"`{c}` {t.simpleString()}" for c, t in kinds.items())
+    return streamed(_vectors(df, keys, order, vec), keys, order, f"{form}, {MODEL}", dict, feed, finish)
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by(order)
-        xs = t.column(vec).combine_chunks()
-        m = xs.flatten().to_numpy(zero_copy_only=False).reshape(len(xs), -1)
-        s = Subspace(m.shape[1], k, **params)
+
+def learn_residuals(df: DataFrame, key: str | list[str], order: str, vec: str, k: int, **params) -> DataFrame:
+    """keys, order, residual, threshold: the residual of each vector before it was learned, and the threshold after."""
+    keys = [key] if isinstance(key, str) else key
+
+    def feed(state, b):
+        m = matrix(b.column(vec))
+        s = state.setdefault("model", None) or Subspace(m.shape[1], k, **params)
+        state["model"] = s
         out = [(s.update(x), s.threshold()) for x in m]
-        return pa.table({key: t.column(key), order: t.column(order), "residual": pa.array([r for r, _ in out], pa.float64()), "threshold": pa.array([x for _, x in out], pa.float64())})
+        cols = [pa.array(c, pa.float64()) for c in zip(*out, strict=True)]
+        return pa.RecordBatch.from_arrays([*[b.column(c) for c in (*keys, order)], *cols], [*keys, order, "residual", "threshold"])
+
+    form = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (*keys, order))
+    return streamed(_vectors(df, keys, order, vec), keys, order, f"{form}, residual double, threshold double", dict, feed)
+
+
+def _vectors(df: DataFrame, keys: list[str], order: str, vec: str) -> DataFrame:
+    return df.select(*keys, order, F.col(vec).cast("array<double>").alias(vec)).where(F.col(vec).isNotNull())
+
+
+def stripes_of(df: DataFrame, keys: list[str], order: str, stripes: str) -> DataFrame:
+    """keys, order, stripe, v: a row per stripe of an array of vectors, so that the stripes of a key learn in parallel."""
+    return df.select(*keys, order, F.posexplode(stripes).alias("stripe", "v"))
+
+
+def learn_striped(df: DataFrame, key: str, order: str, stripes: str, k: int, **params) -> DataFrame:
+    """A model row per key and stripe of the records' stripe vectors."""
+    return learn(stripes_of(df, [key], order, stripes), [key, "stripe"], order, "v", k, **params)
+
 
-    return df.select(key, order, F.col(vec).cast("array<double>").alias(vec)).where(F.col(vec).isNotNull()).groupBy(key).applyInArrow(run, f"{key} {kinds[0]}, {order} {kinds[1]}, residual double, threshold double")
+def score_striped(rows: DataFrame, models: DataFrame, key: str, order: str, stripes: str) -> DataFrame:
+    """key, order, residual, threshold, anomalous, profile (residual of each stripe) of each record under the striped model of its key."""
+    one = F.concat_ws("/", F.col(key).cast("string"), F.col("stripe").cast("string"))
+    each = score(stripes_of(rows, [key], order, stripes).withColumn("_model", one), models.withColumn("_model", one).drop(key, "stripe"), "_model", "v")
+    rss = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))
+    profile = F.transform(F.array_sort(F.collect_list(F.struct("stripe", "residual"))), lambda x: x["residual"])
+    out = each.groupBy(key, order).agg(rss("residual").alias("residual"), rss("threshold").alias("threshold"), profile.alias("profile"))
+    return out.withColumn("anomalous", F.col("residual") > F.col("threshold"))
 
 
 def _type(f: str) -> pa.DataType:
@@ -198,13 +285,26 @@ def _type(f: str) -> pa.DataType:
     return {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}[kind]
 
 
+#: Models of at most so many bytes are sent to every task; more are joined by key, and so many rows of a key meet them in a group.
+SENT_BYTES, GROUP_ROWS = 64 << 20, 50_000
+
+
+def model_bytes(models: DataFrame) -> int:
+    """Bytes of the arrays of all models."""
+    return models.agg(F.sum((F.size("components") + F.size("mean") + 16).cast("long") * 8)).first()[0] or 0
+
+
 def score(rows: DataFrame, models: DataFrame, key: str, vec: str) -> DataFrame:
-    """rows with residual, threshold and anomalous under the model of their key. Models are collected once (a row per key, checked) and sent to the tasks."""
-    if models.count() > 10_000:
-        raise ValueError("score rows in batches of keys: over 10,000 models")
+    """rows with residual, threshold and anomalous under the model of their key.
+
+    Models are sent to the tasks if their bytes are counted to be few; else rows and models meet by key, the rows of a large key dealt to groups that each get its model.
+    """
+    form = "struct<residual: double, threshold: double>"
+    if model_bytes(models) > SENT_BYTES:
+        return _score_by_key(rows, models, key, vec)
     sent = rows.sparkSession.sparkContext.broadcast({r[key]: {f: r[f] for f in FIELDS} for r in models.collect()})
 
-    @F.pandas_udf("struct<residual: double, threshold: double>")
+    @F.pandas_udf(form)
     def run(k, v):
         import pandas as pd
 
@@ -220,6 +320,25 @@ def score(rows: DataFrame, models: DataFrame, key: str, vec: str) -> DataFrame:
     return rows.withColumn("_s", got).select(*rows.columns, "_s.residual", "_s.threshold", (F.col("_s.residual") > F.col("_s.threshold")).alias("anomalous"))
 
 
+def _score_by_key(rows: DataFrame, models: DataFrame, key: str, vec: str) -> DataFrame:
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("_parts")).withColumnRenamed(key, "_key")
+    dealt = rows.join(sizes, F.col(key) == F.col("_key")).withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int")).withColumn("_x", F.col(vec).cast("array<double>"))
+    each = models.join(sizes, F.col(key) == F.col("_key")).select(F.col(key).alias("_key"), *FIELDS, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    schema = dealt.drop("_parts", "_part", "_x", "_key").schema
+    form = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + ["residual double", "threshold double"])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        n = left.num_rows
+        res, top = np.full(n, np.nan), np.full(n, np.nan)
+        if right.num_rows and n:
+            s = Subspace.restore({f: right.column(f)[0].as_py() for f in FIELDS})
+            res, top = s.residuals(matrix(left.column("_x").combine_chunks())), np.full(n, s.threshold())
+        return left.select(schema.names).append_column("residual", pa.array(res)).append_column("threshold", pa.array(top))
+
+    out = dealt.drop("_parts").groupBy("_key", "_part").cogroup(each.groupBy("_key", "_part")).applyInArrow(meet, form)
+    return out.withColumn("anomalous", F.col("residual") > F.col("threshold"))
+
+
 def striped(profile: DataFrame, keys: list[str]) -> DataFrame:
     """keys, residual, threshold over the stripes of a record: root of the sum of squares; no threshold if a stripe has none."""
     rss = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))

@@ -521,7 +521,6 @@ query("reckoner_regress")(lambda spark, d: _regress(spark, d))
 query("reckoner_curve")(lambda spark, d: _curve(spark, d))
 query("hysteresis")(lambda spark, d: pipe.hysteresis(_events(spark, d).withColumn("hit", F.col("value") > 200), "user_id", "event_id", "hit"))
 query("self_training")(lambda spark, d: _self_training(spark, d))
-query("changepoints")(lambda spark, d: pipe.consolidated(ordered.segment(_stream(spark, d), 4, 0.0, "diff", D), 12))
 
 
 def _sub():
@@ -582,3 +581,5 @@ _REC = sgn(_ROLE("event_type", "event_type") + " + " + _ROLE("k", "k"))
 query("flagship", f"""WITH e AS (SELECT event_id, event_type, json_extract_string(props, '$.k') AS k FROM events), c AS (SELECT event_type, k, count(*) AS n FROM e GROUP BY 1, 2), r AS (SELECT event_type, k, n, {over(_REC)} AS v FROM c),
 b AS (SELECT list({sgn('s')} ORDER BY i) AS b FROM (SELECT i, sum(n * v[i]) AS s FROM r, unnest({EACH}) u(i) GROUP BY i)), x AS (SELECT event_type, k, {total('v[i] * b[i]')} / (sqrt({total('v[i] * v[i]')}) * sqrt({total('b[i] * b[i]')})) AS c FROM r, b)
 SELECT event_id, {rsql('1 - c')} AS anomaly FROM e JOIN x USING (event_type, k)""")(flagship)
+
+from . import catalog_apps  # noqa: E402, F401  (adds its queries to these)

@@ -49,22 +49,17 @@ _KINDS = {"double": pa.float64(), "boolean": pa.bool_(), "long": pa.int64(), "in
 
 
 def per_key(df: DataFrame, key: str, order: str, columns: dict[str, str], start: Callable, step: Callable) -> DataFrame:
-    """Feedback loops: key, order and columns from step(state, row) -> tuple, with a state per key, rows in order. Each row depends on the one before, so a key's rows are one task's; they stream past in sorted batches, and only the state of the current key is held."""
+    """Feedback loops: key, order and columns from step(state, row) -> tuple, with a state per key, rows in order (see streamed())."""
+    from ..operators.ordered import streamed
+
     form = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (key, order)] + [f"{c} {k}" for c, k in columns.items()])
 
-    def run(batches):
-        now, state, begun = None, None, False
-        for b in batches:
-            out = []
-            for row in b.to_pylist():
-                if not begun or row[key] != now:
-                    now, state, begun = row[key], start(), True
-                out.append(step(state, row))
-            cols = list(zip(*out, strict=True)) or [()] * len(columns)
-            made = [pa.array(v, _KINDS[k]) for v, k in zip(cols, columns.values(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(key), b.column(order), *made], [key, order, *columns])
-
-    return df.repartition(F.col(key)).sortWithinPartitions(key, order).mapInArrow(run, form)
+    def feed(state, b):
+        cols = zip(*[step(state, row) for row in b.to_pylist()], strict=True)
+        made = [pa.array(v, _KINDS[k]) for v, k in zip(cols, columns.values(), strict=True)]
+        return pa.RecordBatch.from_arrays([b.column(key), b.column(order), *made], [key, order, *columns])
+
+    return streamed(df, [key], order, form, start, feed)
 
 
 def hysteresis(df: DataFrame, key: str, order: str, flag: str, window: int = 15, calm: int = 5, enter: float = 0.5, leave: float = 0.2) -> DataFrame:
