@@ -167,16 +167,16 @@ def select_rules(candidates: DataFrame, payloads: DataFrame, most: int = 32, slo
 
 def smoothed_rate(df: DataFrame, key: str, ts: str, window: int = 100, smoothing: float = 0.1, first: float = 100.0, cap: float = 1e6) -> DataFrame:
     """key, ts, rate: the larger of the rate over a key's last window rows and the moving average of 1 / gap; gaps near 0 count as cap."""
-    t = df.select(key, F.col(ts), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_t"))
+    t = df.select(key, F.col(ts), F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
 
     def step(s, row):
         now, times = row["_t"], s["times"]
-        gap = now - times[-1] if times else None
+        gap = (now - times[-1]) / 1e6 if times else None
         instant = first if gap is None else 1 / gap if gap > 1e-9 else cap
         times.append(now)
         del times[:-window]
         s["rate"] = smoothing * instant + (1 - smoothing) * s["rate"]
-        span = times[-1] - times[0]
+        span = (times[-1] - times[0]) / 1e6
         over = s["rate"] if len(times) < 2 else cap if span < 1e-9 else (len(times) - 1) / span
         return (max(over, s["rate"]),)
 
