@@ -17,12 +17,14 @@ ARROW_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where unset (tests), a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, local masters (tests) get a temporary one; on a cluster that would lose rows, so it is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='trivex-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -48,12 +50,40 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Yields keep(table): the tables that are written inside and not kept are deleted at the end. What is returned must not need them any more."""
+    mine: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scratch.append(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scratch.pop()
+        paths = {getattr(df, "_trivex_path", None) for df in kept}
+        for df in mine:
+            if df._trivex_path not in paths:
+                discard(df)
+            elif _scratch:
+                _scratch[-1].append(df)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: cuts lineage, and a lost executor costs no recomputation."""
     spark, path = df.sparkSession, table_path(df.sparkSession, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._trivex_path = path
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import checked, fresh, written
+from .common import checked, fresh, scratch, written
 
 WEIGHTS = (5, 2, 1)
 #: A document is taken at most so often, and a source's target is at most so many times its size.
@@ -93,7 +93,8 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 7) ->
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
     """The rows of docs, each as often as it is taken, with the columns of docs. Cases as for mixed(); rows that repeat a doc_id, source and text are all taken as often as the one of them that is taken most."""
     keys = {"doc_id": F.col("doc_id").cast("long"), "source": F.col("source").cast("string"), "th": F.xxhash64(F.col("text").cast("string"))}
-    m = written(mixed(docs, weights, most, seed).where("copies > 0").groupBy(*keys).agg(F.max("copies").alias("copies")), "mixed")
+    with scratch() as kept:
+        m = kept(written(mixed(docs, weights, most, seed).where("copies > 0").groupBy(*keys).agg(F.max("copies").alias("copies")), "mixed"))
     *held, copies, one = fresh(docs, *keys, "copies", "copy")
     right = m.select(*[F.col(k).alias(h) for k, h in zip(keys, held, strict=True)], F.col("copies").alias(copies))
     n, longest = m.agg(F.count("*"), F.max(F.length("source"))).first()

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import partitions_for, written
+from .common import partitions_for, scratch, written
 from .vectors import BLOCK, first_k, matrix, ranked, valid
 
 #: Queries in a block; a local cosine threshold from which single coordinates prune better than lengths.
@@ -138,28 +138,29 @@ def search(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    copies = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    none = F.lit(0.0)
-    base = written(base.withColumn("copy", copies).where(F.col("copy") <= k + 1).select("vec_id", "v", norm.alias("by"), F.size("v").alias("dim"), none.alias("floor")), "vectors")
-    queries = written(queries.select("vec_id", "v", norm.alias("norm"), F.size("v").alias("dim")), "queries")
-    blocks = blocks_of(base, BLOCK)
-    heads = blocks.select("block", "dim", "first")
-    lead = written(heads.groupBy("dim").agg(F.max(F.struct("first", "block")).alias("m")).select(F.col("m.block").alias("block")), "lead")
-
-    def meet(pairs: DataFrame | None, part: DataFrame, qblocks: DataFrame) -> DataFrame:
-        q = qblocks.select(F.col("block").alias("qblock"), F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("floors").alias("qfloors"), F.col("data").alias("qdata"))
-        both = part.join(q, F.col("dim") == F.col("qdim")) if pairs is None else pairs.join(q, "qblock").join(part, "block")
-        return both.select("dim", "ids", "bys", "data", "qids", "qfloors", "qdata").mapInArrow(_meet(k), PAIR)
-
-    first = blocks.join(F.broadcast(lead), "block", "left_semi")  # a block per dimension
-    seeds = written(meet(None, first, blocks_of(queries.withColumn("by", none).withColumn("floor", none), QUERIES)), "seeds")
-    floors = ranked(seeds, k, False).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
-    needing = queries.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", none))
-    need = F.when((F.col("floor") > 0) & (F.col("norm") > 0), F.col("floor") / F.col("norm")).otherwise(none)
-    qblocks = blocks_of(written(needing.withColumn("by", need), "needs"), QUERIES)
-    rest = heads.join(F.broadcast(lead), "block", "left_anti")
-    pairs = written(pairs_to_meet(rest, qblocks.select(F.col("block").alias("qblock"), "dim", "last")), "pairs")
+    with scratch() as kept:
+        copies = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+        none = F.lit(0.0)
+        base = written(base.withColumn("copy", copies).where(F.col("copy") <= k + 1).select("vec_id", "v", norm.alias("by"), F.size("v").alias("dim"), none.alias("floor")), "vectors")
+        queries = written(queries.select("vec_id", "v", norm.alias("norm"), F.size("v").alias("dim")), "queries")
+        blocks = kept(blocks_of(base, BLOCK))
+        heads = blocks.select("block", "dim", "first")
+        lead = written(heads.groupBy("dim").agg(F.max(F.struct("first", "block")).alias("m")).select(F.col("m.block").alias("block")), "lead")
+
+        def meet(pairs: DataFrame | None, part: DataFrame, qblocks: DataFrame) -> DataFrame:
+            q = qblocks.select(F.col("block").alias("qblock"), F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("floors").alias("qfloors"), F.col("data").alias("qdata"))
+            both = part.join(q, F.col("dim") == F.col("qdim")) if pairs is None else pairs.join(q, "qblock").join(part, "block")
+            return both.select("dim", "ids", "bys", "data", "qids", "qfloors", "qdata").mapInArrow(_meet(k), PAIR)
+
+        first = blocks.join(F.broadcast(lead), "block", "left_semi")  # a block per dimension
+        seeds = kept(written(meet(None, first, blocks_of(queries.withColumn("by", none).withColumn("floor", none), QUERIES)), "seeds"))
+        floors = ranked(seeds, k, False).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
+        needing = queries.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", none))
+        need = F.when((F.col("floor") > 0) & (F.col("norm") > 0), F.col("floor") / F.col("norm")).otherwise(none)
+        qblocks = kept(blocks_of(written(needing.withColumn("by", need), "needs"), QUERIES))
+        rest = heads.join(F.broadcast(lead), "block", "left_anti")
+        pairs = kept(written(pairs_to_meet(rest, qblocks.select(F.col("block").alias("qblock"), "dim", "last")), "pairs"))
     return ranked(seeds.union(meet(pairs, blocks, qblocks)), k, False)
 
 

@@ -14,17 +14,20 @@ from .tokens import TextTokenizer
 
 WINDOW = 1024
 END = 0
+#: Documents that share a task's levels, at least: with fewer, too much of what is packed would still be open at the end and be cut anew.
+UNIT = 20_000
 PIECE = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 class Packer:
     """Online packing of pieces, each a (key, start, ids as bytes, document's ids); full sequences come out at once.
 
-    A document's full windows are sequences of their own; the rest goes to the level whose choice leaves the sum of squared counts of partly filled windows least (ties: the fullest), or opens a window. What stands open at the end is cut anew into full windows, and the last one into powers of two, which need no padding.
+    A document's full windows are sequences of their own; its remainder goes to the level whose choice leaves the sum of squared counts of partly filled windows least (ties: the fullest), or opens a window. What stands open at the end is cut anew into full windows, and the last one into powers of two, which need no padding.
     """
 
     def __init__(self, window: int = WINDOW):
         self.window, self.n = window, 0
+        self.placed = self.recut = 0  # remainders' ids that the levels placed for good, and that the end cut anew
         self.count = np.zeros(window + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(window + 1)]
 
@@ -43,6 +46,7 @@ class Packer:
         s = total % w
         if not s:
             return
+        self.placed += s
         piece = (key, total - s, ids[4 * (total - s) :], total)
         c = self.count
         gain = 2 * (c[s:w] - c[: w - s]) + 2  # from level h to h + s, both partly filled
@@ -68,6 +72,7 @@ class Packer:
         w = self.window
         left = [p for level in reversed(self.open) for pieces in level for p in pieces]
         rest = sum(len(p[2]) // 4 for p in left)
+        self.placed, self.recut = self.placed - rest, self.recut + rest
         sizes = [w] * (rest // w) + [1 << i for i in reversed(range(w.bit_length())) if (rest % w) >> i & 1]
         now, room = [], sizes.pop(0) if sizes else 0
         for key, start, ids, total in left:
@@ -83,9 +88,11 @@ class Packer:
 def pack(docs: DataFrame, tokenizer: str, kind: str = "bytes", window: int = WINDOW, end: int = END, key: str = "doc_id") -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset) for each piece of each row of docs.
 
-    Each task packs what it reads in one pass, without a shuffle; a sequence never spans tasks and its id has the task's partition in the upper bits, so a task that is run again gives the same rows. A document's ids are those of its text (null: none) and end. An empty text is its end id alone; a null key is kept; repeated rows are packed once each; an empty table gives an empty one.
+    Each task packs what it reads in one pass, without a shuffle; a sequence never spans tasks and its id has the task's partition in the upper bits, so a task that is run again gives the same rows. Input partitions are joined until they have UNIT documents on average. A document's ids are those of its text (null: none) and end. An empty text is its end id alone; a text of any length is packed whole; a null key is kept; repeated rows are packed once each; an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
+    docs = docs.select(key, F.col("text").cast("string").alias("_text"))
+    docs = docs.coalesce(max(1, docs.count() // UNIT))
     schema = StructType([StructField(key, docs.schema[key].dataType), *[StructField(c, LongType()) for c in PIECE]])
     last = np.array([end], "<u4").tobytes()
 
@@ -114,7 +121,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "bytes", window: int = WIN
         if rows:
             yield batch(rows)
 
-    return docs.select(key, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

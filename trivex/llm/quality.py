@@ -19,7 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import arrow_rows, checked, discard, fresh, written
+from .common import arrow_rows, checked, discard, fresh, scratch, written
 
 #: Symbols are of so many bits, an n-gram has ORDER of them; above its bits a key has its model's number.
 BITS, ORDER = 10, 5
@@ -466,7 +466,8 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack:
 
     Perplexity is exp of the mean -log p per symbol under the model of the row's lang (no trusted document to train with, or null: of all trusted text), drawn to the language's median by PRIOR symbols so that short texts aren't judged by chance. Each language has a threshold of its own, under the model that judges it; one with fewer than LEAST_HELD held-out documents has none, its perplexity is not drawn, and its rows are kept. A null or empty text has null perplexity and is kept, as is everything when nothing is trusted: no evidence rejects nothing. Repeated rows are judged alike; a text of any length is scored whole; an empty table gives an empty one.
     """
-    found = written(judged(docs, labels, quantile, slack), "judged")
+    with scratch() as kept:
+        found = kept(written(judged(docs, labels, quantile, slack), "judged"))
     keys = {"doc_id": F.col("doc_id").cast("long"), "th": F.xxhash64(F.col("text").cast("string")), "lang": F.col("lang").cast("string")}
     names = ("perplexity", "threshold", "kept")
     other = dict(zip((*keys, *names), fresh(docs, *keys, *names), strict=True))

@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import buffers, checked, partitions_for, small_batches, written
+from .common import buffers, checked, fresh, partitions_for, scratch, small_batches, written
 from .components import components
 
 #: A bucket of more members than this is linked by wildcard cliques instead of by pairs; a task makes the cliques' rows of so many members, about.
@@ -93,13 +93,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_diff: int = 2) -> DataF
 
     Documents whose fingerprints a chain of differences of at most max_diff bits connects have one component_id, the smallest doc_id among them. Null or wordless texts have fingerprint zero and link like any other; a null doc_id stays null and never is a component_id unless alone. Repeated rows are returned as often as they came; an empty table gives an empty one; other columns are not read.
     """
-    spark = docs.sparkSession
-    fp = written(fingerprints(docs, width), "fingerprints")
-    distinct = written(fp.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    comp = components(links(distinct.select("fp"), max_diff))
-    rooted = distinct.join(comp.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    low = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = written(rooted.join(low, "root").select("fp", "component_id"), "classes")
+    with scratch() as kept:
+        fp = kept(written(fingerprints(docs, width), "fingerprints"))
+        distinct = written(fp.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+        comp = components(links(distinct.select("fp"), max_diff))
+        rooted = distinct.join(comp.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+        low = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+        classes = kept(written(rooted.join(low, "root").select("fp", "component_id"), "classes"))
     return fp.join(checked(classes, classes.count(), 24), "fp").select("doc_id", "fp", "component_id")
 
 
@@ -214,9 +214,11 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
 
 def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of docs that no earlier row of their group precedes: of each group of similar() the rows with the smallest doc_id stay, with all columns. Rows with a null doc_id stay."""
-    groups = similar(docs, width, least)
-    gone = written(groups.where("doc_id > component_id").select(F.col("doc_id").alias("_near_gone")).distinct(), "gone")
-    return docs.join(checked(gone, gone.count(), 16), F.col("doc_id").cast("long") == F.col("_near_gone"), "left_anti")
+    (name,) = fresh(docs, "gone")
+    with scratch() as kept:
+        groups = similar(docs, width, least)
+        gone = kept(written(groups.where("doc_id > component_id").select(F.col("doc_id").alias(name)).distinct(), "gone"))
+    return docs.join(checked(gone, gone.count(), 16), F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_rows, buffers, discard, partitions_for, small_batches, written
+from .common import arrow_rows, buffers, discard, partitions_for, scratch, small_batches, written
 
 LENGTH, K = 100, 24
 #: Text that is hashed at once, and anchors a task holds before it passes on their reduction.
@@ -423,7 +423,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **hot) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranges = covered(docs, length, **hot)
 
     def merge(batches):  # partial: what a task holds of a document's ranges
         for b in batches:
@@ -438,9 +437,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **hot) -> DataFrame:
             at = np.flatnonzero(new)
             yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(a[at]), pa.array((top - base)[np.concatenate((at[1:], [len(d)])) - 1])], ["doc_id", "a", "z"])
 
-    lists = ranges.mapInArrow(merge, "doc_id long, a long, z long").groupBy("doc_id").agg(F.collect_list(F.struct("a", "z")).alias("r"))
-    with arrow_rows(spark, 100_000):
-        lists = written(lists, "ranges")
+    with scratch() as kept:
+        lists = covered(docs, length, **hot).mapInArrow(merge, "doc_id long, a long, z long").groupBy("doc_id").agg(F.collect_list(F.struct("a", "z")).alias("r"))
+        with arrow_rows(spark, 100_000):
+            lists = kept(written(lists, "ranges"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
     def cut(batches):
