@@ -112,6 +112,28 @@ def checked(side: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(side) if rows * row_bytes <= BROADCAST_BYTES else side
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker lives on between tasks, beside an executor's heap, and would keep its peak."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
+def trimmed(run):
+    """run(batches), which gives its memory back at the end."""
+
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return out
+
+
 def buffers(col) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string or binary column without copying; a null has no bytes."""
     if isinstance(col, pa.ChunkedArray):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import small_batches
+from .common import small_batches, trimmed
 from .tokens import TextTokenizer
 
 WINDOW = 1024
@@ -121,7 +121,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "bytes", window: int = WIN
         if rows:
             yield batch(rows)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import arrow_rows, checked, discard, fresh, scratch, written
+from .common import arrow_rows, checked, discard, fresh, give_back, scratch, trimmed, written
 
 #: Symbols are of so many bits, an n-gram has ORDER of them; above its bits a key has its model's number.
 BITS, ORDER = 10, 5
@@ -121,6 +121,7 @@ class Ngrams:
             place = np.cumsum(seen, dtype=np.int32) - 1
             tables.append((np.flatnonzero(seen), place.astype(np.uint16)[x] if len(place) <= 1 << 16 else place[x]))
         (hv, hi), (lv, lo) = tables
+        del tables, self.hi, self.lo  # large, and not needed any more
         hc, lc, width = self._code(hv, ORDER - 2) << (2 * BITS), self._code(lv, 2), max(1, len(lv))
         if len(hv) * len(lv) > CELLS:
             pairs, number = np.unique(hi.astype(np.int64) * width + lo, return_inverse=True)
@@ -202,7 +203,7 @@ def chunks(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield flush(kind)
 
     with arrow_rows(docs.sparkSession):
-        return written(docs.mapInArrow(run, BLOBS), "chunks")
+        return written(docs.mapInArrow(trimmed(run), BLOBS), "chunks")
 
 
 def _open(row: dict) -> Ngrams:
@@ -231,15 +232,16 @@ def requests(blobs: DataFrame) -> DataFrame:
     def run(batches):
         for r in _rows(batches):
             number, codes = _open(r).distinct()
-            counts = None
+            counts, some = None, codes[shard_of(codes, SOME) == 0].tolist()
             if r["n_train"]:
                 own = np.repeat(np.array(r["marks"]) == 1, np.array(r["sizes"], np.int64))
                 counts = packed(np.bincount(number[own], minlength=len(codes)).astype(np.uint32))
-            some = codes[shard_of(codes, SOME) == 0].tolist()
-            yield pa.RecordBatch.from_pylist([{"chunk": r["chunk"], "model": r["model"], "n": len(codes), "keys": packed(codes), "counts": counts, "some": some}], _arrow(form))
+            row = {"chunk": r["chunk"], "model": r["model"], "n": len(codes), "keys": packed(codes), "counts": counts, "some": some}
+            del number, codes
+            yield pa.RecordBatch.from_pylist([row], _arrow(form))
 
     with arrow_rows(blobs.sparkSession, CHUNK_ROWS):
-        return written(blobs.select("chunk", "model", "n_train", "sizes", "marks", "alphabet", "blob").mapInArrow(run, form), "requests")
+        return written(blobs.select("chunk", "model", "n_train", "sizes", "marks", "alphabet", "blob").mapInArrow(trimmed(run), form), "requests")
 
 
 def shards_for(asked: DataFrame) -> int:
@@ -265,7 +267,7 @@ def _split(asked: DataFrame, shards: int, salts: int) -> DataFrame:
                 rows.append({"chunk": r["chunk"], "model": r["model"], "shard": int(at[i]), "salt": r["chunk"] % salts, "keys": packed(codes[i:j]), "counts": counts})
             yield pa.RecordBatch.from_pylist(rows, _arrow(form))
 
-    return asked.select("chunk", "model", "keys", "counts").mapInArrow(split, form)
+    return asked.select("chunk", "model", "keys", "counts").mapInArrow(trimmed(split), form)
 
 
 def counted(asked: DataFrame, shards: int) -> DataFrame:
@@ -290,7 +292,7 @@ def counted(asked: DataFrame, shards: int) -> DataFrame:
             yield from _cut(merged(held), ("key", "n"))
 
     rows = _split(asked, shards, 1).select("shard", "model", "keys", "counts").repartition(shards, "shard").drop("shard")
-    return written(rows.mapInArrow(run, "key long, n long"), "counted")
+    return written(rows.mapInArrow(trimmed(run), "key long, n long"), "counted")
 
 
 def answers(asked: DataFrame, p: DataFrame, shards: int, salts: int) -> DataFrame:
@@ -412,6 +414,8 @@ def all_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             k, nlp = len(sizes), sums[g.begin] - sums[g.begin + sizes]
             cols = (row["doc_ids"], row["th"], [row["lang"]] * k, [row["model"]] * k, row["marks"], sizes, nlp)
             out.append(pa.table([pa.array(c, t) for c, t in zip(cols, form.types, strict=True)], schema=form))
+            del g, place, codes, logp, at, sums
+        give_back()
         return pa.concat_tables(out) if out else form.empty_table()
 
     left = blobs.select("chunk", "lang", "model", "doc_ids", "th", "sizes", "marks", "alphabet", "blob").groupBy("chunk")

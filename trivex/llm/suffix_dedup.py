@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_rows, buffers, discard, partitions_for, scratch, small_batches, written
+from .common import arrow_rows, buffers, discard, partitions_for, scratch, small_batches, trimmed, written
 
 LENGTH, K = 100, 24
 #: Text that is hashed at once, and anchors a task holds before it passes on their reduction.
@@ -362,10 +362,10 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = K, hot_at: int = HOT
         multi = first[np.repeat(n > 1, n)]
         yield from _emit(0, h[multi], ctx[multi], doc[multi], at[multi])
 
-    scanned = docs.mapInArrow(scan, ROW)
+    scanned = docs.mapInArrow(trimmed(scan), ROW)
     dealt = scanned.repartition(partitions_for(spark, contexts, MEET_ROWS), F.when(F.col("kind") == 0, F.col("h")).otherwise(F.xxhash64("doc_id", "at")))
     # what is covered whole, and contexts that share an anchor
-    met = written(dealt.mapInArrow(meet, ROW), "met")
+    met = written(dealt.mapInArrow(trimmed(meet), ROW), "met")
     pos, lo, hi = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(255), F.col("at").bitwiseAND(255)
     whole = met.where("kind = 1").select("doc_id", (pos - lo).alias("a"), (pos + k + hi).alias("z")).where(f"z - a >= {length}")
     candidates = met.where("kind = 0").select("doc_id", "h", (pos - lo).alias("a"), ((lo + hi + k) * 256 + lo).cast("int").alias("n"))
@@ -412,7 +412,7 @@ def covered(docs: DataFrame, length: int = LENGTH, k: int = K, hot_at: int = HOT
 
     cutting = docs.join(lists, "doc_id").select("doc_id", "text", "c").mapInArrow(cut, "doc_id long, h long, a long, bytes binary, lo int")
     shards = cutting.repartition(partitions_for(spark, n * (length + reach), 8 * SHARD), "h")
-    return whole.union(written(shards.mapInArrow(shard, "doc_id long, a long, z long"), "matched"))
+    return whole.union(written(shards.mapInArrow(trimmed(shard), "doc_id long, a long, z long"), "matched"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, **hot) -> DataFrame:
