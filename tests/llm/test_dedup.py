@@ -161,7 +161,7 @@ def brute_similar(rows, width, least):
     return {d: find(d) for d in ids}
 
 
-@pytest.mark.parametrize("knobs", [{}, {"PAIRS_UP_TO": 2, "SAMPLE": 1, "COMMON": 3}, {"PAIRS_UP_TO": 1, "COMMON": 10**6}])
+@pytest.mark.parametrize("knobs", [{}, {"PAIRS_UP_TO": 2, "SAMPLE": 1, "COMMON": 3}, {"PAIRS_UP_TO": 1, "COMMON": 10**6}, {"PAIRS_UP_TO": 1, "LEADS": 1, "ROUNDS": 1, "BLOCK": 3}])
 def test_one_of_each_finds_all_similar(docs, monkeypatch, knobs):
     for k, x in knobs.items():
         monkeypatch.setattr(simhash, k, x)

@@ -5,32 +5,42 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import buffers, checked, fresh, partitions_for, scratch, small_batches, written
+from .common import buffers, checked, fresh, give_back, partitions_for, scratch, small_batches, trimmed, written
 from .components import components
 
 #: A bucket of more members than this is linked by wildcard cliques instead of by pairs; a task makes the cliques' rows of so many members, about.
 PAIRS_UP_TO, HOT_ROWS = 64, 2000
+#: Leads of a full bucket that all its members are compared with at a time, and times at most.
+LEADS, ROUNDS = 8, 4
+#: Members of a block that meets another one.
+BLOCK = 2048
 #: A shingle is common if at least COMMON documents of one in SAMPLE have it; at most so many are noted.
 SAMPLE, COMMON, MOST_COMMON = 4, 2, 300_000
 #: Bits of a set's parities.
 BITS = 512
 
 
+def _hashes(words: list[bytes], width: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of width words, in their order, space-joined; fewer words are one run."""
+    h, s = xxhash.xxh64_intdigest, b" ".join(words)
+    if len(words) <= width:
+        return np.array([h(s, 42)], np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    end = np.cumsum(size) - 1
+    start = (end - size + 1)[: len(words) - width + 1].tolist()
+    return np.array([h(s[a:b], 42) for a, b in zip(start, end[width - 1 :].tolist(), strict=True)], np.uint64)
+
+
 def fingerprint(text: bytes, width: int) -> int:
     """SimHash of the shingles of width words, repeats included: a bit is set if it is in over half of their XXH64 (seed 42)."""
     words = text.lower().split()  # bytes: A-Z and the six ASCII white spaces only
     if not words:
         return 0
-    s = b" ".join(words)
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(s, 42)
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    end = np.cumsum(size) - 1
-    start = (end - size + 1)[: len(words) - width + 1].tolist()
-    h = xxhash.xxh64_intdigest
-    hashes = np.array([h(s[a:b], 42) for a, b in zip(start, end[width - 1 :].tolist(), strict=True)], np.uint64)
+    hashes = _hashes(words, width)
+    if len(hashes) == 1:
+        return int(hashes[0])
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 8192):
         ones += np.unpackbits(hashes[i : i + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -48,7 +58,7 @@ def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id") -> DataFra
             fp = np.array([fingerprint(data[a:z], width) for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def _masks(diff: int) -> list[int]:
@@ -106,8 +116,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_diff: int = 2) -> DataF
 def shingles(text: bytes, width: int) -> np.ndarray:
     """The ascending distinct XXH64 (seed 42) of a text's shingles of width words, as signed longs; fewer words are one shingle, no words none."""
     words = text.lower().split()
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(b" ".join(words[i : i + width]), 42) for i in range(max(1, len(words) - width + 1))] if words else [], np.uint64).view(np.int64))
+    if not words:
+        return np.zeros(0, np.int64)
+    return np.unique(_hashes(words, width).view(np.int64))
 
 
 def _set_hash(keys: np.ndarray) -> int:
@@ -133,7 +144,7 @@ def _of_shingles(docs: DataFrame, width: int, make, schema: str) -> DataFrame:
             sets = [shingles(data[a:z], width) for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(make(b.column(0), b.column(1), sets), types, strict=True)], list(names))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), schema)
 
 
 def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
@@ -141,7 +152,9 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
     some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0)
     keys = _of_shingles(some, width, lambda ids, th, sets: [np.concatenate([*sets, np.zeros(0, np.int64)])], "key long")
     top = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(MOST_COMMON)
-    return np.array(sorted(r["key"] for r in top.select("key").collect()), np.int64)
+    out = np.sort(top.select("key").toArrow().column("key").to_numpy())  # at most MOST_COMMON numbers
+    give_back()
+    return out
 
 
 def _alike(na, nb, least: float):
@@ -157,7 +170,8 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, le
     pairs = written(pairs.select("a", "b"), "candidates")
     used = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
     texts = written(nodes.join(used, "h", "left_semi").select("th").distinct(), "texts")
-    rows = docs.join(checked(texts.withColumnRenamed("th", "_th"), texts.count(), 24), F.xxhash64(F.col("text").cast("string")) == F.col("_th"), "left_semi")
+    (th,) = fresh(docs, "th")
+    rows = docs.join(checked(texts.withColumnRenamed("th", th), texts.count(), 24), F.xxhash64(F.col("text").cast("string")) == F.col(th), "left_semi")
     sets = _of_shingles(rows, width, lambda ids, th, sets: [[_set_hash(s) for s in sets], sets], "h long, keys array<long>")
     sets = written(sets.dropDuplicates(["h"]), "sets")
     n, size = sets.agg(F.count("*"), F.sum(F.size("keys"))).first()
@@ -167,10 +181,62 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, le
     return written(both.where(F.col("same") >= (F.col("sum") - F.col("same")) * least - 1e-9).select("a", "b"), "near")
 
 
+def _led(many: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, least: float, pair) -> DataFrame:
+    """(a, b): near pairs of the members (key, h, n, pos, hots) of full buckets with LEADS of each bucket at a time, next those of members that no lead was like, while a round connects half of them."""
+    edges, rest, left = None, many.select("key", "h", "n", "hots"), many.count()
+    for _ in range(ROUNDS):
+        if not left:
+            break
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("hots"), F.desc("n"), F.desc("h")))
+        leads = written(rest.withColumn("_r", rank).where(F.col("_r") <= LEADS).select("key", F.col("h").alias("b"), F.col("n").alias("nb")), "leads")
+        few = checked(leads, leads.count(), 32)
+        pairs = pair(many.select("key", F.col("h").alias("a"), F.col("n").alias("na")).join(few, "key"))
+        found = verified(written(pairs, "pairs"), docs, nodes, width, least)
+        edges = found if edges is None else edges.union(found)
+        both = found.select("a", "b").union(found.select("b", "a"))
+        done = leads.select("key", F.col("b").alias("h")).union(leads.join(both, "b").select("key", F.col("a").alias("h"))).distinct()
+        rest = written(rest.join(done, ["key", "h"], "left_anti"), "rest")
+        before, left = left, rest.count()
+        if 2 * left > before:
+            break
+    return many.sparkSession.createDataFrame([], "a long, b long") if edges is None else edges
+
+
+def _unconnected(groups: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b): the pairs of members (g, main, h, root) of a group, one of another root than main and both of different roots, that sizes and parities allow to be similar.
+
+    Such members share a shingle, most of whose documents are common, and yet no lead connects them; each has to be held against the others. Blocks of BLOCK of them meet in tasks, as bits, and only what passes becomes a row. The work for such members still grows with the square of their number.
+    """
+    bits = groups.join(nodes.select("h", "n", "bits"), "h")
+    parts = groups.groupBy("g").agg(F.ceil(F.sum((F.col("root") != F.col("main")).cast("long")) / BLOCK).cast("long").alias("pa"), F.ceil(F.count("*") / BLOCK).cast("long").alias("pb"))
+    parts = parts.where("pa > 0")
+    rows = written(bits.join(checked(parts, parts.count(), 32), "g"), "blocks")
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("h"), F.col(c))
+    left = rows.where("root <> main").select("g", "h", "root", "n", "bits", own("pa").alias("i"), each("pb").alias("j"))
+    right = rows.select("g", "h", "root", "n", "bits", own("pb").alias("j"), each("pa").alias("i"))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = [np.zeros((2, 0), np.int64)]
+        if a.num_rows and b.num_rows:
+            (ha, ra, na), (hb, rb, nb) = ([t.column(c).to_numpy() for c in ("h", "root", "n")] for t in (a, b))
+            ba, bb = (t.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1) for t in (a, b))
+            for k in range(a.num_rows):
+                apart = np.bitwise_count(bb ^ ba[k]).sum(1, dtype=np.int64)
+                fits = np.minimum(nb, na[k]) >= np.maximum(nb, na[k]) * least - 1e-9
+                ok = np.flatnonzero((apart <= (nb + na[k]) * ((1 - least) / (1 + least)) + 1e-6) & fits & (rb != ra[k]))
+                out.append(np.stack([np.minimum(hb[ok], ha[k]), np.maximum(hb[ok], ha[k])]))
+        got = np.concatenate(out, axis=1)
+        return pa.table({"a": pa.array(got[0]), "b": pa.array(got[1])})
+
+    by = ("g", "i", "j")
+    return written(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, "a long, b long").distinct(), "pairs")
+
+
 def similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of each row of docs: documents that a chain of Jaccard similarities of at least least connects, over their sets of shingles of width words, have one component_id, the smallest doc_id among them.
 
-    Exact. 64 SimHash bits can't find such pairs: at 0.8 they differ by 10 bits on average and by up to 19, for which segments would have 6 bits. Instead, shingles are ordered alike in all documents, common ones last and else by hash; two sets of that similarity share one of their first n - ceil(least * n) + 1 shingles. The documents that share one are compared in full. Of a bucket of more than PAIRS_UP_TO members, all are compared with the one that has most common shingles, and those unlike it with all the others: what is already connected needs no more pairs.
+    Exact. 64 SimHash bits can't find such pairs: at 0.8 they differ by 10 bits on average and by up to 19, for which segments would have 6 bits. Instead, shingles are ordered alike in all documents, common ones last and else by hash; two sets of that similarity share one of their first n - ceil(least * n) + 1 shingles. The documents that share one are compared in full. Of a bucket of more than PAIRS_UP_TO members, all are compared with a few leads, those that have most common shingles, then with leads of those that were like none; only members that this leaves unconnected are held against the others, as bits, in blocks: what is connected needs no more pairs.
     """
     common = common_shingles(docs, width)
 
@@ -178,7 +244,8 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
         hots, heads = [], []
         for s in sets:
             k = len(s) - int(np.ceil(len(s) * least - 1e-9)) + 1 if len(s) else 0
-            late = np.isin(s, common, assume_unique=True)
+            at = np.searchsorted(common, s)
+            late = (at < len(common)) & (common[np.minimum(at, len(common) - 1)] == s) if len(common) else np.zeros(len(s), bool)
             hots.append(int(late.sum()))
             heads.append(np.concatenate((s[~late], s[late]))[:k])
         return ids, th, [_set_hash(s) for s in sets], [len(s) for s in sets], hots, heads, [parities(s) for s in sets]
@@ -189,23 +256,25 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     # a bucket that repeats one set only is taken for several here and falls away below
     shared = written(v.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key"), "shared")
     v = written(v.join(checked(shared, shared.count(), 16), "key").distinct(), "members")
-    full = written(v.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct("hots", "n", "h")).alias("lead")), "buckets")
-    v = v.join(checked(full, full.count(), 40), "key")
+    full = written(v.groupBy("key").agg(F.count("*").alias("m")), "buckets")
+    v = v.join(checked(full, full.count(), 16), "key")
     cols = lambda x: [F.col("key"), F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}")]
     # what the sets can share from their first common shingle on
     reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-6
     pair = lambda t: t.where(_alike(F.col("na"), F.col("nb"), least)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     few, many = v.where(F.col("m") <= PAIRS_UP_TO), v.where(F.col("m") > PAIRS_UP_TO)
     near = pair(few.select(*cols("a")).join(few.select(*cols("b")), "key").where("a < b").where(reach))
-    star = pair(many.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("lead.h").alias("b"), F.col("lead.n").alias("nb")))
-    near = verified(written(near.union(star).distinct(), "pairs"), docs, nodes, width, least)
-    edge = near.select(F.col("a").alias("ea"), F.col("b").alias("eb"))
-    ends = (F.least("h", F.col("lead.h")) == F.col("ea")) & (F.greatest("h", F.col("lead.h")) == F.col("eb"))
-    apart = written(many.where(F.col("h") != F.col("lead.h")).join(edge, ends, "left_anti").select(*cols("a")), "apart")
-    if apart.limit(1).count():
-        rest = pair(apart.join(many.select(*cols("b")), "key").where(reach))
-        near = near.union(verified(written(rest, "pairs"), docs, nodes, width, least))
+    near = verified(written(near, "pairs"), docs, nodes, width, least)
+    many = written(many.select("key", "h", "n", "pos", "hots"), "many")
+    near = near.union(_led(many, docs, nodes, width, least, pair))
     comp = components(near)
+    # what of a full bucket its leads leave unconnected
+    roots = comp.select(F.col("node").alias("_node"), "root")
+    held = many.join(roots, F.col("h") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "h")).drop("_node")
+    top = held.groupBy("key").agg(F.max(F.struct("hots", "n", "h", "root")).alias("top")).select("key", F.col("top.h").alias("g"), F.col("top.root").alias("main"))
+    groups = written(held.join(checked(top, full.count(), 32), "key").select("g", "main", "h", "root").distinct(), "groups")
+    if not groups.where("root <> main").isEmpty():
+        comp = components(near.union(verified(_unconnected(groups, nodes, least), docs, nodes, width, least)))
     rooted = nodes.join(comp.select(F.col("node").alias("h"), "root"), "h", "left").select("h", "first", F.coalesce("root", "h").alias("root"))
     low = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = written(rooted.join(low, "root").select("h", "component_id"), "classes")
