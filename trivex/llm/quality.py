@@ -129,10 +129,12 @@ class Ngrams:
         cell = hi.astype(np.int32)
         cell *= width
         cell += lo
+        del hi, lo
         seen = np.zeros(len(hv) * len(lv), bool)
         seen[cell] = True
-        full = np.flatnonzero(seen)
-        number = np.zeros(len(seen), np.uint16 if len(full) <= 1 << 16 else np.int32)
+        full, cells = np.flatnonzero(seen), len(seen)
+        del seen
+        number = np.zeros(cells, np.uint16 if len(full) <= 1 << 16 else np.int32)
         number[full] = np.arange(len(full), dtype=number.dtype)
         return number[cell], hc[full // width] | lc[full % width]
 
@@ -235,9 +237,13 @@ def requests(blobs: DataFrame) -> DataFrame:
             counts, some = None, codes[shard_of(codes, SOME) == 0].tolist()
             if r["n_train"]:
                 own = np.repeat(np.array(r["marks"]) == 1, np.array(r["sizes"], np.int64))
-                counts = packed(np.bincount(number[own], minlength=len(codes)).astype(np.uint32))
+                n = np.zeros(len(codes), np.int64)
+                for i in range(0, len(number), 1 << 19):  # a piece at a time, as each is copied as longs
+                    n += np.bincount(number[i : i + (1 << 19)][own[i : i + (1 << 19)]], minlength=len(codes))
+                counts = packed(n.astype(np.uint32))
             row = {"chunk": r["chunk"], "model": r["model"], "n": len(codes), "keys": packed(codes), "counts": counts, "some": some}
             del number, codes
+            give_back()
             yield pa.RecordBatch.from_pylist([row], _arrow(form))
 
     with arrow_rows(blobs.sparkSession, CHUNK_ROWS):
