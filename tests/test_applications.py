@@ -214,3 +214,14 @@ def test_memory_cycle(spark, tmp_path):
         twin[i % 2].update(r)
     for r in scored.collect():
         assert r["residual"] == pytest.approx(twin[r["g"]].residual(x[r["seq"]]), abs=1e-9)
+
+
+def test_off_hours_can_be_joined(spark, tmp_path):
+    from trivex.plans.catalog import QUERIES
+
+    ts = F.timestamp_seconds(1_700_000_000 + F.col("id") * 5000).cast("timestamp_ntz").alias("ts")
+    spark.range(200).select(F.col("id").alias("event_id"), F.concat(F.lit("t"), F.col("id") % 3).alias("event_type"), ts).write.parquet(str(tmp_path / "events.parquet"))
+    df = QUERIES["off_hours"](spark, str(tmp_path))
+    rows = df.collect()
+    assert len(rows) == 200 and not any(r.residual is None or r.anomalous is None for r in rows)
+    assert df.alias("x").join(df.alias("y"), "residual").where("x.event_id = y.event_id").count() == 200

@@ -10,6 +10,7 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .ordered import matrix, streamed
 
@@ -299,25 +300,28 @@ def score(rows: DataFrame, models: DataFrame, key: str, vec: str) -> DataFrame:
 
     Models are sent to the tasks if their bytes are counted to be few; else rows and models meet by key, the rows of a large key dealt to groups that each get its model.
     """
-    form = "struct<residual: double, threshold: double>"
     if model_bytes(models) > SENT_BYTES:
         return _score_by_key(rows, models, key, vec)
     sent = rows.sparkSession.sparkContext.broadcast({r[key]: {f: r[f] for f in FIELDS} for r in models.collect()})
-
-    @F.pandas_udf(form)
-    def run(k, v):
-        import pandas as pd
-
-        out = pd.DataFrame({"residual": np.nan, "threshold": np.nan}, index=k.index)
-        for name, at in k.groupby(k).groups.items():
-            if name in sent.value:
+    names = rows.columns
+
+    def run(batches):
+        for b in batches:
+            keys, v = b.column("_key").to_pylist(), b.column("_x")
+            res, top = (np.full(b.num_rows, np.nan) for _ in range(2))
+            places: dict = {}
+            for i in np.flatnonzero(v.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                if keys[i] is not None and keys[i] in sent.value:
+                    places.setdefault(keys[i], []).append(i)
+            for name, at in places.items():
                 s = Subspace.restore(sent.value[name])
-                out.loc[at, "residual"] = s.residuals(np.stack(v[at].to_numpy()))
-                out.loc[at, "threshold"] = s.threshold()
-        return out
+                res[at], top[at] = s.residuals(matrix(v.take(pa.array(at)))), s.threshold()
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *(pa.array(c, pa.float64(), from_pandas=True) for c in (res, top))], [*names, "residual", "threshold"])
 
-    got = run(F.col(key), F.col(vec).cast("array<double>"))
-    return rows.withColumn("_s", got).select(*rows.columns, "_s.residual", "_s.threshold", (F.col("_s.residual") > F.col("_s.threshold")).alias("anomalous"))
+    # an operator, not a UDF: what reads the result can put a UDF into a filter after UDFs were planned, and that fails
+    form = StructType([*rows.schema.fields, StructField("residual", DoubleType()), StructField("threshold", DoubleType())])
+    scored = rows.select("*", F.col(key).alias("_key"), F.col(vec).cast("array<double>").alias("_x")).mapInArrow(run, form)
+    return scored.withColumn("anomalous", F.col("residual") > F.col("threshold"))
 
 
 def _score_by_key(rows: DataFrame, models: DataFrame, key: str, vec: str) -> DataFrame:
