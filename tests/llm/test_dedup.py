@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from trivex.llm import components, line_dedup, simhash, suffix_dedup
 
@@ -133,6 +134,24 @@ def test_links_lose_none(spark, monkeypatch, pairs_up_to):
     assert group(lambda i: comp.get(signed[i], signed[i])) == group(lambda i: want[i])
 
 
+def test_variants_stay_out_of_the_driver(spark, monkeypatch):
+    plans, write = {}, simhash.written
+
+    def spy(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "written", spy)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        # read from files, as the planner's sizes come from those
+        simhash.links(write(spark.range(500).select(F.xxhash64("id").alias("fp")), "fingerprints"), 2)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" in plans["variants"] and "Broadcast" not in plans["variants"]
+
+
 def test_simhash_edges(docs):
     assert simhash.near_duplicates(docs([])).count() == 0
     got = simhash.near_duplicates(docs([(3, None), (1, " \t"), (None, "alone"), (5, "p q r"), (5, "p q r")])).collect()

@@ -86,7 +86,8 @@ def links(fps: DataFrame, max_diff: int = 2) -> DataFrame:
     table = F.array(*[F.struct(F.lit(i).cast("int").alias("i"), F.lit(m).cast("long").alias("m")) for i, m in variants])
     v = fps.select("fp", F.explode(table).alias("v")).select("fp", F.col("v.i").alias("i"), F.col("fp").bitwiseAND(F.col("v.m")).alias("key"))
     full = v.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1")
-    v = written(v.join(full, ["i", "key"]), "variants")
+    # Spark takes the variants for as few as the fingerprints, and would send them through the driver
+    v = written(v.hint("merge").join(full.hint("merge"), ["i", "key"]), "variants")
     few = v.where(F.col("n") <= PAIRS_UP_TO).select("i", "key", "fp")
     near = few.select("i", "key", F.col("fp").alias("a")).join(few.select("i", "key", F.col("fp").alias("b")), ["i", "key"])
     near = near.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_diff)).select("a", "b")
@@ -110,7 +111,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_diff: int = 2) -> DataF
         rooted = distinct.join(comp.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
         low = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
         classes = kept(written(rooted.join(low, "root").select("fp", "component_id"), "classes"))
-    return fp.join(checked(classes, classes.count(), 24), "fp").select("doc_id", "fp", "component_id")
+    return fp.join(checked(classes, classes.count(), 96), "fp").select("doc_id", "fp", "component_id")
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
