@@ -187,3 +187,24 @@ def test_a_hash_sample_of_columns_is_not_read(spark, docs):
     table = docs([(1, "a b c", "en", "s", 1)])
     plan = mixing.mixed(table).select(F.sum("size"))._jdf.queryExecution().optimizedPlan().toString()
     assert "n_chars" not in plan
+
+
+def test_scores_hold_few_tables(docs, spark, monkeypatch):
+    live, write, drop = [], quality.written, quality.discard
+    seen = {}
+
+    def wrote(df, name):
+        seen[name] = list(live)
+        live.append(name)
+        return write(df, name)
+
+    def gone(df):
+        live.remove(next(n for n in live if f"/{n}-" in df._trivex_path))
+        drop(df)
+
+    monkeypatch.setattr(quality, "written", wrote)
+    monkeypatch.setattr(quality, "discard", gone)
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
+    rows = [(i, f"some words of document {i}", "en") for i in range(30)]
+    assert quality.scores(docs(rows), labels).count() == 30
+    assert seen["scores"] == ["chunks", "models", "answers"]

@@ -46,6 +46,18 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS):
         spark.conf.set(key, before)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """The shuffle files of a table that is written inside go when it is written; Spark else keeps them until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

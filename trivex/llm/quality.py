@@ -19,7 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import arrow_rows, checked, discard, fresh, give_back, scratch, trimmed, written
+from .common import arrow_rows, checked, discard, fresh, give_back, scratch, shuffles_removed, trimmed, written
 
 #: Symbols are of so many bits, an n-gram has ORDER of them; above its bits a key has its model's number.
 BITS, ORDER = 10, 5
@@ -382,6 +382,11 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def all_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """scores() and, where a row without a language is judged by model 0, the held-out documents of other models again, under model 0, with mark 3."""
+    with shuffles_removed(docs.sparkSession):
+        return _all_scores(docs, labels)
+
+
+def _all_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     blobs = chunks(docs, labels)
     langs = blobs.groupBy("lang").agg(F.sum("n_train").alias("n")).where(F.col("lang").isNotNull() & (F.col("n") > 0))
     number = F.row_number().over(Window.orderBy(F.desc("n"), "lang"))  # a row per language
@@ -403,7 +408,10 @@ def all_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         counts = counts.where(F.col("key") > CODE).union(counts.groupBy(F.col("key").bitwiseAND(CODE).alias("key")).agg(F.sum("n").alias("n")))
     p = log_probabilities(counts, keys.select("key"), models)
     salts = max(1, -(-total // (shards * SHARD_REQUESTS)))
-    found = answers(asked, p, shards, salts)
+    # written, so that what they are made of is gone before the chunks are shuffled
+    found = written(answers(asked, p, shards, salts), "answers")
+    for t in (asked, keys, p):
+        discard(t)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         form, out = _arrow(SCORES), []
@@ -426,7 +434,7 @@ def all_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     left = blobs.select("chunk", "lang", "model", "doc_ids", "th", "sizes", "marks", "alphabet", "blob").groupBy("chunk")
     out = written(left.cogroup(found.groupBy("chunk")).applyInArrow(meet, SCORES), "scores")
-    for t in (table, langs, asked, keys, p):
+    for t in (table, langs, found):
         discard(t)
     return out
 
