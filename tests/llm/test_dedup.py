@@ -161,6 +161,24 @@ def test_simhash_edges(docs):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "h"]
 
 
+def test_similar_takes_pairs_by_simhash(docs, spark, monkeypatch):
+    text = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*text[: 399 - i], f"x{i}", *text[400 - i :]])) for i in range(4)] + [(9, "quite another text of some words")]
+    fps = {}
+    for d, t in rows:
+        hashes = [int(h) & (1 << 64) - 1 for h in simhash.shingles(t.encode(), 5)]
+        fps[d] = sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+    signed = {d: f - (1 << 64) if f >> 63 else f for d, f in fps.items()}
+    pairs = simhash.by_simhash(spark.createDataFrame([(d, 9, f) for d, f in signed.items()], "h long, n int, fp long"))
+    comp = {r["node"]: r["root"] for r in components.components(pairs.select("a", "b")).collect()}
+    want = brute_components(fps, 2)
+    assert {d: comp.get(d, d) for d in fps} == want and len(set(want.values())) < len(rows)
+    seen, own = [], simhash.by_simhash
+    monkeypatch.setattr(simhash, "by_simhash", lambda nodes: seen.extend(r["fp"] for r in nodes.collect()) or own(nodes))
+    assert {r["doc_id"] for r in simhash.one_of_each(docs(rows)).collect()} == {0, 9}
+    assert set(seen) == set(signed.values())
+
+
 def brute_similar(rows, width, least):
     sets = {d: set(simhash.shingles((t or "").encode(), width).tolist()) for d, t in rows}
     ids = sorted(sets)

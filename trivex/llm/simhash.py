@@ -39,6 +39,11 @@ def fingerprint(text: bytes, width: int) -> int:
     if not words:
         return 0
     hashes = _hashes(words, width)
+    return _majority(hashes)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; none, if there are none."""
     if len(hashes) == 1:
         return int(hashes[0])
     ones = np.zeros(64, np.int64)
@@ -182,6 +187,15 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, le
     return written(both.where(F.col("same") >= (F.col("sum") - F.col("same")) * least - 1e-9).select("a", "b"), "near")
 
 
+def by_simhash(nodes: DataFrame, max_diff: int = 2) -> DataFrame:
+    """(a, na, b, nb): sets whose SimHashes, fp, a chain of differences of at most max_diff bits connects are connected by these pairs of sets. nodes: (h, n, fp)."""
+    firsts = written(nodes.groupBy("fp").agg(F.min(F.struct("h", "n")).alias("x")).select("fp", F.col("x.h").alias("h"), F.col("x.n").alias("n")), "firsts")
+    side = lambda t, x: t.select(F.col("fp").alias(f"f{x}"), F.col("h").alias(x), F.col("n").alias(f"n{x}"))
+    same = side(firsts, "a").join(side(nodes, "b"), F.col("fa") == F.col("fb")).where("a <> b")
+    near = links(firsts.select("fp"), max_diff).toDF("fa", "fb").join(side(firsts, "a"), "fa").join(side(firsts, "b"), "fb")
+    return same.select("a", "na", "b", "nb").union(near.select("a", "na", "b", "nb"))
+
+
 def _led(many: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, least: float, pair) -> DataFrame:
     """(a, b): near pairs of the members (key, h, n, pos, hots) of full buckets with LEADS of each bucket at a time, next those of members that no lead was like, while a round connects half of them."""
     edges, rest, left = None, many.select("key", "h", "n", "hots"), many.count()
@@ -237,7 +251,7 @@ def _unconnected(groups: DataFrame, nodes: DataFrame, least: float) -> DataFrame
 def similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of each row of docs: documents that a chain of Jaccard similarities of at least least connects, over their sets of shingles of width words, have one component_id, the smallest doc_id among them.
 
-    Exact. 64 SimHash bits can't find such pairs: at 0.8 they differ by 10 bits on average and by up to 19, for which segments would have 6 bits. Instead, shingles are ordered alike in all documents, common ones last and else by hash; two sets of that similarity share one of their first n - ceil(least * n) + 1 shingles. The documents that share one are compared in full. Of a bucket of more than PAIRS_UP_TO members, all are compared with a few leads, those that have most common shingles, then with leads of those that were like none; only members that this leaves unconnected are held against the others, as bits, in blocks: what is connected needs no more pairs.
+    Exact. SimHashes of the sets that differ by two bits at most give the first pairs, by deletion variants; they are verified by the sets. 64 bits can't find the others: at 0.8 they differ by 10 bits on average and by up to 19, for which segments would have 6 bits. For those, shingles are ordered alike in all documents, common ones last and else by hash; two sets of that similarity share one of their first n - ceil(least * n) + 1 shingles. The documents that share one are compared in full. Of a bucket of more than PAIRS_UP_TO members, all are compared with a few leads, those that have most common shingles, then with leads of those that were like none; only members that this leaves unconnected are held against the others, as bits, in blocks: what is connected needs no more pairs.
     """
     common = common_shingles(docs, width)
 
@@ -249,10 +263,10 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
             late = (at < len(common)) & (common[np.minimum(at, len(common) - 1)] == s) if len(common) else np.zeros(len(s), bool)
             hots.append(int(late.sum()))
             heads.append(np.concatenate((s[~late], s[late]))[:k])
-        return ids, th, [_set_hash(s) for s in sets], [len(s) for s in sets], hots, heads, [parities(s) for s in sets]
+        return ids, th, [_set_hash(s) for s in sets], [len(s) for s in sets], hots, heads, [parities(s) for s in sets], np.array([_majority(s.view(np.uint64)) for s in sets], np.uint64).view(np.int64)
 
-    found = written(_of_shingles(docs, width, make, "doc_id long, th long, h long, n int, hots int, head array<long>, bits array<long>"), "heads")
-    nodes = written(found.groupBy("h").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.min("n").alias("n"), F.min("bits").alias("bits")), "nodes")
+    found = written(_of_shingles(docs, width, make, "doc_id long, th long, h long, n int, hots int, head array<long>, bits array<long>, fp long"), "heads")
+    nodes = written(found.groupBy("h").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("fp").alias("fp")), "nodes")
     v = found.select("h", "n", "hots", F.posexplode("head").alias("pos", "key"))
     # a bucket that repeats one set only is taken for several here and falls away below
     shared = written(v.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key"), "shared")
@@ -265,6 +279,7 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     pair = lambda t: t.where(_alike(F.col("na"), F.col("nb"), least)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     few, many = v.where(F.col("m") <= PAIRS_UP_TO), v.where(F.col("m") > PAIRS_UP_TO)
     near = pair(few.select(*cols("a")).join(few.select(*cols("b")), "key").where("a < b").where(reach))
+    near = near.union(pair(by_simhash(nodes))).distinct()
     near = verified(written(near, "pairs"), docs, nodes, width, least)
     many = written(many.select("key", "h", "n", "pos", "hots"), "many")
     near = near.union(_led(many, docs, nodes, width, least, pair))
