@@ -1,8 +1,10 @@
 """Empty tables, few rows, ties, repeats, very long texts and clashing names, for operators whose own tests have none of them; language identification by brute force."""
 
 import random
+import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +12,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from trivex.llm import langid, line_dedup, lsh_search, mixing, norm_search, packing, quality, simhash, suffix_dedup, vectors
+from trivex.llm import common, langid, line_dedup, lsh_search, mixing, norm_search, packing, quality, simhash, suffix_dedup, vectors
 
 rng = random.Random(31)
 BYTES, SPACED = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -208,3 +210,19 @@ def test_scores_hold_few_tables(docs, spark, monkeypatch):
     rows = [(i, f"some words of document {i}", "en") for i in range(30)]
     assert quality.scores(docs(rows), labels).count() == 30
     assert seen["scores"] == ["chunks", "models", "answers"]
+
+
+def test_driver_gives_memory_back_when_a_table_is_written(spark, monkeypatch):
+    common.written(spark.range(1), "few")  # what a first write takes and keeps
+    jvm = spark.sparkContext._jvm
+    status = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status")
+    held = lambda: int(re.search(r"RssAnon:\s+(\d+)", status.read_text())[1]) / 1024
+    some = [jvm.java.util.zip.Deflater() for _ in range(1200)]  # native memory in small blocks
+    for x in some[:-1]:
+        x.end()
+    before = held()
+    monkeypatch.setattr(common, "_eased", float("-inf"), raising=False)
+    common.written(spark.range(1), "few")
+    some[-1].end()
+    after = held()
+    assert after < before - 40

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A side of a join is broadcast only when its counted rows times its row width stay under this.
 BROADCAST_BYTES = 32 << 20
 #: Rows per Arrow batch: texts can be long, so a batch holds few of them.
 ARROW_ROWS = 512
+#: Seconds between two times that the driver gives memory back.
+EASE_S = 3
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -92,6 +96,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: cuts lineage, and a lost executor costs no recomputation."""
     spark, path = df.sparkSession, table_path(df.sparkSession, name)
     df.write.parquet(path)
+    ease(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._trivex_path = path
     if _scratch:
@@ -134,6 +139,35 @@ def give_back() -> None:
         trim(0)
 
 
+_eased = float("-inf")
+
+
+def ease(spark: SparkSession) -> str:
+    """The driver's JVM returns freed memory to the system, at most every EASE_S seconds; what it said, empty if it did nothing.
+
+    A plan of many exchanges runs on hundreds of the driver's threads, whose freed native memory the C library keeps, and its planning widens the heap, which G1 keeps. Both otherwise only grow while an operator writes table after table.
+    """
+    global _eased
+    if time.monotonic() - _eased < EASE_S:
+        return ""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if 2 * heap.totalMemory() > heap.maxMemory():
+        jvm.java.lang.System.gc()
+    try:  # the server's class isn't open to calls, so by its interface
+        of, text = jvm.java.lang.Class.forName, "java.lang.String"
+        kinds, args = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+        for i, kind in enumerate(("javax.management.ObjectName", text, "[Ljava.lang.Object;", f"[L{text};")):
+            kinds[i] = of(kind)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        said = str(of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, args))
+    except Py4JError:  # not in every JVM
+        said = ""
+    _eased = time.monotonic()
+    return said
+
+
 def trimmed(run):
     """run(batches), which gives its memory back at the end."""
 
