@@ -46,7 +46,7 @@ def streamed(df: DataFrame, keys: list[str], order: str, schema: str, start: Cal
             if not b.num_rows:
                 continue
             names = list(zip(*[b.column(k).to_pylist() for k in keys], strict=True))
-            cuts = [i for i in range(1, len(names)) if names[i] != names[i - 1]]
+            cuts = [i for i in range(1, len(names)) if names[i] != names[i - 1]] if names[0] != names[-1] else []  # sorted
             for i, j in zip([0, *cuts], [*cuts, len(names)], strict=True):
                 if now is None or names[i] != now[0]:
                     if now is not None and finish:
@@ -58,7 +58,9 @@ def streamed(df: DataFrame, keys: list[str], order: str, schema: str, start: Cal
         if now is not None and finish:
             yield finish(state, now[0])
 
-    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+    # a number of partitions of its own: small ones would be merged by their bytes, and few keys that take long would wait for each other
+    n = max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *[F.col(k) for k in keys]).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
 
 
 def matrix(col: pa.Array):

@@ -10,13 +10,15 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .ordered import matrix, streamed
 
 MODEL = "dim int, k int, amnesia double, ema_alpha double, sigma_mult double, reorth_interval int, n long, mean array<double>, components array<double>, res_ema double, res_var_ema double, min_components int, max_components int, grow_threshold double, shrink_threshold double"
 FIELDS = [x.split()[0] for x in MODEL.split(", ")]
 TINY = 1e-10
+#: Vectors that are learned in one go; a go has as many steps more as there are components.
+BLOCK = 500
 
 
 @dataclass
@@ -64,10 +66,17 @@ class Subspace:
         return max(0.0, 1 - self.res_ema**2 / self.dim) if self.n >= 10 else 0.0
 
     def residuals(self, x: np.ndarray) -> np.ndarray:
-        """Norm of each row after deflation through all components."""
+        """Norm of each row after deflation through all components; many rows meet the product of all deflations at once."""
         x = np.atleast_2d(np.asarray(x, float)) - self.mean
-        for b in self.basis():
-            x = x - np.outer(x @ b, b)
+        basis = self.basis()
+        if len(x) > self.dim and 16 * len(basis) > self.dim:
+            whole = np.eye(self.dim)
+            for b in basis:
+                whole -= np.outer(whole @ b, b)
+            x = x @ whole
+        else:
+            for b in basis:
+                x = x - np.outer(x @ b, b)
         return np.sqrt((x * x).sum(1))
 
     def residual(self, x) -> float:
@@ -109,10 +118,7 @@ class Subspace:
                     rest = rest - (rest @ v / size2) * v
         else:
             self.components[0] = rest
-        alpha = 1 / n if n <= 1 / self.ema_alpha else self.ema_alpha
-        delta = res - self.res_ema
-        self.res_ema += alpha * delta
-        self.res_var_ema = (1 - alpha) * self.res_var_ema + alpha * delta * delta
+        self._observe(n, res)
         if n > 1:
             self._resize()
             if self.reorth_interval and n % self.reorth_interval == 0:
@@ -142,7 +148,116 @@ class Subspace:
                 v *= size / now
 
     def update_batch(self, xs) -> list[float]:
-        return [self.update(x) for x in xs]
+        return self.learned(xs)[0].tolist()
+
+    def learned(self, xs) -> tuple[np.ndarray, np.ndarray]:
+        """Learns vectors in order, each as update() does; the residual of each before that, and the threshold after."""
+        xs = np.atleast_2d(np.asarray(xs, float))
+        if xs.shape[1] != self.dim:
+            raise ValueError(f"expected {self.dim} components, got {xs.shape[1]}")
+        res, top = np.zeros(len(xs)), np.full(len(xs), np.inf)
+        at = 0
+        while at < len(xs):
+            idle = self._idle(xs[at:])
+            if idle:
+                first, self.n = self.n, self.n + idle
+                top[at + max(0, 1 - first) : at + idle] = 0.0
+                at += idle
+            elif not self.n:
+                res[at] = self.update(xs[at])
+                at += 1
+            else:
+                size = min(BLOCK, len(xs) - at, self.reorth_interval - self.n % self.reorth_interval if self.reorth_interval else BLOCK)
+                first = self.n
+                res[at : at + size] = self._block(xs[at : at + size])
+                for i in range(at, at + size):
+                    self._observe(first + 1 + i - at, float(res[i]))
+                    top[i] = self.res_ema + self.sigma_mult * self.res_var_ema**0.5
+                at += size
+        return res, top
+
+    def _idle(self, xs: np.ndarray) -> int:
+        """How many vectors at the start are zeros that leave a model of zeros as it is, but for its count."""
+        if xs[0].any() or self.res_ema or self.res_var_ema or self.k > self.min_components or self.mean.any() or self.components.any():
+            return 0
+        busy = np.flatnonzero(xs.any(1))
+        return int(busy[0]) if len(busy) else len(xs)
+
+    def _observe(self, n: int, res: float):
+        alpha = 1 / n if n <= 1 / self.ema_alpha else self.ema_alpha
+        delta = res - self.res_ema
+        self.res_ema += alpha * delta
+        self.res_var_ema = (1 - alpha) * self.res_var_ema + alpha * delta * delta
+
+    def _block(self, xs: np.ndarray) -> np.ndarray:
+        """Residuals of vectors that are learned, none of them the first; the next reorthogonalization is at their end or later.
+
+        Component j learns from vector t what the components before it left, and only needs itself after vector t - 1: all (t, j) with t + j = step are independent, so a step is one operation on a band of vectors and components instead of one per component. Components are kept in descending order, as then both bands are slices.
+        """
+        rows, first = len(xs), self.n
+        n = first + 1.0 + np.arange(rows)
+        mean = (self.mean * first + np.cumsum(xs, 0)) / n[:, None]
+        left = xs - np.vstack((self.mean, mean[:-1]))  # for the residual, by the components before the update
+        rest = xs - mean  # for the update
+        keep, take = (n - 1 - self.amnesia) / n, (1 + self.amnesia) / n
+        most = max(self.k, min(self.max_components, self.k + rows))
+        v = np.zeros((most, self.dim))
+        v[most - self.k :] = self.components[::-1]
+        dots = getattr(np, "vecdot", None) or (lambda a, b: np.einsum("ij,ij->i", a, b))
+        sq = dots(v, v)
+        size, made, leading = np.sqrt(sq), np.empty((most, self.dim)), np.zeros(rows)
+        ks, done, high, step = [self.k], 0, -1, 0  # ks[t]: components that vector t meets
+        while done < rows:
+            high += 1
+            while high > step or high >= ks[min(step - high, len(ks) - 1)]:
+                high -= 1
+            low = max(0, step - rows + 1)
+            t, j = slice(step - high, step - low + 1), slice(most - 1 - high, most - low)
+            x, r, c, s, q, tmp = rest[t], left[t], v[j], size[j], sq[j], made[j]
+            gain, hold, old = dots(x, c), keep[t], dots(r, c)
+            alive = None
+            if s.min() >= TINY:
+                old /= q
+                gain /= s
+                gain *= take[t]
+            else:
+                alive = s >= TINY
+                starts = ~alive & (dots(x, x) > TINY**2)
+                old = np.where(alive, old / np.where(alive, q, 1.0), 0.0)
+                gain = np.where(alive, take[t] * gain / np.where(alive, s, 1.0), np.where(starts, take[t], 0.0))
+                hold = np.where(alive, hold, np.where(starts, 0.0, 1.0))
+            np.multiply(c, old[:, None], out=tmp)
+            np.subtract(r, tmp, out=r)
+            np.multiply(x, gain[:, None], out=tmp)
+            np.multiply(c, hold[:, None], out=c)
+            np.add(c, tmp, out=c)
+            q[:] = dots(c, c)
+            np.sqrt(q, out=s)
+            share = dots(x, c)
+            if q.min() > TINY**2:
+                share /= q
+            else:
+                share = np.where(q > TINY**2, share / np.where(q > TINY**2, q, 1.0), 0.0)
+            np.multiply(c, share[:, None], out=tmp)
+            np.subtract(x, tmp, out=x)
+            if low == 0:
+                leading[step] = size[most - 1]
+            while done < rows and done + ks[done] - 1 <= step:
+                k = ks[done]
+                ratio = size[most - k] / max(leading[done], TINY)
+                if k >= 2 and ratio > self.grow_threshold and k < self.max_components:
+                    v[most - 1 - k], sq[most - 1 - k], size[most - 1 - k] = 0.0, 0.0, 0.0
+                    k += 1
+                elif k >= 2 and ratio < self.shrink_threshold and k > self.min_components:
+                    k -= 1
+                ks.append(k)
+                done += 1
+            step += 1
+        self.k, self.n, self.mean = ks[-1], first + rows, mean[-1]
+        self.components = v[most - self.k :][::-1].copy()
+        if self.reorth_interval and self.n % self.reorth_interval == 0:
+            self.reorthogonalize()
+        return np.sqrt((left * left).sum(1))
 
     def alignment(self, other: "Subspace", top: int = 0) -> float:
         """Mean of the top cosines of the principal angles; 0 means a quarter of them, three at least."""
@@ -249,8 +364,7 @@ def learn_residuals(df: DataFrame, key: str | list[str], order: str, vec: str, k
         m = matrix(b.column(vec))
         s = state.setdefault("model", None) or Subspace(m.shape[1], k, **params)
         state["model"] = s
-        out = [(s.update(x), s.threshold()) for x in m]
-        cols = [pa.array(c, pa.float64()) for c in zip(*out, strict=True)]
+        cols = [pa.array(c) for c in s.learned(m)]
         return pa.RecordBatch.from_arrays([*[b.column(c) for c in (*keys, order)], *cols], [*keys, order, "residual", "threshold"])
 
     form = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (*keys, order))
@@ -258,7 +372,9 @@ def learn_residuals(df: DataFrame, key: str | list[str], order: str, vec: str, k
 
 
 def _vectors(df: DataFrame, keys: list[str], order: str, vec: str) -> DataFrame:
-    return df.select(*keys, order, F.col(vec).cast("array<double>").alias(vec)).where(F.col(vec).isNotNull())
+    """keys, order and vectors, small whole numbers as they are, since a key's rows are sorted in one task."""
+    v = F.col(vec) if df.schema[vec].dataType.simpleString() == "array<tinyint>" else F.col(vec).cast("array<double>").alias(vec)
+    return df.select(*keys, order, v).where(F.col(vec).isNotNull())
 
 
 def stripes_of(df: DataFrame, keys: list[str], order: str, stripes: str) -> DataFrame:
@@ -272,12 +388,46 @@ def learn_striped(df: DataFrame, key: str, order: str, stripes: str, k: int, **p
 
 
 def score_striped(rows: DataFrame, models: DataFrame, key: str, order: str, stripes: str) -> DataFrame:
-    """key, order, residual, threshold, anomalous, profile (residual of each stripe) of each record under the striped model of its key."""
-    one = F.concat_ws("/", F.col(key).cast("string"), F.col("stripe").cast("string"))
-    each = score(stripes_of(rows, [key], order, stripes).withColumn("_model", one), models.withColumn("_model", one).drop(key, "stripe"), "_model", "v")
-    rss = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))
-    profile = F.transform(F.array_sort(F.collect_list(F.struct("stripe", "residual"))), lambda x: x["residual"])
-    out = each.groupBy(key, order).agg(rss("residual").alias("residual"), rss("threshold").alias("threshold"), profile.alias("profile"))
+    """key, order, residual, threshold, anomalous, profile (residual of each stripe) of each record under the striped model of its key.
+
+    A record is scored where it is, if the models are few bytes; else its stripes meet their models by key. order is unique within a key.
+    """
+    if model_bytes(models) > SENT_BYTES:
+        one = F.concat_ws("/", F.col(key).cast("string"), F.col("stripe").cast("string"))
+        each = score(stripes_of(rows, [key], order, stripes).withColumn("_model", one), models.withColumn("_model", one).drop(key, "stripe"), "_model", "v")
+        rss = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))
+        profile = F.transform(F.array_sort(F.collect_list(F.struct("stripe", "residual"))), lambda x: x["residual"])
+        out = each.groupBy(key, order).agg(rss("residual").alias("residual"), rss("threshold").alias("threshold"), profile.alias("profile"))
+        return out.withColumn("anomalous", F.col("residual") > F.col("threshold"))
+    sent = rows.sparkSession.sparkContext.broadcast({(r[key], r["stripe"]): {f: r[f] for f in FIELDS} for r in models.collect()})
+
+    def run(batches):
+        known: dict = {}
+        for b in batches:
+            keys, lists = b.column(0).dictionary_encode(), b.column(2)
+            v, counts = lists.flatten(), lists.value_lengths().to_numpy()
+            starts = np.concatenate(([0], np.cumsum(counts)))
+            row = np.repeat(np.arange(b.num_rows), counts)
+            stripe, code = np.arange(len(v)) - starts[row], keys.indices.fill_null(-1).to_numpy()[row]
+            res, top = np.full(len(v), np.nan), np.full(len(v), np.nan)
+            valid, names = v.is_valid().to_numpy(zero_copy_only=False), keys.dictionary.to_pylist()
+            for k, p in set(zip(code.tolist(), stripe.tolist(), strict=True)):
+                name = (names[k] if k >= 0 else None, p)
+                if name in sent.value:
+                    if len(known) > 1000:
+                        known = {}
+                    s = known.get(name) or known.setdefault(name, Subspace.restore(sent.value[name]))
+                    at = np.flatnonzero((code == k) & (stripe == p) & valid)
+                    if len(at):
+                        res[at], top[at] = s.residuals(matrix(v.take(pa.array(at)))), s.threshold()
+            found = ~np.isnan(res)
+            total = lambda x: np.sqrt(np.where(np.bincount(row[found], minlength=b.num_rows) > 0, np.bincount(row[found], (x * x)[found], b.num_rows), np.nan))
+            cols = [pa.array(total(x), pa.float64(), from_pandas=True) for x in (res, top)]
+            profile = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(res, pa.float64(), from_pandas=True))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, profile], [key, order, "residual", "threshold", "profile"])
+
+    form = StructType([rows.schema[key], rows.schema[order], StructField("residual", DoubleType()), StructField("threshold", DoubleType()), StructField("profile", ArrayType(DoubleType()))])
+    out = rows.select(key, order, stripes).where(F.size(stripes) > 0).mapInArrow(run, form)
     return out.withColumn("anomalous", F.col("residual") > F.col("threshold"))
 
 
@@ -306,6 +456,7 @@ def score(rows: DataFrame, models: DataFrame, key: str, vec: str) -> DataFrame:
     names = rows.columns
 
     def run(batches):
+        known: dict = {}
         for b in batches:
             keys, v = b.column("_key").to_pylist(), b.column("_x")
             res, top = (np.full(b.num_rows, np.nan) for _ in range(2))
@@ -314,13 +465,16 @@ def score(rows: DataFrame, models: DataFrame, key: str, vec: str) -> DataFrame:
                 if keys[i] is not None and keys[i] in sent.value:
                     places.setdefault(keys[i], []).append(i)
             for name, at in places.items():
-                s = Subspace.restore(sent.value[name])
+                if len(known) > 1000:
+                    known = {}
+                s = known.get(name) or known.setdefault(name, Subspace.restore(sent.value[name]))
                 res[at], top[at] = s.residuals(matrix(v.take(pa.array(at)))), s.threshold()
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *(pa.array(c, pa.float64(), from_pandas=True) for c in (res, top))], [*names, "residual", "threshold"])
 
     # an operator, not a UDF: what reads the result can put a UDF into a filter after UDFs were planned, and that fails
     form = StructType([*rows.schema.fields, StructField("residual", DoubleType()), StructField("threshold", DoubleType())])
-    scored = rows.select("*", F.col(key).alias("_key"), F.col(vec).cast("array<double>").alias("_x")).mapInArrow(run, form)
+    x = F.col(vec) if rows.schema[vec].dataType.simpleString() == "array<tinyint>" else F.col(vec).cast("array<double>")
+    scored = rows.select("*", F.col(key).alias("_key"), x.alias("_x")).mapInArrow(run, form)
     return scored.withColumn("anomalous", F.col("residual") > F.col("threshold"))
 
 
