@@ -2,6 +2,7 @@
 
 import datetime
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from trivex.config import Space
 from trivex.functions.atoms import atom_array
+from trivex.operators import ordered
 from trivex.operators.subspace import Subspace, learn
+from trivex.plans import pipelines as pipe
 from trivex.sources import encode as enc
 
 SPACE = Space(64)
@@ -71,3 +74,69 @@ def test_rows_of_any_type_are_encoded_in_batches_as_by_columns(spark):
         each = df.select("id", enc.encode(SPACE, F.col("r"), kind, hints).alias("a"), enc.encode_rows(SPACE, F.col("r"), kind, hints).alias("b"))
         for r in each.collect():
             assert r["a"] == r["b"], (hints, r["id"])
+
+
+def payloads(spark, n=60, seed=3):
+    own = np.random.default_rng(seed)
+    rows = [(i, own.integers(97, 100, int(own.integers(0, 190))).astype(np.uint8).tobytes(), bool(i % 2)) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "id long, raw binary, attack boolean")
+
+
+@pytest.mark.parametrize("held", [1 << 22, 300])
+@pytest.mark.parametrize("width", [2, 4])
+def test_runs_of_payloads_are_counted_without_a_row_per_byte(spark, monkeypatch, held, width):
+    """Small limits: runs of some positions are shared by several tasks, and a batch is many chunks."""
+    monkeypatch.setattr(pipe, "PIECES_HELD", held)
+    monkeypatch.setattr(pipe, "CHUNK_BYTES", held)
+    rows, df = payloads(spark)
+    runs = lambda side: Counter((p, b[p : p + width].hex()) for _, b, a in rows if a == side for p in range(len(b) - width + 1))
+    attack, normal = runs(True), runs(False)
+    want = set()
+    for pos in {p for p, _ in attack}:
+        new = sorted((-n, b) for (p, b), n in attack.items() if p == pos and (p, b) not in normal)
+        want |= {(pos, b, -n) for n, b in new[:3]}
+    got = pipe.payload_candidates(df, "raw", "attack", width, 3)
+    assert "Window" not in got._jdf.queryExecution().analyzed().toString().split("MapInArrow")[-1]  # no row per byte below
+    assert {tuple(r) for r in got.collect()} == want and want
+
+
+@pytest.mark.parametrize("sent", [1 << 26, 0])
+def test_rules_are_looked_up_in_payloads(spark, monkeypatch, sent):
+    monkeypatch.setattr(pipe, "RULE_BYTES", sent)
+    rows, df = payloads(spark)
+    own = np.random.default_rng(5)
+    rules = {(int(p), b[p : p + n]) for _, b, _ in rows for p, n in zip(own.integers(0, 180, 4).tolist(), own.choice([1, 2, 6, 11], 4).tolist(), strict=True) if p + n <= len(b)}
+    table = spark.createDataFrame([(p, b.hex()) for p, b in rules], "pos int, bytes string")
+    hexed = df.select("id", "attack", F.lower(F.hex("raw")).alias("hex"))
+    hits = lambda p, r, side: sum(b[p : p + len(r)] == r for _, b, a in rows if a == side)
+    want = {(p, r.hex(), hits(p, r, True), 0) for p, r in rules if hits(p, r, True) and not hits(p, r, False)}
+    assert {tuple(r) for r in pipe.validated_rules(table, hexed, "attack").select("pos", "bytes", "tp", "fp").collect()} == want and want
+
+
+def test_long_payloads_take_time_in_proportion(spark):
+    """The place of a piece in a text was found by counting characters from its start, so time grew with the square of the length."""
+    rows = [(i, bytes([97 + i]) * 150_000, True) for i in range(2)]
+    df = spark.createDataFrame(rows, "id long, raw binary, attack boolean")
+    began = time.perf_counter()
+    rules = pipe.payload_candidates(df, "raw", "attack", 4)
+    assert pipe.validated_rules(rules, df.select("attack", F.hex("raw").alias("hex")), "attack").count() == 2 * (150_000 - 3)
+    assert time.perf_counter() - began < 60
+
+
+def test_bytes_of_payloads_are_counted_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(pipe, "CHUNK_BYTES", 500)
+    rows, df = payloads(spark)
+    rows, df = [*rows, (99, None, True)], df.union(spark.createDataFrame([(99, None, True)], df.schema))
+    each = spark.createDataFrame([(i, p, x, a) for i, b, a in rows if b for p, x in enumerate(b)], "id long, pos int, byte int, attack boolean")
+    plain = lambda d, *c: sorted(map(repr, d.select(*c).collect()))
+    counts = pipe.byte_counts(df, "raw", "attack")
+    want = each.groupBy("pos", "byte").agg(F.sum(F.col("attack").cast("long")).alias("attacks"), F.sum((~F.col("attack")).cast("long")).alias("normals"))
+    assert plain(counts, "pos", "byte", "attacks", "normals") == plain(want, "pos", "byte", "attacks", "normals")
+    profile = ["pos", "top", "n", "total", "values", "concentration", "is_constant"]
+    assert plain(pipe.profile_of(counts, "attacks", 0.5), *profile) == plain(pipe.position_profile(each.where("attack"), 0.5), *profile)
+    mask = ["pos", "mask", "match", "n"]
+    assert plain(pipe.mask_of(counts), *mask) == plain(pipe.best_mask(each.where("attack"), each.where("not attack")), *mask)
+    run = ["id", "first", "last", "n"]
+    assert plain(pipe.payload_runs(df, "id", "raw", 98, 2), *run) == plain(ordered.runs(each.where("byte = 98"), "pos", 2, ["id"]), *run)
+    totals = pipe.payload_windows(each, 16).groupBy("id", "window").agg(F.count("*").alias("n"), F.sum("byte").alias("total"))
+    assert plain(pipe.window_totals(df.select("id", "raw"), 16), "id", "window", "n", "total") == plain(totals, "id", "window", "n", "total")

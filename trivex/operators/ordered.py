@@ -49,14 +49,14 @@ def streamed(df: DataFrame, keys: list[str], order: str, schema: str, start: Cal
             cuts = [i for i in range(1, len(names)) if names[i] != names[i - 1]] if names[0] != names[-1] else []  # sorted
             for i, j in zip([0, *cuts], [*cuts, len(names)], strict=True):
                 if now is None or names[i] != now[0]:
-                    if now is not None and finish:
-                        yield finish(state, now[0])
+                    if now is not None and finish and (last := finish(state, now[0])) is not None:
+                        yield last
                     now, state = (names[i],), start()
                 out = feed(state, b.slice(i, j - i))
                 if out is not None:
                     yield out
-        if now is not None and finish:
-            yield finish(state, now[0])
+        if now is not None and finish and (last := finish(state, now[0])) is not None:
+            yield last
 
     # a number of partitions of its own: small ones would be merged by their bytes, and few keys that take long would wait for each other
     n = max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
