@@ -12,7 +12,7 @@ from trivex.config import Space
 from trivex.functions.atoms import atom_array
 from trivex.operators import ordered
 from trivex.operators.subspace import Subspace, learn
-from trivex.plans import pipelines as pipe
+from trivex.plans import applications as app, pipelines as pipe
 from trivex.sources import encode as enc
 
 SPACE = Space(64)
@@ -140,3 +140,43 @@ def test_bytes_of_payloads_are_counted_in_batches(spark, monkeypatch):
     assert plain(pipe.payload_runs(df, "id", "raw", 98, 2), *run) == plain(ordered.runs(each.where("byte = 98"), "pos", 2, ["id"]), *run)
     totals = pipe.payload_windows(each, 16).groupBy("id", "window").agg(F.count("*").alias("n"), F.sum("byte").alias("total"))
     assert plain(pipe.window_totals(df.select("id", "raw"), 16), "id", "window", "n", "total") == plain(totals, "id", "window", "n", "total")
+
+
+def test_drill_down_of_payloads_is_that_of_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(pipe, "CHUNK_BYTES", 400)
+    space, width = Space(64, 0), 16
+    rows, df = payloads(spark, 40)
+    rows[0] = (0, rows[2][1][:70] + bytes(range(40)), False)  # the reference
+    rows = [(i, b[:40] + bytes(200 + x % 50 for x in b[40:60]) + b[60:] if i % 3 == 1 else b, a) for i, b, a in rows]
+    df = spark.createDataFrame(rows, "k long, raw binary, attack boolean")
+    each = spark.createDataFrame([(i, p, x, a) for i, b, a in rows for p, x in enumerate(b)], "k long, pos int, byte int, attack boolean")
+    attack, normal = (each.where(w).select("k", "pos", "byte") for w in ("attack", "not attack"))
+    want = {tuple(r) for r in app.drill_down(attack, normal, "k", F.col("k") == 0, space, width).collect()}
+    attack, normal = (df.where(w).select("k", "raw") for w in ("attack", "not attack"))
+    got = app.drill_payloads(attack, normal, F.col("k") == 0, space, width).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 50
+
+
+def test_fields_are_tracked_without_a_walk_over_counts_per_row(spark):
+    """Every live row looked at all counts of its field and at vectors one by one."""
+    own, space = np.random.default_rng(2), Space(64, 0)
+    values = [None if x == 7 else f"v{x}" for x in own.geometric(0.02, 9000).tolist()]
+    df = spark.createDataFrame([("f", i, v) for i, v in enumerate(values)], "field string, o long, value string")
+    app.tracked_fields(df.where("o < 9"), df.where("o between 9 and 20"), "o", space).collect()
+    began = time.perf_counter()
+    got = app.tracked_fields(df.where("o < 300"), df.where("o >= 300"), "o", space).orderBy("o").collect()
+    assert time.perf_counter() - began < 20 and len(got) == 8700
+    atoms = {v: atom_array(space, f"f:{v}").astype(float) for v in set(values)}
+    sums, counts = sum(atoms[v] for v in values[:300]), Counter(values[:300])
+    prior = np.sign(sums)
+    for r, v in zip(got, values[300:], strict=True):
+        sums = 0.98 * sums + atoms[v]
+        counts[v] += 1
+        if sum(counts.values()) > 200:
+            counts = Counter({k: n // 2 for k, n in counts.items() if n // 2})
+        size = np.sqrt(sums @ sums)
+        now = np.where(sums > 0.3 * size, 1, np.where(sums < -0.3 * size, -1, 0))
+        top = min(counts, key=lambda k: (-counts[k], k is None, k or ""))
+        assert (r["dominant"], r["concentration"]) == (top, pytest.approx(counts[top] / sum(counts.values())))
+        both = np.sqrt((now @ now) * (prior @ prior))
+        assert r["divergence"] == pytest.approx(1 - (now @ prior / both if both else 0), abs=1e-9) and r["novel"] == (v not in values[:300])
