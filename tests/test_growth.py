@@ -9,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from trivex.config import Space
-from trivex.functions.atoms import atom_array
+from trivex.functions import vectors
+from trivex.functions.atoms import atom_array, atom_vector
 from trivex.operators import ordered
 from trivex.operators.subspace import Subspace, learn
-from trivex.plans import applications as app, pipelines as pipe
+from trivex.plans import applications as app, expr, pipelines as pipe
 from trivex.sources import encode as enc
 
 SPACE = Space(64)
@@ -180,3 +181,14 @@ def test_fields_are_tracked_without_a_walk_over_counts_per_row(spark):
         assert (r["dominant"], r["concentration"]) == (top, pytest.approx(counts[top] / sum(counts.values())))
         both = np.sqrt((now @ now) * (prior @ prior))
         assert r["divergence"] == pytest.approx(1 - (now @ prior / both if both else 0), abs=1e-9) and r["novel"] == (v not in values[:300])
+
+
+def test_a_field_that_is_shifted_is_encoded_once(spark):
+    """Before, a shift worked its vector out again for each of its slices and sizes, and a row per value was not known."""
+    df = spark.createDataFrame([("a",), ("b",), (None,), ("a",)], "t string")
+    v = expr.compile(expr.Permute(expr.Permute(expr.Field("t"), 2), 3), SPACE)
+    got = df.select("t", v.alias("v"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("sha2") == 0
+    assert [r["v"] for r in got.collect()] == [None if r["t"] is None else np.roll(atom_array(SPACE, r["t"]), -5).tolist() for r in df.collect()]
+    native = df.select(vectors.permute(atom_vector(SPACE, F.col("t")), 5).alias("v"))
+    assert native._jdf.queryExecution().optimizedPlan().toString().count("sha2") == 1
